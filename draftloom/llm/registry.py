@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op8_language_id
 from .minhash_dedup import op10_minhash_dedup
+from .pii import op2_pii
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op8_language_id": op8_language_id,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
