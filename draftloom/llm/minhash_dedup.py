@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingles, stored, utf8, word_hashes
+from .common import components, mix, release, shingles, stored, utf8, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 #: Counters of document frequency, and parts in which tasks hand them over.
@@ -48,10 +48,24 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)  # SKETCH counters
 
 
-def vector(text: bytes | np.ndarray, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def weights(u: np.ndarray, tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    return (tf * (np.log((1 + n) / (1 + df[slot(u)])) + 1)).astype(np.float32)
+
+
+def vector(text: bytes, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes of a text and their weights."""
     u, tf = np.unique(shingles(word_hashes(np.frombuffer(text, np.uint8)), WORDS), return_counts=True)
-    return u, (tf * (np.log((1 + n) / (1 + df[slot(u)])) + 1)).astype(np.float32)
+    return u, weights(u, tf, df, n)
+
+
+def packed(text: bytes) -> bytes:
+    """The shingles of a text by the upper 32 bits of their hashes, sorted, repeats kept."""
+    return np.sort((shingles(word_hashes(np.frombuffer(text, np.uint8)), WORDS) >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def unpacked(b: bytes, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    u, tf = np.unique(np.frombuffer(b, "<u4"), return_counts=True)
+    return u, weights(u.astype(np.uint64) << np.uint64(32), tf, df, n)
 
 
 def signature(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -160,58 +174,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>"
     rows = stored(docs.mapInArrow(sketch, schema), "sketches")
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    members = rows.where("bands is not null").select("key", F.explode("bands").alias("bucket")).distinct()
+    texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("bands", ignorenulls=True).alias("bands")), "texts")
+    members = texts.select("key", F.explode("bands").alias("bucket"))
+    full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full")
+    inside = stored(members.join(full, "bucket"), "members")
     first = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("k"))).alias(f"l{i}") for i in range(LEADERS)]
-    buckets = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *first).where("n > 1").select("bucket", "n", F.array_distinct(F.array(*(f"l{i}.k" for i in range(LEADERS)))).alias("leaders")), "buckets")
-    inside = stored(members.join(buckets, "bucket"), "members")
-    pairs = inside.select("key", F.explode("leaders").alias("leader")).where("key <> leader")
+    leaders = stored(inside.groupBy("bucket").agg(*first).select("bucket", F.array_distinct(F.array(*(f"l{i}.k" for i in range(LEADERS)))).alias("leaders")), "leaders")
+    pairs = inside.join(leaders, "bucket").select("key", F.explode("leaders").alias("leader")).where("key <> leader")
     pairs = stored(pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), "pairs")
 
-    def vectors(batches):
-        import pyarrow as pa
-
-        df, n = shared.value
-        for batch in batches:
-            keys, us, ws = [], [], []
-            for text in texts_of(batch):
-                u, w = vector(text, df, n)
-                keys.append(hashlib.md5(text, usedforsecurity=False).digest())
-                us.append(u.tobytes())
-                ws.append(w.tobytes())
-            yield pa.record_batch({"key": pa.array(keys, pa.binary()), "u": pa.array(us, pa.binary()), "w": pa.array(ws, pa.binary())})
+    # Texts of the keys asked for: a bitmap of fixed size keeps most others out of the exchange.
+    asked = stored(inside.select("key").distinct(), "asked")
+    place = F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("long") + 1
+    bits = asked.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    wanted = np.zeros(1 << 21, np.uint8)
+    for r in bits.collect():  # 512 rows of 4 kB at most
+        wanted[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    wanted = spark.sparkContext.broadcast(wanted)
 
     def once(batches):
         import pyarrow as pa
 
+        bits = wanted.value
         seen: set[bytes] = set()  # keys of this task's rows
         for batch in batches:
-            take = []
-            for i, text in enumerate(texts_of(batch)):
+            keys, vecs = [], []
+            for text in texts_of(batch):
                 key = hashlib.md5(text, usedforsecurity=False).digest()
-                if key not in seen:
+                at = int.from_bytes(key[:3], "big")
+                if bits[at >> 3] >> (at & 7) & 1 and key not in seen:
                     seen.add(key)
-                    take.append((i, key))
-            part = batch.take(pa.array([i for i, _ in take], pa.int32()))
-            yield pa.record_batch({"key": pa.array([k for _, k in take], pa.binary()), "text": part.column("text")})
+                    keys.append(key)
+                    vecs.append(packed(text))
+            yield pa.record_batch({"key": pa.array(keys, pa.binary()), "u": pa.array(vecs, pa.binary())})
 
-    asked = stored(inside.select("key").distinct(), "asked")
-    found = docs.select("text").mapInArrow(once, "key binary, text string").join(asked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    vecs = stored(found.select("text").mapInArrow(vectors, "key binary, u binary, w binary"), "vectors")
+    found = docs.select("text").mapInArrow(once, "key binary, u binary").join(asked, "key", "left_semi")
+    vecs = stored(found.groupBy("key").agg(F.first("u").alias("u")), "vectors")
 
     def verify(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
+        df, n = shared.value
         for batch in batches:
-            ua, wa, ub, wb = (batch.column(c).to_pylist() for c in ("ua", "wa", "ub", "wb"))
-            ok = [jaccard((np.frombuffer(p, np.uint64), np.frombuffer(q, np.float32)), (np.frombuffer(r, np.uint64), np.frombuffer(s, np.float32))) >= SIMILARITY for p, q, r, s in zip(ua, wa, ub, wb, strict=True)]
-            out = pa.record_batch({"a": batch.column("a"), "b": batch.column("b")})
-            yield out.filter(pc.equal(pa.array(ok, pa.bool_()), True))
+            ok = [jaccard(unpacked(x, df, n), unpacked(y, df, n)) >= SIMILARITY for x, y in zip(batch.column("ua").to_pylist(), batch.column("ub").to_pylist(), strict=True)]
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
 
-    one = stored(pairs.join(vecs.select(F.col("key").alias("a"), F.col("u").alias("ua"), F.col("w").alias("wa")), "a"), "half")
-    two = one.join(vecs.select(F.col("key").alias("b"), F.col("u").alias("ub"), F.col("w").alias("wb")), "b")
+    one = stored(pairs.join(vecs.select(F.col("key").alias("a"), F.col("u").alias("ua")), "a"), "half")
+    two = one.join(vecs.select(F.col("key").alias("b"), F.col("u").alias("ub")), "b")
     links = stored(two.mapInArrow(verify, "a binary, b binary"), "links")
+    release(one)
     group = components(links)
 
     now = inside.where(F.col("n") > 2).join(group.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "n", "key", F.coalesce("root", "key").alias("root"))
@@ -232,7 +243,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 roots[x] = x = roots[roots[x]]
             return x
 
-        vs = [(k, r, (np.frombuffer(u, np.uint64), np.frombuffer(w, np.float32))) for k, r, u, w in zip(pdf["key"], pdf["root"], pdf["u"], pdf["w"], strict=True)]
+        df, n = shared.value
+        vs = [(k, r, unpacked(u, df, n)) for k, r, u in zip(pdf["key"], pdf["root"], pdf["u"], strict=True)]
         vs.sort(key=lambda v: v[2][1].sum(dtype=np.float64))
         total = np.array([v[2][1].sum(dtype=np.float64) for v in vs])
         out = []
