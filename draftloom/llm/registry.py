@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from .language_id import op8_language_id
 from .minhash_dedup import op10_minhash_dedup
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import op5_mixing
+from .packing import op6_packing
 from .pii import op2_pii
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": MIXING_SQL,
+}
