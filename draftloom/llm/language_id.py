@@ -1,6 +1,6 @@
 """Language identification by hierarchical discrimination.
 
-First a linear machine per family picks the language family, then, inside a family of several
+First a linear machine for each family picks the language family, then, inside a family of several
 languages, one-versus-one linear support vector machines vote for the language (a tie goes to the
 larger sum of margins, then to the first name). Features: square roots of hashed counts of one to
 three letters with word edges, over the whole text, scaled to length 1.

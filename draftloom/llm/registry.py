@@ -8,15 +8,23 @@ from .mixing import ORACLE as MIXING_SQL
 from .mixing import op5_mixing
 from .packing import op6_packing
 from .pii import op2_pii
+from .quality_rules import ORACLE as QUALITY_SQL
+from .quality_rules import op7_quality_rules
+from .url_filter import ORACLE as URL_SQL
+from .url_filter import op4_url_filter
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_url_filter": URL_SQL,
     "op5_mixing": MIXING_SQL,
+    "op7_quality_rules": QUALITY_SQL,
 }
