@@ -34,10 +34,14 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 
 LENGTH, END, GROUPS = 4096, 1, 20
-#: Words whose tokens a worker remembers at a time.
-REMEMBERED = 150_000
+#: Runs of letters (or other pieces) whose tokens a worker remembers at a time; some 150 MB.
+REMEMBERED = 600_000
 
 _WORD = re.compile(WORD)
+#: Texts of these characters only are cut as the vocabulary cuts them, by one expression: letters of
+#: Latin-1, single digits, runs of ASCII marks. An apostrophe can start a cut of its own; not here.
+_PLAIN = re.compile(r"[\x20\x09-\x0D!-&(-~\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
+_PIECE = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def vocabulary() -> str:
@@ -47,10 +51,11 @@ def vocabulary() -> str:
 
 
 class WordTokens:
-    """Tokens of texts as little-endian unsigned 32-bit numbers, word by word.
+    """Tokens of texts as little-endian unsigned 32-bit numbers, piece by piece.
 
-    The vocabulary drops white space and never joins across it, so a text's tokens are those of its
-    words in turn; words come again, so their tokens are kept.
+    The vocabulary drops white space, works in lower case and never joins across what it cuts at; the
+    same pieces come again and again, so their tokens are kept. Texts of other than plain characters,
+    and those that name a special token, are cut at white space only and the words left to it.
     """
 
     def __init__(self, path: str):
@@ -59,17 +64,31 @@ class WordTokens:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def __call__(self, text: str) -> bytes:
-        known, words = self.known, _WORD.findall(text)
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for s in range(0, len(new), 4096):
-                part = new[s : s + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        plain = _PLAIN.fullmatch(text) and "<|" not in text
+        parts = _PIECE.findall(text.lower()) if plain else _WORD.findall(text)
+        known = self.known
+        try:
+            return b"".join([known[w] for w in parts])
+        except KeyError:
+            pass
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in set(parts) if w not in known]
+        for s in range(0, len(new), 4096):
+            part = new[s : s + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        return b"".join([known[w] for w in parts])
+
+
+_kept: dict[str, WordTokens] = {}
+
+
+def tokens_by(path: str) -> WordTokens:
+    """One for each worker process, so that what it knows outlasts a task."""
+    if path not in _kept:
+        _kept[path] = WordTokens(path)
+    return _kept[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -79,7 +98,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     def run(batches):
         import pyarrow as pa
 
-        tokens, end = WordTokens(path), np.array([END], "<u4").tobytes()
+        tokens, end = tokens_by(path), np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for i, text in enumerate(batch.column("text").to_pylist()):
