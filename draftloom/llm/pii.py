@@ -429,6 +429,10 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _is(kind: int):
+    return lambda x: x["kind"] == kind  # of one argument: filter() hands a second one the position
+
+
 def joined(spans: str):
     names = F.array(*(F.lit(k) for k in KINDS))
     one = F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string")))
@@ -439,7 +443,7 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 (of the rules' spans), spans (all), n_added."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, train(docs)).select("doc_id", "base_spans", "spans")
-    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    counts = [F.size(F.filter("base_spans", _is(k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base_spans")).cast("long").alias("n_added"))
 
 
