@@ -51,9 +51,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-#: Clean prose has none of these: symbols for half its words, most lines repeated, words of odd length.
-FAILED = f"({BASE_FAILED} OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words)"
-OWN_FAILED = "(2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words)"
+#: Clean prose has none of these: more than one symbol to ten words, most lines repeated, words of odd length.
+FAILED = f"({BASE_FAILED} OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words)"
+OWN_FAILED = "(10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words)"
 
 
 def domain_rates(figures: DataFrame) -> DataFrame:
