@@ -39,6 +39,21 @@ VIEWS = {
     # Runs of two versions over the same items, for comparisons.
     "runs": """SELECT CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS run, concat(CASE WHEN event_id % 3 = 0 THEN 'Case-' ELSE 'case-' END, CAST(event_id % 211 AS VARCHAR(9)), '-', CAST(user_id % 9 AS VARCHAR(9))) AS item,
         min(event_type) AS status, CAST(sum(event_id % 97) % 100 AS DOUBLE) / 100 AS quality, CAST(sum(event_id % 1009) AS DOUBLE) AS duration_ms, CAST(sum(event_id % 13) AS BIGINT) AS walls, CAST(sum(user_id % 5) % 6 AS BIGINT) AS rooms FROM {events} GROUP BY 1, 2""",
+    # Gaps between the strokes of a line, with the greatest end so far.
+    "gaps": """SELECT page, orient, coord, s, e, prim_id, prev_e FROM (SELECT *, max(e) OVER (PARTITION BY page, orient, coord ORDER BY s, e DESC, prim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_e FROM {walls}) w WHERE prev_e IS NOT NULL""",
+    "openings": "SELECT concat('o', prim_id) AS id, page, orient, coord, prev_e AS s, s AS e, s - prev_e AS width FROM {gaps} WHERE s - prev_e BETWEEN 8 AND 60",
+    # Rooms on a raster of six by six, some of them missing.
+    "rooms": """SELECT concat('r', page, '-', k) AS id, page, CAST(k % 6 AS DOUBLE) * 100 AS x, CAST(floor(k / 6) AS DOUBLE) * 80 AS y, CASE WHEN k % 11 = 3 THEN 200e0 ELSE 100e0 END AS w, 80e0 AS h,
+        CASE k % 9 WHEN 0 THEN 'Corridor' WHEN 1 THEN 'OFFICE 101' WHEN 2 THEN 'WC' WHEN 3 THEN 'Storage' WHEN 4 THEN 'Open plan office' WHEN 5 THEN 'Stair' WHEN 6 THEN 'Kitchen / dining' WHEN 7 THEN NULL ELSE 'Terrasse' END AS label, confidence
+        FROM (SELECT o_custkey AS page, o_orderkey % 36 AS k, max(CAST(o_orderkey % 20 AS DOUBLE) / 20) AS confidence FROM {orders} GROUP BY 1, 2) o""",
+    # Predicted and true strokes, for scoring: some match, some are off, some miss.
+    "truth": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 40 + event_id % 30 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 AS y2,
+        CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'normal' END AS importance, CASE WHEN event_id % 3 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type FROM {events} WHERE event_id % 4 <> 3""",
+    "predicted": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + event_id % 3 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 36 + event_id % 30 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y2,
+        CASE WHEN event_id % 6 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type, CAST(event_id % 20 AS DOUBLE) / 20 AS confidence FROM {events} WHERE event_id % 5 <> 2""",
+    # Measured dimensions: a value in mm over a drawn length.
+    "dims": """SELECT p_partkey AS id, p_partkey % 40 AS page, CAST((p_partkey * 3) % 23 AS DOUBLE) * 20 AS s, CAST((p_partkey * 3) % 23 AS DOUBLE) * 20 + 20 * p_size AS e, CAST(p_partkey % 5 AS DOUBLE) * 30 AS coord,
+        CAST(p_size AS DOUBLE) * CASE p_partkey % 9 WHEN 0 THEN 260 WHEN 1 THEN 195 ELSE 200 END AS mm FROM {part}""",
     # Undirected graph of a page's nodes.
     "graph": """SELECT DISTINCT l_suppkey AS page, (l_partkey % 90) * 1000 + l_suppkey AS a, ((l_partkey * 31 + l_orderkey) % 90) * 1000 + l_suppkey AS b, l_quantity AS length FROM {lineitem} WHERE l_orderkey % 13 = 0""",
     # The structural candidates and their evidence.
@@ -47,12 +62,28 @@ VIEWS = {
 }
 
 
-def needs(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+def needs(text: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+
+
+def loader(tables: dict[str, DataFrame]):
+    """load(name) over given tables; a view that is not given is derived from those it names."""
+
+    def load(name: str) -> DataFrame:
+        return tables[name] if name in tables else over(load, VIEWS[name])
+
+    return load
+
+
+def over(load, text: str) -> DataFrame:
+    """Spark SQL over the tables in braces."""
+    found = {n: load(n) for n in needs(text)}
+    spark = next(iter(found.values())).sparkSession if found else SparkSession.active()
+    return spark.sql(text, **found)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, or a view over tables."""
+    """A driver's table, or a view over such."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return sql(spark, sf_dir, VIEWS[name])
@@ -63,6 +94,10 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{n: frame(spark, sf_dir, n) for n in needs(text)})
 
 
+#: What DuckDB names otherwise.
+_DUCK = ((r"(?<![\w'])r'", "'"), (r"/\*g\*/", ", 'g'"), (r"\bpercentile\(", "quantile_cont("), (r"\bbround\(", "round_even("), (r"\bsha2\((.*?), 256\)", r"sha256(\1)"), (r"\bSTRING\b", "VARCHAR"))
+
+
 def duck(text: str) -> str:
     """The same text for DuckDB: views become common table expressions."""
     order: list[str] = []
@@ -74,10 +109,11 @@ def duck(text: str) -> str:
                 order.append(n)
 
     visit(text)
-    body = re.sub(r"\{(\w+)\}", r"\1", text)
-    if not order:
-        return body
-    ctes = ", ".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in order)
-    if body.lstrip().upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {ctes}, {body.lstrip()[14:]}"
-    return f"WITH {ctes}, {body.lstrip()[4:]}" if body.lstrip().upper().startswith("WITH") else f"WITH {ctes} {body}"
+    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
+    body, ctes = plain(text).lstrip(), ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
+    head = re.match(r"(?i)WITH( RECURSIVE)?\b", body)
+    if ctes:
+        body = f"WITH{head[1] or '' if head else ''} {ctes}{',' if head else ''} {body[head.end() :] if head else body}"
+    for pattern, to in _DUCK:
+        body = re.sub(pattern, to, body)
+    return body
