@@ -47,3 +47,16 @@ def grid_join(a: DataFrame, b: DataFrame, size: float, reach: float = 0.0, prefi
     own = (F.floor(F.greatest(lx, rx) / size) == F.col("gx")) & (F.floor(F.greatest(ly, ry) / size) == F.col("gy"))
     on = (F.col(p + "page") == F.col(q + "page")) & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy"))
     return left.join(right, on).where(touch & own).drop("gx", "gy", "hx", "hy")
+
+
+def nearest(a: DataFrame, b: DataFrame, radius: float, k: int, distance: Column, key: str = "id", prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
+    """For each row of a the k nearest boxes of b within radius, ranked; ties by b's key.
+
+    distance: of prefixed columns. Ranking needs the rows of one a only, and Spark cuts them to k
+    before the exchange.
+    """
+    from pyspark.sql import Window
+
+    near = grid_join(a, b, max(radius, 1.0), radius, prefix).withColumn("distance", F.round(distance, 6)).where(F.col("distance") <= radius)
+    order = Window.partitionBy(prefix[0] + key).orderBy("distance", prefix[1] + key)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
