@@ -52,13 +52,13 @@ VIEWS = {
     "predicted": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + event_id % 3 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 36 + event_id % 30 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y2,
         CASE WHEN event_id % 6 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type, CAST(event_id % 20 AS DOUBLE) / 20 AS confidence FROM {events} WHERE event_id % 5 <> 2""",
     # Measured dimensions: a value in mm over a drawn length.
-    "dims": """SELECT p_partkey AS id, p_partkey % 40 AS page, CAST((p_partkey * 3) % 23 AS DOUBLE) * 20 AS s, CAST((p_partkey * 3) % 23 AS DOUBLE) * 20 + 20 * p_size AS e, CAST(p_partkey % 5 AS DOUBLE) * 30 AS coord,
-        CAST(p_size AS DOUBLE) * CASE p_partkey % 9 WHEN 0 THEN 260 WHEN 1 THEN 195 ELSE 200 END AS mm FROM {part}""",
+    "dims": """SELECT p_partkey AS id, CAST(floor(p_partkey / 60) AS BIGINT) AS page, CAST((p_partkey * 7) % 6 AS DOUBLE) * 20 AS s, CAST((p_partkey * 7) % 6 AS DOUBLE) * 20 + 20 * (1 + p_size % 6) AS e, CAST(p_partkey % 4 AS DOUBLE) * 30 AS coord,
+        CAST(1 + p_size % 6 AS DOUBLE) * CASE p_partkey % 9 WHEN 0 THEN 260 WHEN 1 THEN 195 ELSE 200 END AS mm FROM {part}""",
     # Undirected graph of a page's nodes.
     "graph": """SELECT DISTINCT l_suppkey AS page, (l_partkey % 90) * 1000 + l_suppkey AS a, ((l_partkey * 31 + l_orderkey) % 90) * 1000 + l_suppkey AS b, l_quantity AS length FROM {lineitem} WHERE l_orderkey % 13 = 0""",
     # The structural candidates and their evidence.
     "signals": """SELECT o_orderkey AS candidate, o_custkey % 50 AS page, CASE o_custkey % 6 WHEN 0 THEN 'pair' WHEN 1 THEN 'layer' WHEN 2 THEN 'room' WHEN 3 THEN 'shell' WHEN 4 THEN 'oblique' ELSE 'accepted' END AS kind,
-        CAST(o_orderkey % 160 AS DOUBLE) / 128 - CAST(o_custkey % 64 AS DOUBLE) / 128 AS weight FROM {orders}""",
+        CAST(o_orderkey % 80 AS DOUBLE) / 64 - CAST(o_custkey % 32 AS DOUBLE) / 64 AS weight FROM {orders}""",
 }
 
 
