@@ -109,7 +109,7 @@ def duck(text: str) -> str:
                 order.append(n)
 
     visit(text)
-    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
+    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t).replace("{{", "{").replace("}}", "}")
     body, ctes = plain(text).lstrip(), ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
     head = re.match(r"(?i)WITH( RECURSIVE)?\b", body)
     if ctes:
