@@ -392,8 +392,27 @@ def model_spans(texts: list[str], p: dict) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def all_spans(texts: list[str | None], p: dict | None) -> tuple[list[list], list[list]]:
+    """For each text the rules' spans, and those with what the network adds where it overlaps none of them."""
+    at = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
+    base: list[list] = [[] for _ in texts]
+    full: list[list] = [[] for _ in texts]
+    more = model_spans([texts[i] for i in at], p) if p else [[]] * len(at)
+    for i, added in zip(at, more, strict=True):
+        base[i] = sorted(base_spans(texts[i]))
+        taken = np.array(sorted((s, e) for _, s, e in base[i]), np.int64).reshape(-1, 2)
+        reach = np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
+        free = []
+        for k, s, e in added:
+            j = int(np.searchsorted(taken[:, 0], e))  # spans that start before its end
+            if not j or reach[j - 1] <= s:
+                free.append((k, s, e))
+        full[i] = sorted([*base[i], *free])
+    return base, full
+
+
 def find(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with base_spans and spans: arrays of (kind, start, end), kind as a number of KINDS."""
+    """docs with base_spans and spans: arrays of (kind, start, end), kind as a number of KINDS; columns of these names are replaced."""
     from pyspark.sql import types as T
 
     docs = docs.drop("base_spans", "spans")
@@ -404,25 +423,9 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        p = shared.value
         arrow = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-            base: list[list] = [[] for _ in texts]
-            full: list[list] = [[] for _ in texts]
-            more = model_spans([texts[i] for i in at], p) if p else [[]] * len(at)
-            for i, added in zip(at, more, strict=True):
-                base[i] = sorted(base_spans(texts[i]))
-                ordered = sorted((s, e) for _, s, e in base[i])
-                taken = np.array(ordered, np.int64).reshape(-1, 2)
-                reach = np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
-                free = []
-                for k, s, e in added:
-                    j = int(np.searchsorted(taken[:, 0], e))  # spans that start before its end
-                    if not j or reach[j - 1] <= s:
-                        free.append((k, s, e))
-                full[i] = sorted([*base[i], *free])
+            base, full = all_spans(batch.column("text").to_pylist(), shared.value)
             as_dicts = lambda rows: pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in r] for r in rows], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, as_dicts(base), as_dicts(full)], names=[*batch.schema.names, "base_spans", "spans"])
 
@@ -448,25 +451,25 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span, found by rule or network, replaced by its kind in angle brackets."""
-    found = find(docs, train(docs))
+    """docs with every span, found by rule or network, replaced by its kind in angle brackets; n_chars follows the text."""
+    model = train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            texts = batch.column("text").to_pylist()
+            for i, spans in enumerate(all_spans(texts, shared.value)[1]):
                 if spans:
                     out, last = [], 0
-                    for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-                        if x["start"] >= last:
-                            out += [text[last : x["start"]], f"<{KINDS[x['kind']]}>"]
-                        last = max(last, x["end"])
-                    text = "".join([*out, text[last:]])
-                texts.append(text)
+                    for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+                        if s >= last:
+                            out += [texts[i][last:s], f"<{KINDS[k]}>"]
+                        last = max(last, e)
+                    texts[i] = "".join([*out, texts[i][last:]])
             names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names if n not in ("spans", "base_spans")], names=[n for n in names if n not in ("spans", "base_spans")])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    clean = found.mapInArrow(run, docs.schema)
+    clean = docs.mapInArrow(run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
