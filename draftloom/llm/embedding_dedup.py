@@ -80,6 +80,8 @@ def links(frame: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of frame (vec_id, embedding)."""
     frame = frame.select("vec_id", "embedding")
     of_id = frame.schema["vec_id"].dataType.simpleString()
+    # Vectors travel in the precision that they come in; all sums are in double precision.
+    form = np.dtype("<f4" if frame.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8")
 
     def keys(batches):
         import pyarrow as pa
@@ -91,7 +93,7 @@ def links(frame: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if v.is_valid and len(v.values) and not v.values.null_count:
                     a = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # minus zero is zero
                     a = a if np.isfinite(a).all() and a.any() else None
-                vecs.append(None if a is None else a.tobytes())
+                vecs.append(None if a is None else a.astype(form).tobytes())
                 out.append(None if a is None else hashlib.md5(vecs[-1], usedforsecurity=False).digest())
             yield pa.record_batch({"vec_id": batch.column("vec_id"), "key": pa.array(out, pa.binary()), "v": pa.array(vecs, pa.binary())})
 
@@ -105,10 +107,10 @@ def links(frame: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             vs = batch.column("v").to_pylist()
             lists: list = [None] * len(vs)
-            sizes = np.array([len(v) // 8 for v in vs], np.int64)
+            sizes = np.array([len(v) // form.itemsize for v in vs], np.int64)
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                for i, b in zip(at.tolist(), tables(unit(np.stack([np.frombuffer(vs[i]) for i in at])), bits, count), strict=True):
+                for i, b in zip(at.tolist(), tables(unit(np.stack([np.frombuffer(vs[i], form) for i in at]).astype(np.float64)), bits, count), strict=True):
                     lists[i] = b
             yield pa.record_batch({"key": batch.column("key"), "buckets": pa.array(lists, pa.list_(pa.int64()))})
 
@@ -125,7 +127,7 @@ def links(frame: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         import pandas as pd
 
         bucket, i, j = pdf["bucket"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
-        v = np.stack([np.frombuffer(x) for x in pdf["v"]])
+        v = np.stack([np.frombuffer(x, form) for x in pdf["v"]]).astype(np.float64)
         part, copies = pdf["part"].to_numpy(), pdf["copies"].to_numpy()
         at = np.stack(pdf["buckets"].to_list())
         table = int(np.flatnonzero(at[0] == bucket)[0])
