@@ -35,7 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences: a row for each piece."""
-    return packing.pack(docs)
+    # Workers of the earlier stages live on beside these, so they remember less here than op6 has them do.
+    return packing.pack(docs, remembered=150_000)
 
 
 STAGES = [

@@ -39,6 +39,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(run):
+    """run over a task's batches; when they end, the worker, which lives on, hands freed memory back."""
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return work
+
+
 def release(df: DataFrame | None) -> None:
     """Deletes the files of a stored() table that no later plan reads."""
     where = getattr(df, "_stored_at", None)

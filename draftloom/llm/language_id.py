@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 
 #: Rows learned from, in all.
 SAMPLE = 3000
@@ -142,7 +142,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
             out = [(lang, x) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (x := features(t)) is not None]
             yield pa.record_batch({"lang": pa.array([k for k, _ in out], pa.string()), "x": pa.array([x.astype("<f2").tobytes() for _, x in out], pa.binary())})
 
-    got = chosen.mapInArrow(vectors, "lang string, x binary").distinct().orderBy("lang", "x").collect()  # SAMPLE rows in expectation
+    got = chosen.mapInArrow(tidy(vectors), "lang string, x binary").distinct().orderBy("lang", "x").collect()  # SAMPLE rows in expectation
     if not got:
         return None
     return fit(np.stack([np.frombuffer(r["x"], "<f2").astype(np.float32) for r in got]), [r["lang"] for r in got])
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

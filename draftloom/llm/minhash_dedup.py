@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, release, shingles, stored, utf8, word_hashes
+from .common import components, mix, release, shingles, stored, tidy, utf8, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 #: Counters of document frequency, and parts in which tasks hand them over.
@@ -135,7 +135,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             total += np.frombuffer(x, "<i8")
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "df": [total.tobytes()], "n": [int(pdf["n"].sum())]})
 
-    counted = docs.select("text").mapInArrow(count, "part int, df binary, n long").withColumn("way", F.pmod(F.spark_partition_id(), F.lit(64)))
+    counted = docs.select("text").mapInArrow(tidy(count), "part int, df binary, n long").withColumn("way", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = counted.groupBy("part", "way").applyInPandas(add, "part int, df binary, n long")
     rows = some.groupBy("part").applyInPandas(add, "part int, df binary, n long").collect()  # SKETCH counters at most
     df, n = np.zeros(SKETCH, np.float32), 0
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "bands": pa.array(lists, pa.list_(pa.int64()))})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>"
-    rows = stored(docs.mapInArrow(sketch, schema), "sketches")
+    rows = stored(docs.mapInArrow(tidy(sketch), schema), "sketches")
     texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("bands", ignorenulls=True).alias("bands")), "texts")
     members = texts.select("key", F.explode("bands").alias("bucket"))
     full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full")
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     vecs.append(packed(text))
             yield pa.record_batch({"key": pa.array(keys, pa.binary()), "u": pa.array(vecs, pa.binary())})
 
-    found = docs.select("text").mapInArrow(once, "key binary, u binary").join(asked, "key", "left_semi")
+    found = docs.select("text").mapInArrow(tidy(once), "key binary, u binary").join(asked, "key", "left_semi")
     vecs = stored(found.groupBy("key").agg(F.first("u").alias("u")), "vectors")
 
     def verify(batches):
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     one = stored(pairs.join(vecs.select(F.col("key").alias("a"), F.col("u").alias("ua")), "a"), "half")
     two = one.join(vecs.select(F.col("key").alias("b"), F.col("u").alias("ub")), "b")
-    links = stored(two.mapInArrow(verify, "a binary, b binary"), "links")
+    links = stored(two.mapInArrow(tidy(verify), "a binary, b binary"), "links")
     release(one)
     group = components(links)
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, tidy
 
 LENGTH, END, GROUPS = 4096, 1, 20
 #: Runs of letters (or other pieces) whose tokens a worker remembers at a time; some 150 MB.
@@ -58,10 +58,10 @@ class WordTokens:
     and those that name a special token, are cut at white space only and the words left to it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(path), {}, remembered
 
     def __call__(self, text: str) -> bytes:
         plain = _PLAIN.fullmatch(text) and "<|" not in text
@@ -71,7 +71,7 @@ class WordTokens:
             return b"".join([known[w] for w in parts])
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         new = [w for w in set(parts) if w not in known]
         for s in range(0, len(new), 4096):
@@ -84,21 +84,22 @@ class WordTokens:
 _kept: dict[str, WordTokens] = {}
 
 
-def tokens_by(path: str) -> WordTokens:
+def tokens_by(path: str, remembered: int = REMEMBERED) -> WordTokens:
     """One for each worker process, so that what it knows outlasts a task."""
     if path not in _kept:
-        _kept[path] = WordTokens(path)
+        _kept[path] = WordTokens(path, remembered)
+    _kept[path].remembered = remembered
     return _kept[path]
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, remembered: int = REMEMBERED) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document; remembered: pieces a worker keeps the tokens of."""
     path = path or vocabulary()
 
     def run(batches):
         import pyarrow as pa
 
-        tokens, end = tokens_by(path), np.array([END], "<u4").tobytes()
+        tokens, end = tokens_by(path, remembered), np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -109,7 +110,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(cols[0], pa.int32())), "piece": pa.array(cols[1], pa.int32()), "start": pa.array(cols[2], pa.int64()), "length": pa.array(cols[3], pa.int64()), "ids_crc32": pa.array(cols[4], pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], length: int) -> np.ndarray:
@@ -248,10 +249,10 @@ def places(classes: list[tuple[int, int, list[tuple[int, int]]]]) -> dict[int, n
     return {n: np.array(r, np.int64).T.copy() for n, r in out.items()}
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path, length).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
+    cut = stored(pieces(docs, path, length, remembered).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # LENGTH rows at most
     classes = plan(counts, length)
     shared = spark.sparkContext.broadcast(places(classes))  # runs of a number of classes that LENGTH bounds
@@ -279,7 +280,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
                 off[rows] = at[i] + d % times[i] * size
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 SIZE, REACH = 64, 24
 #: Windows learned from.
@@ -301,7 +303,7 @@ def train(docs: DataFrame, windows: int = WINDOWS) -> dict | None:
                         rows.append((h, part, ",".join(f"{k}:{a}:{b}" for k, a, b in own), bool(own)))
             yield pa.record_batch(list(map(pa.array, ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]), [pa.string()] * 3)) + [pa.array([r[3] for r in rows], pa.bool_())], names=["h", "part", "spans", "some"])
 
-    found = docs.select("text").mapInArrow(gather, "h string, part string, spans string, some boolean")
+    found = docs.select("text").mapInArrow(tidy(gather), "h string, part string, spans string, some boolean")
     got = [r for some, n in ((True, windows * 3 // 4), (False, windows // 4)) for r in found.where(F.col("some") == some).distinct().orderBy("h").limit(n).collect()]
     xs, ys = [], []
     for i, r in enumerate(got):
@@ -429,7 +431,7 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
             as_dicts = lambda rows: pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in r] for r in rows], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, as_dicts(base), as_dicts(full)], names=[*batch.schema.names, "base_spans", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _is(kind: int):
@@ -471,5 +473,5 @@ def redact(docs: DataFrame) -> DataFrame:
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = docs.mapInArrow(tidy(run), docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean

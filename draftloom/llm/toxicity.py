@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import held_out, stored, tidy
 
 #: Labelled documents learned from, in expectation.
 TOXIC, CLEAN = 3000, 6000
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
             part = keys[s : s + 10_000]
             yield pa.record_batch({"unit": pa.array(part, pa.string()), "clean": pa.array([seen[0][k] for k in part], pa.int64()), "toxic": pa.array([seen[1][k] for k in part], pa.int64())})
 
-    counted = sample.where("half = 0").select("toxic", "text").mapInArrow(units, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.where("half = 0").select("toxic", "text").mapInArrow(tidy(units), "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = stored(counted, "units")
     got = {r["unit"]: (r["clean"], r["toxic"]) for r in counted.where("toxic >= 2 or unit = ''").collect()}  # of the sample's toxic documents
     n0, n1 = got.pop("", (0, 0))
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 3), strict=True)], names=["toxic", "n", "segments", "x", "times"])
 
-    rows = sample.where("half = 1").select("toxic", "text").mapInArrow(best, "toxic int, n long, segments array<double>, x array<double>, times array<double>").collect()  # the sample's other half
+    rows = sample.where("half = 1").select("toxic", "text").mapInArrow(tidy(best), "toxic int, n long, segments array<double>, x array<double>, times array<double>").collect()  # the sample's other half
     rows.sort(key=lambda r: (r["toxic"], r["n"], r["segments"]))
     hist: Counter = Counter()
     for r in rows:
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 lists.append([{"start": s, "end": e, "score": v} for s, e, v in found])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in out], pa.float64()), pa.array([n for _, n in out], pa.int32()), pa.array(lists, kind)], names=[*batch.schema.names, "score", "n_passages", "passages"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.IntegerType()), T.StructField("passages", T.ArrayType(passage))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.IntegerType()), T.StructField("passages", T.ArrayType(passage))]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
