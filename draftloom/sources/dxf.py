@@ -140,7 +140,7 @@ def parse(files: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Primitives of every DXF file under path, in any folder below it."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dxf").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dxf").text(path, wholetext=True)
     return parse(files.select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text")))
 
 
