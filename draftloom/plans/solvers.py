@@ -129,7 +129,7 @@ def local_search(ids: list, unary: dict, relations: list[tuple], passes: int = 8
     return chosen
 
 
-@query("structural_solution", "ST11 ST12 ST13 ST14")
+@query("structural_solution", "ST11 ST13")
 def structural_solution(load):
     """Selected strokes of each page by local search over their scores and relations."""
     signals = load("walls").select("prim_id", "page", F.round(F.least(F.lit(0.3), (F.col("e") - F.col("s")) / 400) - 0.1, 6).alias("score"))
