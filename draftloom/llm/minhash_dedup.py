@@ -1,8 +1,8 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Weights: term frequency times smoothed inverse document frequency of runs of five words. Document
-frequencies are counted over all documents in a sketch of fixed size (SKETCH counters), whose error
-is a fixed share of the documents at any size, so only shingles in more than that share weigh less.
+frequencies are exact counts over all documents: groups of texts hand their shingles to ranges of
+hashes, where they are summed, and get back the counts of those in more than one document.
 Signatures: BANDS x ROWS samples by improved consistent weighted sampling. Texts that agree in all
 samples of a band share a bucket. Verification, in two parts that lose no candidate:
 
@@ -20,7 +20,6 @@ Repeated rows are copies. Extra columns are kept aside, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, mix, release, shingles, stored, tidy, utf8, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
-#: Counters of document frequency, and parts in which tasks hand them over.
-SKETCH, PARTS = 1 << 18, 16
+#: Bytes of text to a group where document frequencies are counted, and the least number of groups.
+GROUP, GROUPS = 1 << 23, 256
 #: Texts to a block where a bucket is compared whole.
 BLOCK = 512
 LEADERS = 3
@@ -44,28 +43,40 @@ _BETA = _rng.random(65536, np.float32)
 _LNC = np.log(_rng.gamma(2, 1, 65536).clip(1e-6)).astype(np.float32)
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)  # SKETCH counters
+def weights(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    return (tf * (np.log((1 + n) / (1 + df)) + 1)).astype(np.float32)
 
 
-def weights(u: np.ndarray, tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
-    return (tf * (np.log((1 + n) / (1 + df[slot(u)])) + 1)).astype(np.float32)
+def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes without repeats, and the sums of their counts."""
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def vector(text: bytes, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def counts(u: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Document frequencies of shingles u, out of the counts c of hashes h (sorted); 1 where h has none."""
+    if not len(h):
+        return np.ones(len(u), np.int64)
+    at = np.searchsorted(h, u).clip(max=len(h) - 1)
+    return np.where(h[at] == u, c[at], 1)
+
+
+def vector(text: bytes, h: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes of a text and their weights."""
     u, tf = np.unique(shingles(word_hashes(np.frombuffer(text, np.uint8)), WORDS), return_counts=True)
-    return u, weights(u, tf, df, n)
+    return u, weights(tf, counts(u, h, c), n)
 
 
-def packed(text: bytes) -> bytes:
-    """The shingles of a text by the upper 32 bits of their hashes, sorted, repeats kept."""
-    return np.sort((shingles(word_hashes(np.frombuffer(text, np.uint8)), WORDS) >> np.uint64(32)).astype("<u4")).tobytes()
+def packed(u: np.ndarray, w: np.ndarray) -> bytes:
+    """A vector by the upper 32 bits of its hashes: all of them, then all weights."""
+    u, at = np.unique((u >> np.uint64(32)).astype("<u4"), return_inverse=True)
+    return u.tobytes() + np.bincount(at, w, len(u)).astype("<f4").tobytes()
 
 
-def unpacked(b: bytes, df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    u, tf = np.unique(np.frombuffer(b, "<u4"), return_counts=True)
-    return u, weights(u.astype(np.uint64) << np.uint64(32), tf, df, n)
+def unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b, "<u4", len(b) // 8), np.frombuffer(b, "<f4", offset=len(b) // 2)
 
 
 def signature(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -112,37 +123,53 @@ def texts_of(batch) -> Iterator[bytes]:
         yield data[s:e].tobytes()
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Document frequencies of shingles, as a sketch of fixed size, and the number of documents."""
+def frequencies(texts: DataFrame, groups: int) -> DataFrame:
+    """(src, u, c) of texts (src, text, n_copies): for each src, shingles of its texts that are in more than one document, and in how many.
 
-    def count(batches):
+    A row holds the shingles of one src in one of about as many ranges of hashes as there are groups.
+    """
+    bits = max(1, (groups - 1).bit_length())
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    schema = "src int, u binary, c binary"
+
+    def part(key, table):
         import pyarrow as pa
 
-        df, n = np.zeros(SKETCH, np.int32), 0
-        for batch in batches:
-            for text in texts_of(batch):
-                np.add.at(df, np.unique(slot(shingles(word_hashes(np.frombuffer(text, np.uint8)), WORDS))), 1)
-                n += 1
-        if n:
-            parts = df.reshape(PARTS, -1)
-            yield pa.record_batch({"part": pa.array(range(PARTS), pa.int32()), "df": pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary()), "n": pa.array([n] * PARTS, pa.int64())})
+        hs, cs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in table.to_batches():
+            for text, n in zip(texts_of(batch), batch.column("n_copies").to_pylist(), strict=True):
+                hs.append(np.unique(shingles(word_hashes(np.frombuffer(text, np.uint8)), WORDS)))
+                cs.append(np.full(len(hs[-1]), n, np.int64))
+        h, c = summed(np.concatenate(hs), np.concatenate(cs))
+        cut = np.append(np.searchsorted(h, edges), len(h))
+        at = np.flatnonzero(cut[1:] > cut[:-1])
+        us, ns = ([x[cut[i] : cut[i + 1]].astype(form).tobytes() for i in at] for x, form in ((h, "<u8"), (c, "<i8")))
+        return pa.table({"src": pa.array([key[0].as_py()] * len(at), pa.int32()), "u": pa.array(us, pa.binary()), "c": pa.array(ns, pa.binary()), "span": pa.array(at.tolist(), pa.int32())})
+
+    def total(table):
+        import pyarrow as pa
 
-    def add(pdf):
-        import pandas as pd
+        us = [np.frombuffer(x, "<u8") for x in table.column("u").to_pylist()]
+        h, c = summed(np.concatenate(us), np.concatenate([np.frombuffer(x, "<i8") for x in table.column("c").to_pylist()]))
+        h, c = h[c > 1], c[c > 1]
+        out = []
+        for src, u in zip(table.column("src").to_pylist(), us, strict=True):
+            n = counts(u, h, c)
+            if (n > 1).any():
+                out.append((src, u[n > 1].tobytes(), n[n > 1].astype("<i8").tobytes()))
+        src, us, ns = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"src": pa.array(src, pa.int32()), "u": pa.array(us, pa.binary()), "c": pa.array(ns, pa.binary())})
 
-        total = np.zeros(SKETCH // PARTS, np.int64)
-        for x in pdf["df"]:
-            total += np.frombuffer(x, "<i8")
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "df": [total.tobytes()], "n": [int(pdf["n"].sum())]})
+    parts = texts.select("src", "text", "n_copies").groupBy("src").applyInArrow(part, schema + ", span int")
+    return parts.groupBy("span").applyInArrow(total, schema)
 
-    counted = docs.select("text").mapInArrow(tidy(count), "part int, df binary, n long").withColumn("way", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = counted.groupBy("part", "way").applyInPandas(add, "part int, df binary, n long")
-    rows = some.groupBy("part").applyInPandas(add, "part int, df binary, n long").collect()  # SKETCH counters at most
-    df, n = np.zeros(SKETCH, np.float32), 0
-    for r in rows:
-        df.reshape(PARTS, -1)[r["part"]] = np.frombuffer(r["df"], "<i8")
-        n = r["n"]
-    return df, n
+
+def looked_up(table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes and counts in rows of frequencies()."""
+    us, cs = ([np.frombuffer(x, form) for x in table.column(name).to_pylist()] for name, form in (("u", "<u8"), ("c", "<i8")))
+    h, c = np.concatenate([np.zeros(0, np.uint64), *us]), np.concatenate([np.zeros(0, np.int64), *cs])
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,29 +180,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df, n_docs = frequencies(docs)
-    shared = spark.sparkContext.broadcast((df, n_docs))  # 1 MB
-
-    def sketch(batches):
+    keyed = docs.withColumn("key", F.unhex(F.md5("text")))
+    rows = stored(keyed.select("doc_id", "key"), "keys")
+    texts = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("text").alias("text")), "texts")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum("n_copies").alias("n")).first()
+    n_docs, groups = size["n"] or 0, max(GROUPS, -(-(size["bytes"] or 0) // GROUP))
+    placed = texts.withColumn("src", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
+    often = stored(frequencies(placed, groups), "frequencies")
+
+    def sketch(some, known):
         import pyarrow as pa
 
-        df, n = shared.value
-        seen: set[bytes] = set()  # keys of this task's rows: a text is sketched once a task
-        for batch in batches:
-            keys, sigs, lists = [], [], []
+        h, c = looked_up(known)
+        keys, lists = [], []
+        for batch in some.to_batches():
+            keys += batch.column("key").to_pylist()
             for text in texts_of(batch):
-                key = hashlib.md5(text, usedforsecurity=False).digest()
-                keys.append(key)
-                u, w = ((), ()) if key in seen else vector(text, df, n)
-                seen.add(key)
-                sample = signature(u, w) if len(u) else None
-                lists.append(None if sample is None else bands(sample))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "bands": pa.array(lists, pa.list_(pa.int64()))})
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>"
-    rows = stored(docs.mapInArrow(tidy(sketch), schema), "sketches")
-    texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("bands", ignorenulls=True).alias("bands")), "texts")
-    members = texts.select("key", F.explode("bands").alias("bucket"))
+                u, w = vector(text, h, c, n_docs)
+                lists.append(bands(signature(u, w)) if len(u) else None)
+        return pa.table({"key": pa.array(keys, pa.binary()), "bands": pa.array(lists, pa.list_(pa.int64()))})
+
+    signed = placed.select("src", "key", "text").groupBy("src").cogroup(often.groupBy("src")).applyInArrow(sketch, "key binary, bands array<long>")
+    members = stored(signed, "sketches").select("key", F.explode("bands").alias("bucket"))
     full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full")
     inside = stored(members.join(full, "bucket"), "members")
     first = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("k"))).alias(f"l{i}") for i in range(LEADERS)]
@@ -196,27 +222,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         bits = wanted.value
-        seen: set[bytes] = set()  # keys of this task's rows
         for batch in batches:
-            keys, vecs = [], []
-            for text in texts_of(batch):
-                key = hashlib.md5(text, usedforsecurity=False).digest()
-                at = int.from_bytes(key[:3], "big")
-                if bits[at >> 3] >> (at & 7) & 1 and key not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    vecs.append(packed(text))
-            yield pa.record_batch({"key": pa.array(keys, pa.binary()), "u": pa.array(vecs, pa.binary())})
+            at = [int.from_bytes(key[:3], "big") for key in batch.column("key").to_pylist()]
+            yield batch.filter(pa.array([bool(bits[i >> 3] >> (i & 7) & 1) for i in at], pa.bool_()))
+
+    def weigh(some, known):
+        import pyarrow as pa
+
+        h, c = looked_up(known)
+        keys, vecs = [], []
+        for batch in some.to_batches():
+            keys += batch.column("key").to_pylist()
+            vecs += [packed(*vector(text, h, c, n_docs)) for text in texts_of(batch)]
+        return pa.table({"key": pa.array(keys, pa.binary()), "u": pa.array(vecs, pa.binary())})
 
-    found = docs.select("text").mapInArrow(tidy(once), "key binary, u binary").join(asked, "key", "left_semi")
-    vecs = stored(found.groupBy("key").agg(F.first("u").alias("u")), "vectors")
+    found = placed.select("src", "key", "text").mapInArrow(tidy(once), "src int, key binary, text string")
+    found = found.groupBy("src").cogroup(often.groupBy("src")).applyInArrow(weigh, "key binary, u binary")
+    vecs = stored(found.join(asked, "key", "left_semi"), "vectors")
 
     def verify(batches):
         import pyarrow as pa
 
-        df, n = shared.value
         for batch in batches:
-            ok = [jaccard(unpacked(x, df, n), unpacked(y, df, n)) >= SIMILARITY for x, y in zip(batch.column("ua").to_pylist(), batch.column("ub").to_pylist(), strict=True)]
+            ok = [jaccard(unpacked(x), unpacked(y)) >= SIMILARITY for x, y in zip(batch.column("ua").to_pylist(), batch.column("ub").to_pylist(), strict=True)]
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(ok, pa.bool_()))
 
     one = stored(pairs.join(vecs.select(F.col("key").alias("a"), F.col("u").alias("ua")), "a"), "half")
@@ -243,8 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 roots[x] = x = roots[roots[x]]
             return x
 
-        df, n = shared.value
-        vs = [(k, r, unpacked(u, df, n)) for k, r, u in zip(pdf["key"], pdf["root"], pdf["u"], strict=True)]
+        vs = [(k, r, unpacked(u)) for k, r, u in zip(pdf["key"], pdf["root"], pdf["u"], strict=True)]
         vs.sort(key=lambda v: v[2][1].sum(dtype=np.float64))
         total = np.array([v[2][1].sum(dtype=np.float64) for v in vs])
         out = []
