@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import components, mix, stored
 
-THRESHOLD, RECALL, EPSILON = 0.9, 0.99, 4.5
+THRESHOLD, RECALL, EPSILON = 0.9, 1 - 1e-5, 4.5
 #: Vectors to a bucket on average, and to a block.
 BUCKET, BLOCK = 512, 1024
 

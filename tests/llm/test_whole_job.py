@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from draftloom.llm import minhash_dedup
+import numpy as np
+
+from draftloom.llm import embedding_dedup, minhash_dedup
 
 
 def test_rare_shingles_weigh_by_exact_document_frequencies(spark):
@@ -14,3 +16,14 @@ def test_rare_shingles_weigh_by_exact_document_frequencies(spark):
     got = {r["doc_id"]: r["group_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
     assert got.pop(1) == 0  # 0.81 by exact counts
     assert all(i == g for i, g in got.items())
+
+
+def test_pairs_at_the_threshold_are_not_lost(spark):
+    rng = np.random.default_rng(4)
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 2000, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.9001 * a + np.sqrt(1 - 0.9001**2) * b])  # i and 2000 + i
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(4000)] == [(1, i % 2000) for i in range(4000)]
