@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from draftloom.llm import embedding_dedup, minhash_dedup
+from draftloom.llm import embedding_dedup, minhash_dedup, packing
 
 
 def test_rare_shingles_weigh_by_exact_document_frequencies(spark):
@@ -27,3 +27,32 @@ def test_pairs_at_the_threshold_are_not_lost(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert [got[i] for i in range(4000)] == [(1, i % 2000) for i in range(4000)]
+
+
+def test_the_fast_merges_are_the_vocabularys():
+    """Each token's own text is that token for both engines, so they agree on all pieces; and they do on random ones."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    encode, ids = packing.merges_of(packing.vocabulary())
+    words = [w for w in tokenizer.get_vocab(with_added_tokens=False) if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and w.islower()]
+    rng = np.random.default_rng(7)
+    letters = np.array([*"abcdefghijklmnopqrstuvwxyzàéíöüßñ"])
+    words = [w[:-4] for w in words] + ["".join(rng.choice(letters, n)) for n in rng.integers(1, 40, 20_000)]
+    for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        assert ids[encode(w.encode() + b"\xff")].tolist() == e.ids
+    import json
+
+    with open(packing.vocabulary(), encoding="utf-8") as file:
+        merges = json.load(file)["model"]["merges"]
+    model = tokenizer.model
+    for left, right in merges:  # by the vocabulary; its texts are of the file's own alphabet
+        body = (left + right).removesuffix("</w>")
+        if body != left + right:
+            assert [t.value for t in model.tokenize(body)] == [left + right]
+
+
+def test_forgetting_changes_no_tokens():
+    few, many = packing.WordTokens(packing.vocabulary(), 10), packing.WordTokens(packing.vocabulary())
+    texts = [f"Word{i % 7} other{i} don't <|endoftext|> naïve, {'x' * (i % 50)}!" for i in range(300)]
+    assert [few(t) for t in texts] == many.many(texts)
