@@ -39,6 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """df with its partitions' numbers as src, written to the shared folder in buckets of src and read back.
+
+    Grouping by src then needs no exchange. Nothing is exchanged to write it either: a partition is a
+    file. The table is listed in the session's catalog until forget(), or the driver's end.
+    """
+    spark = df.sparkSession
+    table, path = f"{name}_{uuid.uuid4().hex}", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    ways = 2 * max(1, df.rdd.getNumPartitions())  # twice, so that few buckets get several partitions
+    df.withColumn("src", F.spark_partition_id()).write.bucketBy(min(ways, 100_000), "src").sortBy("src").option("path", path).saveAsTable(table)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.table(table)
+    out._stored_at, out._table = where, table
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Takes a bucketed() table off the catalog, and its files, which no later plan reads."""
+    df.sparkSession.sql(f"drop table if exists {df._table}")
+    release(df)
+
+
 def tidy(run):
     """run over a task's batches; when they end, the worker, which lives on, hands freed memory back."""
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 
 from draftloom.llm import embedding_dedup, minhash_dedup, packing
+from draftloom.llm.common import shingles, word_hashes
+
+from .conftest import prose
 
 
 def test_rare_shingles_weigh_by_exact_document_frequencies(spark):
@@ -56,3 +62,85 @@ def test_forgetting_changes_no_tokens():
     few, many = packing.WordTokens(packing.vocabulary(), 10), packing.WordTokens(packing.vocabulary())
     texts = [f"Word{i % 7} other{i} don't <|endoftext|> naïve, {'x' * (i % 50)}!" for i in range(300)]
     assert [few(t) for t in texts] == many.many(texts)
+
+
+def test_no_link_is_lost_about_the_threshold(spark):
+    """Groups equal those by all pairs, similarities near 0.8 among them, by exact 64-bit document frequencies."""
+    rng = np.random.default_rng(8)
+    passage = [f"pass{i}" for i in range(60)]
+    texts = []
+    for base in range(60):
+        words = [f"v{k}" for k in rng.integers(0, 3000, 300)]
+        words[20:20] = passage[: base % 3 * 30]
+        texts.append(" ".join(words))
+        for changes in (2, 4, 6, 8, 10, 12):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), changes):
+                copy[at] = f"new{rng.integers(10_000)}"
+            texts.append(" ".join(copy))
+    sets = [dict(zip(*np.unique(shingles(word_hashes(np.frombuffer(t.encode(), np.uint8))), return_counts=True), strict=True)) for t in texts]
+    df = Counter(h for s in sets for h in s)
+    weight = [{h: k * (np.log((1 + len(texts)) / (1 + df[h])) + 1) for h, k in s.items()} for s in sets]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = links = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if i // 7 == j // 7 or i % 7 == j % 7 == 0:
+            a, b = weight[i], weight[j]
+            both = sum(min(w, b[h]) for h, w in a.items() if h in b)
+            s = both / (sum(a.values()) + sum(b.values()) - both)
+            near += 0.75 < s < 0.85
+            if s >= 0.8:
+                links += 1
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert near > 50 and links > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["group_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+def test_a_bucket_of_very_many_texts(spark):
+    """50,000 texts in one bucket by a passage they all have: pairs among them are found without comparing all with all."""
+    n, rng = 50_000, np.random.default_rng(3)
+    common = np.sort(rng.integers(0, 2**63, 20, dtype=np.uint64) << np.uint64(1))
+    rows = []
+    for i in range(n):
+        twin = i // 2 if i < 2000 else i  # the first 2,000 are 1,000 pairs
+        own = np.random.default_rng([1, twin]).integers(0, 2**63, 40, dtype=np.uint64) << np.uint64(1)
+        u = np.sort(np.concatenate([common, own]))
+        df = np.where(np.isin(u, common), n, 2 if i < 2000 else 1)
+        w = minhash_dedup.weights(np.ones(len(u)), df, n)
+        rows.append((i.to_bytes(8, "big"), minhash_dedup.packed(u, w), minhash_dedup.prefix(u, w, df)))
+    vecs = spark.createDataFrame(rows, "key binary, u binary, rare binary").repartition(8).persist()
+    rest = vecs.selectExpr("1L bucket", f"{n}L n", "key", "key root")
+    got = {tuple(sorted(int.from_bytes(x, "big") for x in r)) for r in minhash_dedup.compared(rest, vecs).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(1000)}
+    vecs.unpersist()
+
+
+def test_new_leaders_find_what_the_first_miss(spark, monkeypatch):
+    """With blocks of four, buckets of a chain of near copies are large: rounds of leaders and rare shingles link them all."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    words = prose(300, 9).split()
+    words = [f"{w}{i}" for i, w in enumerate(words)]
+    texts = []
+    for k in range(40):
+        words = list(words)
+        words[(k * 7) % 300] = f"edit{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["group_id"] for r in minhash_dedup.near_duplicates(docs).collect()} == {0}
+
+
+def test_of_equal_ids_and_texts_the_same_row_stays(spark):
+    text = prose(60, 4)
+    rows = [(1, text, f"s{i}", {"k": i}) for i in range(9)] + [(2, text, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stay string, key map<string, int>")
+    got = [minhash_dedup.keep_one(docs.repartition(n)).collect() for n in (1, 3, 7)]
+    assert len(got[0]) == 1 and got[0] == got[1] == got[2]
