@@ -2,7 +2,8 @@
 
 Tokens score by log-odds of toxic against clean documents under a chain of Dirichlet priors: a word's
 prior is the posterior of its first five letters, theirs is that of the first four, and so on to even
-odds; PRIOR documents' weight each. A drift makes clean tokens negative on average. One scan, linear
+odds; PRIOR documents' weight each. A drift, the same for all, makes clean tokens negative on
+average. One scan, linear
 in the text, then finds all maximal-scoring segments (every passage that no longer or shorter one
 beats). Segment scores are put in terms of chance by the extreme-value law: of n clean tokens,
 P(best >= s) = 1 - exp(-K n exp(-lambda s)); lambda solves the moment equation of the clean token
@@ -14,7 +15,7 @@ Learning uses a bounded sample of the labelled rows outside the held-out fold (T
 expectation), half for the tokens and half for the curve. Every document is scored whole.
 
 Cases: a null or empty text has the score of no evidence; without labels of both kinds every score is
-0; a label that is null doesn't count, of several for a document the highest counts; a null doc_id
+0; a label other than 0 and 1 (null too) doesn't count, of several for a document the highest counts; a null doc_id
 has no label; repeated rows get equal scores. Columns of other names are not read.
 """
 
@@ -32,7 +33,10 @@ from .common import held_out, stored, tidy
 
 #: Labelled documents learned from, in expectation.
 TOXIC, CLEAN = 3000, 6000
-PRIOR, DRIFT, STEMS = 4.0, 0.7, (5, 4)
+#: The drift was chosen on labelled rows outside of the held-out fold.
+PRIOR, DRIFT, STEMS = 4.0, 2.0, (5, 4)
+#: Documents of the sample's half that a unit is in, at least, to have counts of its own.
+SEEN = 2
 #: Words whose scores a worker remembers at a time.
 REMEMBERED = 300_000
 
@@ -44,7 +48,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Scores(dict):
-    """Score by word: its own, else its longest known beginning's, else that of a clean word."""
+    """Score by word: its own, else its longest known beginning's, else that of an unseen word: even odds less the drift."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         super().__init__()
@@ -119,7 +123,7 @@ def rate_of(values: np.ndarray, weight: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> dict | None:
     spark = docs.sparkSession
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     n = dict(known.groupBy("toxic").count().collect())
     if not n.get(0) or not n.get(1):
         return None
@@ -149,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
 
     counted = sample.where("half = 0").select("toxic", "text").mapInArrow(tidy(units), "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = stored(counted, "units")
-    got = {r["unit"]: (r["clean"], r["toxic"]) for r in counted.where("toxic >= 2 or unit = ''").collect()}  # of the sample's toxic documents
+    got = {r["unit"]: (r["clean"], r["toxic"]) for r in counted.where(f"clean + toxic >= {SEEN}").collect()}  # units of the sample's half: at most its words over SEEN
     n0, n1 = got.pop("", (0, 0))
     if not n0 or not n1:
         return None
@@ -173,18 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
             stem = unit[:-1]
             q = posterior(unit, posterior(f"{stem[: STEMS[1]]}*", 0.5) if len(stem) > STEMS[1] else 0.5)
             stems[stem] = logit(q) - DRIFT
-    good = [s for s, x in stems.items() if x > 0]
-    # Words that are common in clean documents keep their own score where their beginning is a toxic one.
-    if good:
-        like = counted.where("toxic < 2 and clean >= 2 and unit not like '%*'")
-        heads = spark.createDataFrame([(s,) for s in good], "stem string")
-        for k in STEMS:
-            near = like.join(F.broadcast(heads.where(F.length("stem") == k)), F.substring("unit", 1, k) == F.col("stem"))
-            got |= {r["unit"]: (r["clean"], r["toxic"]) for r in near.select("unit", "clean", "toxic").collect()}
     words = {u: logit(posterior(u, chain(u))) - DRIFT for u in got if not u.endswith("*")}
-    toxic_stem = set(good)
-    words = {u: x for u, x in words.items() if x > 0 or any(u[:k] in toxic_stem for k in STEMS)}
-    stems = {s: x for s, x in stems.items() if x > 0 or s[: STEMS[1]] in toxic_stem}
     shared = spark.sparkContext.broadcast((words, stems))
 
     def best(batches):
