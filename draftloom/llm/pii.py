@@ -22,7 +22,7 @@ import hashlib
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import tidy
@@ -229,13 +229,24 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48, rat
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH of a digit or an @, merged."""
+    """Stretches within REACH of a digit or an @, and on to the ends of words and addresses cut there; merged."""
     at = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > 2 * REACH)
     start, end = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-    return [(max(0, int(s) - REACH), min(len(text), int(e) + 1 + REACH)) for s, e in zip(start, end, strict=True)]
+    out: list[tuple[int, int]] = []
+    for s, e in zip(start, end, strict=True):
+        done = out[-1][1] if out else 0  # what regions before hold is not walked again
+        s, e = max(0, int(s) - REACH), max(done, min(len(text), int(e) + 1 + REACH))
+        while s > done and (text[s - 1].isalnum() or text[s - 1] in "._%+-"):
+            s -= 1
+        while e < len(text) and (text[e].isalnum() or text[e] in "._%+-"):
+            e += 1
+        if out and s <= done:
+            s = out.pop()[0]
+        out.append((s, e))
+    return out
 
 
 def starts(s: int, e: int) -> range:
@@ -284,13 +295,19 @@ def padded(text: str, s: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, windows: int = WINDOWS) -> dict | None:
-    """Weights from the spans that the rules find around a sample of windows; None without any."""
+    """Weights from the spans that the rules find around a sample of windows; None without any.
+
+    Regions of up to 4 SIZE characters are learned from, windows of them in all, of least hash; longer
+    ones are decoded all the same. Each task hands over no more than that, so nothing else is exchanged.
+    """
+
+    most = {True: windows * 3 // 4, False: windows // 4}
 
     def gather(batches):
         import pyarrow as pa
 
+        kept: dict[bool, dict[str, tuple]] = {True: {}, False: {}}
         for batch in batches:
-            rows = []
             for text in batch.column("text").to_pylist():
                 if not text or not _TRIGGER.search(text):
                     continue
@@ -300,11 +317,18 @@ def train(docs: DataFrame, windows: int = WINDOWS) -> dict | None:
                     part = text[s:e]
                     h = hashlib.md5(part.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
                     if e - s <= 4 * SIZE:
-                        rows.append((h, part, ",".join(f"{k}:{a}:{b}" for k, a, b in own), bool(own)))
+                        kept[bool(own)][h] = h, part, ",".join(f"{k}:{a}:{b}" for k, a, b in own), bool(own)
+            for some, n in most.items():
+                if len(kept[some]) > 4 * n:
+                    kept[some] = {h: kept[some][h] for h in sorted(kept[some])[:n]}
+        rows = [kept[some][h] for some, n in most.items() for h in sorted(kept[some])[:n]]
+        if rows:
             yield pa.record_batch(list(map(pa.array, ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]), [pa.string()] * 3)) + [pa.array([r[3] for r in rows], pa.bool_())], names=["h", "part", "spans", "some"])
 
     found = docs.select("text").mapInArrow(tidy(gather), "h string, part string, spans string, some boolean")
-    got = [r for some, n in ((True, windows * 3 // 4), (False, windows // 4)) for r in found.where(F.col("some") == some).distinct().orderBy("h").limit(n).collect()]
+    ranked = F.row_number().over(Window.partitionBy("some").orderBy("h", "part"))
+    found = found.distinct().withColumn("rank", ranked).where(F.col("rank") <= most[True]).where(F.col("some") | (F.col("rank") <= most[False]))
+    got = found.orderBy(F.col("some").desc(), "h", "part").collect()  # windows rows at most
     xs, ys = [], []
     for i, r in enumerate(got):
         own = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x]
@@ -340,6 +364,39 @@ def decode(em: np.ndarray, p: dict) -> np.ndarray:
     return y
 
 
+def decode_many(ems: list[np.ndarray], p: dict) -> list[np.ndarray]:
+    """decode() of each, those of like lengths together."""
+    tr, st = np.where(ALLOWED, p["T"], -1e4).astype(np.float32), np.where(STARTS, p["S"], -1e4).astype(np.float32)
+    order = sorted(range(len(ems)), key=lambda i: -len(ems[i]))
+    out: list = [None] * len(ems)
+    at = 0
+    while at < len(order):
+        longest = len(ems[order[at]])
+        some = order[at : at + max(1, (1 << 16) // longest)]
+        at += len(some)
+        sizes = np.array([len(ems[i]) for i in some])
+        live = np.searchsorted(-sizes, -np.arange(longest), "left")  # those longer than a position come first
+        em = np.zeros((longest, len(some), TAGS), np.float32)
+        for r, i in enumerate(some):
+            em[: sizes[r], r] = ems[i]
+        back, a = np.zeros(em.shape, np.int8), em[0] + st
+        for t in range(1, longest):
+            n = live[t]
+            m = a[:n, :, None] + tr
+            back[t, :n] = m.argmax(1)
+            a[:n] = em[t, :n] + m.max(1)
+        y = np.zeros((longest, len(some)), np.int64)
+        tag = a.argmax(1)
+        for t in range(longest - 1, -1, -1):
+            n = live[t]
+            y[t, :n] = tag[:n]
+            if t:
+                tag[:n] = back[t, np.arange(n), tag[:n]]
+        for r, i in enumerate(some):
+            out[i] = y[: sizes[r], r]
+    return out
+
+
 def fits(kind: int, s: str) -> bool:
     """What a span of a kind needs, however it is written."""
     n = len(digits_of(s))
@@ -362,11 +419,10 @@ def model_spans(texts: list[str], p: dict) -> list[list[tuple[int, int, int]]]:
                 n = min(SIZE, e - w)
                 sums[r][0][w - s : w - s + n] += x[:n] * _EDGE[:n, None]
                 sums[r][1][w - s : w - s + n] += _EDGE[:n, None]
-        for (i, s, _), (em, weight) in zip(group, sums, strict=True):
-            em = em / weight
-            if em[:, 1:].max() < em[:, 0].min():
+        ems = [em / weight for em, weight in sums]
+        for (i, s, _), em, y in zip(group, ems, decode_many(ems, p), strict=True):
+            if not y.any():
                 continue
-            y = decode(em, p)
             prob = np.exp(em - _lse(em, 1)[:, None])
             a = 0
             while a < len(y):

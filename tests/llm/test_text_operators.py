@@ -126,6 +126,9 @@ def test_decoding_is_the_best_path():
     paths = np.stack(np.meshgrid(*[range(pii.TAGS)] * 4, indexing="ij"), -1).reshape(-1, 4)
     totals = em[np.arange(4), paths].sum(1) + st[paths[:, 0]] + tr[paths[:, :-1], paths[:, 1:]].sum(1)
     assert (pii.decode(em, p) == paths[totals.argmax()]).all()
+    many = [rng.normal(size=(n, pii.TAGS)).astype(np.float32) for n in (4, 1, 70, 7, 7, 300, 2)]
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    assert all((pii.decode(e, p) == y).all() for e, y in zip(many, pii.decode_many(many, p), strict=True))
 
 
 @pytest.fixture(scope="module")
