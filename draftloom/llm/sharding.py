@@ -1,7 +1,8 @@
 """Sharding by histogram sort: shards of near equal bytes, in key order, with one exchange.
 
 Keys are (hash of the text, doc_id, number of the row), so equal texts lie next to each other and no
-two keys are equal; a group of copies is cut where a boundary falls in it. Boundaries are sought for
+two keys are equal; where a boundary falls in a group of copies, it moves to the group's nearer end
+if that is within TOLERANCE, else the group is cut. Boundaries are sought for
 equal shares of the bytes. Each round, every partition counts the rows and bytes below all probes,
 the sums narrow the interval that holds each boundary, and keys drawn from the intervals (PROBES
 each in expectation, all keys of a small one) are the next probes. Rounds end when every boundary is
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARDS, TOLERANCE, PROBES, ROWS = 40, 0.002, 48, 250_000
+SHARDS, TOLERANCE, PROBES, ROWS = 40, 0.002, 48, 2_000_000
 FIRST = 2048
 _KEY = ("__h", "__i", "__r")
 
@@ -78,12 +79,13 @@ def drawn(rows: DataFrame, low: np.ndarray, high: np.ndarray, share: np.ndarray,
             inside = (i >= 0) & (k < high[i.clip(0)])
             luck = (batch.column("__luck").to_numpy().astype(np.int64) & 0xFFFFF) / float(1 << 20)
             keep = k[inside & (luck < share[i.clip(0)])]
-            yield pa.record_batch({"k": pa.array([x.ljust(24, b"\0") for x in keep.tolist()], pa.binary())})
+            if len(keep):
+                yield pa.record_batch({"k": pa.array([keep.tobytes()], pa.binary())})
 
     luck = F.xxhash64(*_KEY, F.lit(turn)).alias("__luck")
-    got = rows.select(*_KEY, luck).mapInArrow(run, "k binary").collect()  # PROBES for each boundary in expectation
+    got = rows.select(*_KEY, luck).mapInArrow(run, "k binary").collect()  # PROBES keys for each boundary in expectation, a row a batch
     shared.unpersist()
-    return np.array(sorted({bytes(r["k"]) for r in got}), "S24")
+    return np.unique(np.concatenate([np.zeros(0, "S24"), *(np.frombuffer(r["k"], "S24") for r in got)]))
 
 
 def splitters(rows: DataFrame, parts: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,16 @@ def splitters(rows: DataFrame, parts: int, tolerance: float) -> tuple[np.ndarray
     i = np.searchsorted(below_b, goal, "left").clip(max=len(probes) - 1)
     left = (i - 1).clip(0)
     best = np.where(np.abs(below_b[left] - goal) <= np.abs(below_b[i] - goal), left, i)
-    return probes[best], below_n[best]
+    # Where copies are cut, the ends of their group are counted too.
+    heads = [int.from_bytes(k.ljust(24, b"\0")[:8], "big") for k in probes[best].tolist()]
+    ends = np.array([[min(h + i, (1 << 64) - 1).to_bytes(8, "big").ljust(24, b"\0") for h in heads] for i in (0, 1)], "S24")
+    every = np.unique(np.concatenate([probes[best], *ends]))
+    total, n = counted(rows, every)
+    below_b, below_n = np.cumsum(total)[:-1], np.cumsum(n)[:-1]
+    choices = np.searchsorted(every, np.stack([*ends, probes[best]]))
+    miss = np.abs(below_b[choices] - goal)
+    at = np.where(miss[:2].min(0) <= tolerance * share, choices[miss[:2].argmin(0), np.arange(len(goal))], choices[2])
+    return every[at], below_n[at]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -154,4 +165,5 @@ def op9_sharding(spark, sf_dir: str) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Whole documents, written to a folder for each shard, in slot order."""
     sized = keyed(docs).withColumn("size", F.octet_length(F.coalesce("text", F.lit("")).cast("binary")).cast("long") + 16)
-    shard(sized, shards).drop("size").write.partitionBy("shard").parquet(path)
+    # Stored, so that the numbers of the rows are the same in both readings.
+    shard(stored(sized, "sized"), shards).drop("size").write.partitionBy("shard").parquet(path)
