@@ -49,6 +49,7 @@ def draw(weight: Column) -> Column:
 
 def targets(sources: DataFrame) -> DataFrame:
     """sources (source, rows, source_size) with target, epochs and rest (words after the epochs)."""
+    # Windows over all rows of this table: a row for each source.
     rank = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     s = sources.withColumn("rn", F.row_number().over(rank))
@@ -112,22 +113,22 @@ ORACLE = MIX_SQL.format(documents="documents") + "SELECT doc_id, size, source_si
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The rows of the mix: a row for each whole time a document is taken, and one cut after the words left over."""
-    mixed = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("draw").alias("__draw"), F.col("taken").alias("__taken"))
-    mixed = stored(mixed, "mixed")
+    """The rows of the mix: a row for each whole time a document is taken, and one cut after the words left over.
+
+    The columns are those of docs, whatever their names; n_chars follows the text. Rows of size 0 and
+    those past their source's budget go; of repeated rows any may be the one that is cut or goes.
+    """
+    mixed = mix(docs).where("taken > 0")
     # Equal rows share a draw; each joins by its number among them.
-    same = Window.partitionBy("__id", "__draw", "__source", "__size").orderBy("__taken")
-    mixed = mixed.withColumn("__n", F.row_number().over(same))
-    sized = docs.withColumn("__s", n_words())
-    sized = sized.withColumn("__d", draw(F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(0.5) * F.coalesce(F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")), F.lit(0)) / F.greatest(F.col("__s"), F.lit(1)))))
-    sized = sized.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "__d", "source", "__s").orderBy("doc_id")))
-    on = sized["doc_id"].eqNullSafe(mixed["__id"]) & sized["source"].eqNullSafe(mixed["__source"]) & (F.col("__s") == F.col("__size")) & (F.col("__d") == F.col("__draw")) & (F.col("__k") == F.col("__n"))
-    rows = sized.join(mixed, on)
-    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    rows = rows.withColumn("__t", F.explode(F.sequence(F.lit(1), times)))
-    left = (F.col("__taken") - (F.col("__t") - 1) * F.col("__size")).cast("int")
-    cut = F.array_join(F.slice(F.filter(F.split("text", GAP), lambda x: x != ""), F.lit(1), F.greatest(F.col("__left"), F.lit(1))), " ")
-    rows = rows.withColumn("__left", left).withColumn("text", F.when(F.col("__left") < F.col("__size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    mixed = mixed.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "draw", "source", "size").orderBy("taken")))
+    mixed = stored(mixed.select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "draw", "source", "size", "n")), "taken"), "mixed")
+    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")).withColumn("size", n_words()).withColumn("draw", draw(quality()))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "draw", "source", "size").orderBy("doc_id")))
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")) & (F.col("draw") == F.col("of_draw")) & (F.col("n") == F.col("of_n"))
+    rows = rows.join(mixed, on).select("text", "row", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("time"))
+    left = (F.col("taken") - (F.col("time") - 1) * F.col("size")).cast("int")
+    rows = rows.select("text", "row", "size", left.alias("left"))
+    cut = F.array_join(F.slice(F.filter(F.split("text", GAP), lambda x: x != ""), F.lit(1), F.greatest(F.col("left"), F.lit(1))), " ")
+    rows = rows.select(F.when(F.col("left") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "row")
+    given = {"text": F.col("text"), "n_chars": F.length("text")}
+    return rows.select(*(given[c].cast(t).alias(c) if c in given else F.col(f"row.`{c}`") for c, t in docs.dtypes))
