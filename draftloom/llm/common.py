@@ -19,9 +19,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one only where it names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    return (conf.get("spark.checkpoint.dir") or "file:///tmp/checkpoints").rstrip("/") + "/" + spark.sparkContext.applicationId
+    """The folder all executors share, as the cluster names it; a local one only where all run in one process (tests)."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or "file:///tmp/checkpoints").rstrip("/") + "/" + spark.sparkContext.applicationId
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -174,6 +174,7 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs with lang as predicted, without those that have no letter or no language learned."""
-    found = identify(docs, train(docs)).where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred"))
-    return found.select(docs.columns)
+    """docs with lang as predicted, without those that have no letter or no language learned; other columns, whatever their names, stay."""
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = identify(rows, train(docs)).where("lang_pred <> 'und'")
+    return found.select(*(F.col("lang_pred").cast(t).alias(c) if c == "lang" else F.col(f"row.`{c}`") for c, t in docs.dtypes))
