@@ -7,8 +7,10 @@ from itertools import combinations
 
 import numpy as np
 
-from draftloom.llm import embedding_dedup, minhash_dedup, packing
-from draftloom.llm.common import shingles, word_hashes
+import corpus_pipeline
+from draftloom.llm import embedding_dedup, minhash_dedup, packing, sharding, toxicity
+from draftloom.llm.common import shingles, stored, word_hashes
+from tests.conftest import SMALL
 
 from .conftest import prose
 
@@ -144,3 +146,38 @@ def test_of_equal_ids_and_texts_the_same_row_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, stay string, key map<string, int>")
     got = [minhash_dedup.keep_one(docs.repartition(n)).collect() for n in (1, 3, 7)]
     assert len(got[0]) == 1 and got[0] == got[1] == got[2]
+
+
+def test_stages_leave_columns_of_other_names_alone(spark, edges):
+    """score, size, key and the like are the caller's: the same values come out, of the same types."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, edges, SMALL)
+        assert got.dtypes == edges.dtypes, name
+        rows = got.collect()
+        assert rows and all(r[c] == "x" for r in rows for c in edges.columns[5:]), name
+
+
+def test_shards_are_those_of_a_sort(spark):
+    """Slots follow the order of all keys; boundaries are within tolerance of equal bytes; small groups of copies stay whole."""
+    rng = np.random.default_rng(6)
+    texts = [f"text {rng.integers(700)} " + "y" * int(rng.integers(60)) * (i % 3 == 0) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    sized = stored(sharding.keyed(docs).selectExpr("*", "octet_length(text) + 16L AS size"), "sized")
+    keys = {r["doc_id"]: (r["__h"], r["__i"], r["__r"]) for r in sized.collect()}
+    got = sorted(sharding.shard(sized, 5, 0.02).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["doc_id"] for r in got] == sorted(keys, key=keys.get)
+    total, load, homes = sum(r["size"] for r in got), Counter(), {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        homes.setdefault(r["text"], set()).add(r["shard"])
+    assert all(abs(n - total / 5) <= 2 * 0.02 * total / 5 + 100 for n in load.values())
+    assert all(len(h) == 1 for h in homes.values())
+
+
+def test_labels_of_other_values_do_not_count(spark):
+    docs = spark.createDataFrame([(i, prose(30, i) + (" vile slur" if i % 3 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (1 if i % 3 == 0 else 0) if i % 10 else [2, None][i % 20 == 0]) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model["words"]["vile"] > 0 and min(model["words"].values()) < -toxicity.DRIFT  # clean words have odds of their own
+    rows = toxicity.score(docs, model).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in rows)
