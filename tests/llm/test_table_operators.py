@@ -61,9 +61,13 @@ def test_estimates_are_unbiased_and_bounds_hold():
     turned = [embedding_dedup.unit(v) for v in (a, b)]
     true = (turned[0] * turned[1]).sum(1)
     errors = []
-    for turn in range(40):
-        q, r = (t @ embedding_dedup.rotation(64, turn) for t in turned)
-        signs, f = embedding_dedup.code(r)
+    for turn in range(12):
+        spin = embedding_dedup.rotation(64, 100 + turn)
+        q, r = (t @ spin for t in turned)
+        rows, buckets = embedding_dedup.encoded(r, 4, 7, np.arange(400, dtype=np.uint64))
+        side, signs, f, again = embedding_dedup.decoded(rows, 64, 7, 4)
+        assert np.abs(side - r).max() <= np.abs(r).max() / 127 and (again == buckets).all()
+        q, *_ = embedding_dedup.decoded(embedding_dedup.encoded(q, 4, 7, np.arange(400, dtype=np.uint64))[0], 64, 7, 4)
         est, bound = embedding_dedup.estimates(q, signs, f)
         assert (np.abs(np.diag(est) - true) <= bound).all()
         errors.append(np.diag(est) - true)
