@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.options import DEFAULT
+from ..plans.view import over
+from .joins import PAIR_SQL, wall_pairs
 from .registry import both, query
 
 
@@ -34,12 +37,21 @@ SELECT page, orient, min(coord) AS axis FROM (SELECT page, orient, coord, sum(w)
 both("weighted_quantile_crop", "A9", """
 SELECT page, min(CASE WHEN upto >= 0.02e0 * total THEN coord END) AS low, min(CASE WHEN upto >= 0.98e0 * total THEN coord END) AS high FROM (
   SELECT page, coord, sum(w) OVER (PARTITION BY page ORDER BY coord ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY page) AS total FROM (SELECT page, coord, sum(e - s) AS w FROM {walls} WHERE orient = 'V' GROUP BY page, coord) c) q GROUP BY page""")
-both("distinct_lists", "A11 S2", "SELECT page, category, count(DISTINCT label) AS labels, count(DISTINCT status) AS states, min(label) AS first_label FROM {items} GROUP BY page, category")
+_LISTS = "SELECT page, category, count(DISTINCT label) AS labels, count(DISTINCT status) AS states, {} AS label_list FROM {{items}} GROUP BY page, category"
+query("distinct_lists", "A11 S2", _LISTS.format("string_agg(DISTINCT label, '|' ORDER BY label)"))(lambda load: over(load, _LISTS.format("array_join(array_sort(collect_set(label)), '|')")))
 both("diagnostics_summary", "A18 A12", "SELECT kind AS code, CASE WHEN w > 14 THEN 'Error' WHEN w > 8 THEN 'Warning' ELSE 'Info' END AS severity, count(*) AS n, count(DISTINCT page) AS pages FROM {rects} GROUP BY 1, 2")
 both("most_common_value", "A21", "SELECT category, label, n FROM (SELECT category, label, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, label) AS rn FROM {items} GROUP BY category, label) r WHERE rn = 1")
-both("thickness_outliers", "A24 ST5", """
-SELECT w.prim_id, w.e - w.s AS len, q.mid, (w.e - w.s) < q.q1 - 1.5e0 * (q.q3 - q.q1) OR (w.e - w.s) > q.q3 + 1.5e0 * (q.q3 - q.q1) AS outlier
-FROM {walls} w JOIN (SELECT page, percentile(e - s, 0.25e0) AS q1, median(e - s) AS mid, percentile(e - s, 0.75e0) AS q3 FROM {walls} GROUP BY page) q ON q.page = w.page""")
+_THICK = """SELECT a_id, b_id, separation, mid, separation < q1 - 1.5e0 * (q3 - q1) OR separation > q3 + 1.5e0 * (q3 - q1) AS outlier FROM (SELECT page, a_id, b_id, separation FROM {pairs}) p
+  JOIN (SELECT page AS of_page, percentile(separation, 0.25e0) AS q1, median(separation) AS mid, percentile(separation, 0.75e0) AS q3 FROM {pairs} GROUP BY page) q ON of_page = page"""
+
+
+@query("thickness_outliers", "A24 ST5", _THICK.replace("{pairs}", f"({PAIR_SQL}) pairs"))
+def thickness_outliers(load):
+    """Walls as thick as their two faces are apart, against the quartiles of their page."""
+    pairs = wall_pairs(load("walls"))
+    return over(lambda name: pairs, _THICK)
+
+
 
 _COVER = """SELECT page, orient, coord, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN frontier IS NULL OR s > frontier THEN 1 ELSE 0 END) OVER (PARTITION BY page, orient, coord ORDER BY s, e DESC, prim_id ROWS UNBOUNDED PRECEDING) AS island
   FROM (SELECT *, max(e) OVER (PARTITION BY page, orient, coord ORDER BY s, e DESC, prim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS frontier FROM {walls}) f) i GROUP BY page, orient, coord, island"""
@@ -47,12 +59,28 @@ both("interval_union_coverage", "A17 A15 PL3", f"SELECT page, orient, coord, sum
 both("opening_solid_intervals", "GW6", f"""
 SELECT page, orient, coord, s, e, next_s - e AS gap FROM (SELECT *, lead(s) OVER (PARTITION BY page, orient, coord ORDER BY s) AS next_s FROM ({_COVER}) u) g WHERE next_s IS NULL OR next_s - e > 0""")
 
-both("seed_topk", "T2 T1 WL7", """
-SELECT page, prim_id, rank FROM (SELECT page, prim_id, row_number() OVER (PARTITION BY page ORDER BY CASE layer WHEN 'A-WALL' THEN 0 WHEN '(unlayered)' THEN 1 ELSE 2 END, e - s DESC, prim_id) AS rank FROM {lines}) r WHERE rank <= 100""")
+def seeds(cap: int) -> str:
+    """The first cap strokes of each page: by kind of layer, then length."""
+    return f"""
+SELECT page, prim_id, rank FROM (SELECT page, prim_id, row_number() OVER (PARTITION BY page ORDER BY CASE layer WHEN 'A-WALL' THEN 0 WHEN '(unlayered)' THEN 1 ELSE 2 END, e - s DESC, prim_id) AS rank FROM {{lines}}) r WHERE rank <= {cap}"""
+
+
+both("seed_topk", "T2 T1 WL7", seeds(DEFAULT.seeds_per_page))
 both("review_queue_topk", "T6 Q4", """
 SELECT page, id, priority FROM (SELECT page, id, round((1 - confidence) * 0.6e0 + CASE category WHEN 'Door' THEN 0.3e0 WHEN 'Stair' THEN 0.2e0 ELSE 0.1e0 END, 9) AS priority,
   row_number() OVER (PARTITION BY page ORDER BY round((1 - confidence) * 0.6e0 + CASE category WHEN 'Door' THEN 0.3e0 WHEN 'Stair' THEN 0.2e0 ELSE 0.1e0 END, 9) DESC, id) AS rn FROM {items}) r WHERE rn <= 20""")
-both("crop_order_topk", "T5 T4 T8", "SELECT page, id FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY confidence DESC, w * h DESC, id) AS rn FROM {items}) r WHERE rn <= 200 AND rn <= 250")
+
+
+def capped(crops: int, linework: int, candidates: int, rooms: int, arcs: int) -> str:
+    """What each page keeps of crops, linework, candidates of objects, rooms and arcs: the first by worth."""
+    best = lambda kind, table, key, order, cap: f"SELECT '{kind}' AS kind, page, id FROM (SELECT page, {key} AS id, row_number() OVER (PARTITION BY page ORDER BY {order}, {key}) AS rn FROM {{{table}}}) r WHERE rn <= {cap}"
+    return " UNION ALL ".join((
+        best("crop", "crops", "CAST(id AS STRING)", "confidence DESC, w * h DESC", crops), best("linework", "lines", "prim_id", "e - s DESC", linework), best("candidate", "items", "CAST(id AS STRING)", "confidence DESC", candidates),
+        best("room", "rooms", "id", "w * h DESC", rooms), best("arc", "arcs", "CAST(id AS STRING)", "r * sweep DESC", arcs),
+    ))
+
+
+both("crop_order_topk", "T5 T4 T8", capped(DEFAULT.crops_per_page, DEFAULT.linework_per_page, DEFAULT.candidates_per_page, DEFAULT.rooms_per_page, DEFAULT.arcs_per_page))
 both("focus_context_topk", "T7", """
 SELECT page, id, distance FROM (SELECT page, id, round(sqrt((x - 250) * (x - 250) + (y - 250) * (y - 250)), 6) AS distance, row_number() OVER (PARTITION BY page ORDER BY round(sqrt((x - 250) * (x - 250) + (y - 250) * (y - 250)), 6), id) AS rn FROM {items}) r WHERE rn <= 40""")
 
@@ -92,13 +120,27 @@ def property_lookup(load):
     return e.select("event_id", F.col("m")["k"].cast("long").alias("k"), F.array_join(evidence, ";").alias("evidence"))
 
 
-@query("loop_simplify", "AR3", """
-SELECT id, 4 AS kept, w * h AS area FROM {rects}""")
+_LOOP = "(0, x, y), (1, x, y), (2, x + w / 2, y + CASE WHEN id % 3 = 0 THEN 0.5e0 ELSE 0e0 END), (3, x + w, y), (4, x + w, y + h), (5, x + w, y + h), (6, x, y + h), (7, x + CASE WHEN id % 5 = 0 THEN 0.25e0 ELSE 0e0 END, y + h / 2)"
+
+
+@query("loop_simplify", "AR3", f"""
+WITH p AS (SELECT id, k, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py FROM {{rects}}, LATERAL (VALUES {_LOOP}) AS v(k, px, py)),
+d AS (SELECT * FROM (SELECT *, coalesce(lag(px) OVER o, last_value(px) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS bx, coalesce(lag(py) OVER o, last_value(py) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS by_ FROM p WINDOW o AS (PARTITION BY id ORDER BY k)) q WHERE px <> bx OR py <> by_),
+n AS (SELECT *, coalesce(lag(px) OVER o, last_value(px) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ax, coalesce(lag(py) OVER o, last_value(py) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ay,
+  coalesce(lead(px) OVER o, first_value(px) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS cx, coalesce(lead(py) OVER o, first_value(py) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS cy FROM d WINDOW o AS (PARTITION BY id ORDER BY k)),
+b AS (SELECT id, k, px, py FROM n WHERE (px - ax) * (cy - ay) - (py - ay) * (cx - ax) <> 0),
+t AS (SELECT id, px * ny - nx * py AS turn FROM (SELECT *, coalesce(lead(px) OVER o, first_value(px) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nx, coalesce(lead(py) OVER o, first_value(py) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ny FROM b WINDOW o AS (PARTITION BY id ORDER BY k)) q)
+SELECT id, count(*) AS kept, abs(sum(turn)) / 2 AS area FROM t GROUP BY id""")
 def loop_simplify(load):
-    """Loops without repeated points and points on a straight line: boxes given by eight points keep four."""
+    """Loops without repeated points and points on a straight line: boxes given by eight points, some of them bent."""
     p = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
-    points = F.array(p("x", "y"), p("x", "y"), p("x + w / 2", "y"), p("x + w", "y"), p("x + w", "y + h"), p("x + w", "y + h"), p("x", "y + h"), p("x", "y + h / 2"))
-    loops = load("rects").select("id", points.alias("p"))
+    bent = lambda every, by: f"CASE WHEN id % {every} = 0 THEN {by}e0 ELSE 0e0 END"
+    points = F.array(p("x", "y"), p("x", "y"), p("x + w / 2", f"y + {bent(3, 0.5)}"), p("x + w", "y"), p("x + w", "y + h"), p("x + w", "y + h"), p("x", "y + h"), p(f"x + {bent(5, 0.25)}", "y + h / 2"))
+    return simplified(load("rects").select("id", points.alias("p")))
+
+
+def simplified(loops):
+    """(id, kept, area) of loops (id, p: array of x and y): how many points stay, and the area within."""
     at = lambda a, i: F.get(a, F.pmod(i, F.size(a)))
     loops = loops.withColumn("p", F.filter("p", lambda q, i: q != at("p", i - 1 + F.size("p"))))
     bend = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]) != 0

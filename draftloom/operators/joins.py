@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dist, length, to_segment
+from ..plans.view import over
 from .registry import both, query
 from .spatial import band_join, grid_join, nearest
 
@@ -30,6 +31,15 @@ def wall_pairs(walls, low: float = 2.0, high: float = 24.0, least_overlap: float
 query("wall_pairs", "J5 WL11 GEO10", PAIR_SQL)(lambda load: wall_pairs(load("walls")))
 
 
+def crossings(walls):
+    """(prim_id, page, pos): where strokes of the other direction cross or touch a stroke, at its inside."""
+    box = lambda o: walls.where(F.col("orient") == o).select("prim_id", "page", F.col("s" if o == "H" else "coord").alias("x"), F.col("coord" if o == "H" else "s").alias("y"), *((F.col("e") - F.col("s") if o == k else F.lit(0.0)).alias(n) for n, k in (("w", "H"), ("h", "V"))))
+    met = grid_join(box("H"), box("V"), 120.0, 0.0, ("h_", "v_"))
+    on_h = met.where("v_x > h_x and v_x < h_x + h_w").select(F.col("h_prim_id").alias("prim_id"), F.col("h_page").alias("page"), F.col("v_x").alias("pos"))
+    on_v = met.where("h_y > v_y and h_y < v_y + v_h").select(F.col("v_prim_id").alias("prim_id"), F.col("h_page").alias("page"), F.col("h_y").alias("pos"))
+    return on_h.unionByName(on_v)
+
+
 @query("hv_junctions", "J11 G2 GEO4 ST15", """
 SELECT page, count(*) AS n, sum(v.coord) AS sum_x, sum(h.coord) AS sum_y, count(CASE WHEN v.coord IN (h.s, h.e) AND h.coord IN (v.s, v.e) THEN 1 END) AS n_corners
 FROM {walls} h JOIN {walls} v USING (page) WHERE h.orient = 'H' AND v.orient = 'V' AND v.coord BETWEEN h.s - 1.5e0 AND h.e + 1.5e0 AND h.coord BETWEEN v.s - 1.5e0 AND v.e + 1.5e0 GROUP BY page""")
@@ -130,9 +140,21 @@ both("assessment_left_join", "J1 J2", """
 SELECT w.prim_id, coalesce(l.n, 0) AS n_touching, CASE WHEN l.n IS NULL THEN 'unassessed' ELSE 'assessed' END AS state FROM {walls} w LEFT JOIN (SELECT prim_id, count(*) AS n FROM {gaps} GROUP BY prim_id) l ON w.prim_id = l.prim_id""")
 both("edges_semi_join", "J19", "SELECT g.page, g.a, g.b, g.length FROM {graph} g SEMI JOIN (SELECT DISTINCT a FROM {graph} WHERE length >= 40) k ON g.a = k.a")
 both("rejected_anti_join", "J20", "SELECT w.prim_id, w.page FROM {walls} w ANTI JOIN {openings} o ON o.page = w.page AND o.orient = w.orient AND o.coord = w.coord")
-both("shared_wall_join", "J21", """
-SELECT a.id AS a_id, b.id AS b_id, count(*) AS shared, array_to_string_sorted(w.k) AS walls FROM {rooms} a JOIN {rooms} b ON a.page = b.page AND a.id < b.id JOIN (VALUES ('n'), ('s'), ('e'), ('w')) AS w(k)
-  ON (w.k = 'e' AND a.x + a.w = b.x AND a.y = b.y) OR (w.k = 'w' AND b.x + b.w = a.x AND a.y = b.y) OR (w.k = 's' AND a.y + a.h = b.y AND a.x = b.x) OR (w.k = 'n' AND b.y + b.h = a.y AND a.x = b.x) GROUP BY 1, 2""".replace("array_to_string_sorted(w.k)", "max(w.k)"))
+_SHARED = """
+SELECT a.id AS a_id, b.id AS b_id, count(*) AS shared, {} AS walls FROM {{rooms}} a JOIN {{rooms}} b ON a.page = b.page AND a.id < b.id JOIN (VALUES ('n'), ('s'), ('e'), ('w')) AS w(k)
+  ON (w.k = 'e' AND a.x + a.w = b.x AND a.y = b.y) OR (w.k = 'w' AND b.x + b.w = a.x AND a.y = b.y) OR (w.k = 's' AND a.y + a.h = b.y AND a.x = b.x) OR (w.k = 'n' AND b.y + b.h = a.y AND a.x = b.x) GROUP BY 1, 2"""
+
+
+@query("shared_wall_join", "J21", _SHARED.format("string_agg(w.k, ',' ORDER BY w.k)"))
+def shared_wall_join(load):
+    """Pairs of rooms with a side in common, and which of the first one's sides: sides meet by where they lie."""
+    side = lambda k, at, of: f"SELECT id, page, '{k}' AS k, {at} AS at, {of} AS of_ FROM {{rooms}}"
+    mine = " UNION ALL ".join((side("e", "x + w", "y"), side("w", "x", "y"), side("s", "y + h", "x"), side("n", "y", "x")))
+    other = " UNION ALL ".join((side("e", "x", "y"), side("w", "x + w", "y"), side("s", "y", "x"), side("n", "y + h", "x")))
+    return over(load, f"""SELECT a.id AS a_id, b.id AS b_id, count(*) AS shared, array_join(array_sort(collect_list(a.k)), ',') AS walls FROM ({mine}) a
+      JOIN ({other}) b ON a.page = b.page AND a.k = b.k AND a.at = b.at AND a.of_ = b.of_ AND a.id < b.id GROUP BY 1, 2""")
+
+
 both("hatch_crossings", "J25 WL5", f"""
 SELECT a.page, count(*) AS crossings, round(sum(ix), 3) AS sum_x FROM (SELECT a.page, a.x1 + t * (a.x2 - a.x1) AS ix FROM (
   SELECT a.*, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0e0) AS t,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.view import over
 from .intervals import islands
+from .joins import crossings
 from .registry import both, query
 
 _AXES = "SELECT page, orient, coord, max(e - s) AS len, count(*) AS n FROM {lines} GROUP BY page, orient, coord HAVING max(e - s) >= 60"
@@ -39,11 +41,11 @@ SELECT page, orient, cluster, count(*) AS n, min(coord) AS low, max(coord) AS hi
   SELECT *, CAST(sum(CASE WHEN prev IS NULL OR coord - prev > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page, orient ORDER BY coord, prim_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster
   FROM (SELECT page, orient, coord, prim_id, lag(coord) OVER (PARTITION BY page, orient ORDER BY coord, prim_id) AS prev FROM {walls}) l) c GROUP BY page, orient, cluster""")
 both("text_lines", "W12 J24", """
-SELECT page, y, line, min(x) AS x, count(*) AS words, min(text) AS first_word FROM (
+SELECT page, y, line, min(x) AS x, count(*) AS words, min_by(text, x * 1000000e0 + id) AS first_word FROM (
   SELECT *, CAST(sum(CASE WHEN prev IS NULL OR x - prev > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY page, y ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM (SELECT id, page, x, y, text, lag(x) OVER (PARTITION BY page, y ORDER BY x, id) AS prev FROM (SELECT id, page % 10 AS page, x, CAST(floor(y / 20) * 20 AS BIGINT) AS y, text FROM {texts}) t) l) s GROUP BY page, y, line""")
 both("dimension_fragments", "W15", """
 SELECT id, concat(text, ' ', next_text) AS merged FROM (SELECT id, text, x, lead(text) OVER (PARTITION BY page, y ORDER BY x, id) AS next_text, lead(x) OVER (PARTITION BY page, y ORDER BY x, id) AS next_x
-  FROM (SELECT id, page % 10 AS page, x, floor(y / 40) AS y, CASE WHEN id % 2 = 0 THEN concat(size % 30 + 1) ELSE concat(100 + size) END AS text FROM {texts}) f) p
+  FROM (SELECT id, page % 10 AS page, x, floor(y / 40) AS y, CASE WHEN floor(id / 10) % 2 = 0 THEN concat(size % 30 + 1) ELSE concat(100 + size) END AS text FROM {texts}) f) p
 WHERE regexp_extract(text, r'^[0-9][0-9]?$', 0) <> '' AND regexp_extract(next_text, r'^[0-9][0-9][0-9]$', 0) <> '' AND next_x - x <= 240""")
 both("dedupe_best", "W10 GW1", "SELECT page, category, label, id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY page, category, label ORDER BY confidence DESC, id) AS rn FROM {items}) r WHERE rn = 1")
 both("sequence_numbers", "W11 T1", "SELECT concat('page:', page, ':item:', row_number() OVER (PARTITION BY page ORDER BY category, y, x, id)) AS item_id, id FROM {items}")
@@ -51,7 +53,20 @@ both("turning_chains", "W14", """
 SELECT page, chain, turn, count(*) AS n, round(sum(sweep), 6) AS swept FROM (SELECT *, CAST(sum(CASE WHEN turn = prev THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM (
   SELECT id, page, sweep, turn, lag(turn) OVER (PARTITION BY page ORDER BY id) AS prev FROM (SELECT id, page, sweep, CASE WHEN start_at < 1 THEN 'left' ELSE 'right' END AS turn FROM {arcs}) a) b) c GROUP BY page, chain, turn""")
 
-_POINTS = """SELECT w.prim_id, w.page, w.orient, w.coord, w.s, w.e, p.pos FROM {walls} w JOIN (SELECT prim_id, s AS pos FROM {walls} UNION SELECT prim_id, e AS pos FROM {walls}
+POINTS = """SELECT w.prim_id, w.page, w.orient, w.coord, w.s, w.e, p.pos FROM {walls} w JOIN (SELECT prim_id, s AS pos FROM {walls} UNION SELECT prim_id, e AS pos FROM {walls}
   UNION SELECT a.prim_id, b.coord AS pos FROM {walls} a JOIN {walls} b ON a.page = b.page AND a.orient <> b.orient AND b.coord > a.s AND b.coord < a.e AND a.coord BETWEEN b.s AND b.e) p ON w.prim_id = p.prim_id"""
-both("wall_edges_split", "W13 G4 RT2 G11", f"""
-SELECT prim_id, page, count(*) AS edges, sum(next_pos - pos) AS total, min(next_pos - pos) AS shortest FROM (SELECT *, lead(pos) OVER (PARTITION BY prim_id ORDER BY pos) AS next_pos FROM ({_POINTS}) p) q WHERE next_pos - pos >= 2 GROUP BY prim_id, page""")
+_EDGES = "SELECT prim_id, page, count(*) AS edges, sum(next_pos - pos) AS total, min(next_pos - pos) AS shortest FROM (SELECT *, lead(pos) OVER (PARTITION BY prim_id ORDER BY pos) AS next_pos FROM {points} p) q WHERE next_pos - pos >= 2 GROUP BY prim_id, page"
+
+
+def split_points(walls):
+    """(prim_id, page, orient, coord, s, e, pos): each stroke's ends and where others meet it, once each."""
+    met = crossings(walls).select("prim_id", "pos")
+    at = walls.select("prim_id", F.col("s").alias("pos")).unionByName(walls.select("prim_id", F.col("e").alias("pos"))).unionByName(met).distinct()
+    return walls.select("prim_id", "page", "orient", "coord", "s", "e").join(at, "prim_id")
+
+
+@query("wall_edges_split", "W13 G4 RT2 G11", _EDGES.replace("{points}", f"({POINTS})"))
+def wall_edges_split(load):
+    """Strokes cut where others meet them: how many edges of 2 and more, and their lengths."""
+    points = split_points(load("walls"))
+    return over(lambda name: points, _EDGES)

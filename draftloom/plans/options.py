@@ -19,6 +19,11 @@ class Options:
     nearby_radius: float = 90.0
     nearby_count: int = 5
     seeds_per_page: int = 15_000
+    linework_per_page: int = 6_000
+    candidates_per_page: int = 400
+    crops_per_page: int = 200
+    rooms_per_page: int = 250
+    arcs_per_page: int = 1_200
     junction_tolerance: float = 0.001
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.geometry import dist, length
+from ..functions.geometry import dist
 from ..operators.registry import both
 
 # Measurements ----------------------------------------------------------------------------------
@@ -27,28 +27,44 @@ both("raster_audit", "SRC5 A12", "SELECT page, count(*) AS n, count(CASE WHEN co
 both("image_only_pages", "A12 J20", "SELECT DISTINCT r.page FROM {rects} r ANTI JOIN {texts} t ON t.page = r.page")
 
 # Quality ---------------------------------------------------------------------------------------
-_FACTS = """SELECT p.page, p.n AS strokes, coalesce(w.n, 0) AS walls, coalesce(o.n, 0) AS openings, coalesce(r.n, 0) AS rooms, coalesce(d.outliers, 0e0) AS outliers, coalesce(w.conf, 0e0) AS conf FROM (SELECT page, count(*) AS n FROM {lines} GROUP BY page) p
+#: What is known of each page; calibrated: its measured scales agree within a twentieth once outliers are left out.
+_FACTS = """SELECT p.page, p.n AS strokes, coalesce(w.n, 0) AS walls, coalesce(o.n, 0) AS openings, coalesce(r.n, 0) AS rooms, coalesce(w.conf, 0e0) AS conf, coalesce(t.n, 0) AS texts, coalesce(d.outliers, 0e0) AS outliers, coalesce(d.spread, 1e0) AS spread, coalesce(d.agree, 0) >= 4 AND d.inner_spread <= 1.05e0 AS calibrated,
+    CASE WHEN d.page IS NULL THEN coalesce(i.n, 0) ELSE 0 END AS unassigned, coalesce(i.review, 0e0) AS review, coalesce(i.low, 0e0) AS low, coalesce(x.warnings, 0) AS warnings
+  FROM (SELECT page, count(*) AS n FROM {lines} GROUP BY page) p
   LEFT JOIN (SELECT page, count(*) AS n, avg(least(0.88e0, 0.45e0 + (e - s) / 192)) AS conf FROM {walls} GROUP BY page) w ON w.page = p.page LEFT JOIN (SELECT page, count(*) AS n FROM {openings} GROUP BY page) o ON o.page = p.page LEFT JOIN (SELECT page, count(*) AS n FROM {rooms} GROUP BY page) r ON r.page = p.page
-  LEFT JOIN (SELECT page, avg(CASE WHEN abs(mm / (e - s) - 10) / 10 > 0.12e0 THEN 1e0 ELSE 0e0 END) AS outliers FROM {dims} GROUP BY page) d ON d.page = p.page"""
-_SCORE = f"SELECT *, greatest(0e0, 1 - (CASE WHEN walls = 0 THEN 0.18e0 ELSE 0e0 END + CASE WHEN rooms = 0 AND walls >= 3 THEN 0.12e0 ELSE 0e0 END + CASE WHEN openings = 0 THEN 0.06e0 ELSE 0e0 END + least(0.15e0, 0.2e0 * outliers))) AS score FROM ({_FACTS}) f"
-_GRADED = f"SELECT page, walls, openings, rooms, round(score, 6) AS score, round(0.65e0 * score + 0.35e0 * conf, 6) AS confidence, CASE WHEN 0.65e0 * score + 0.35e0 * conf < 0.35e0 THEN 'Poor' WHEN 0.65e0 * score + 0.35e0 * conf < 0.65e0 THEN 'ReviewRequired' WHEN 0.65e0 * score + 0.35e0 * conf < 0.85e0 THEN 'Usable' ELSE 'Strong' END AS grade FROM ({_SCORE}) s"
+  LEFT JOIN (SELECT page, count(*) AS n FROM {texts} GROUP BY page) t ON t.page = p.page LEFT JOIN (SELECT page, count(*) AS warnings FROM {rects} WHERE w > 19 AND h > 6 GROUP BY page) x ON x.page = p.page
+  LEFT JOIN (SELECT page, count(*) AS n, avg(CASE WHEN confidence < 0.5e0 THEN 1e0 ELSE 0e0 END) AS review, avg(CASE WHEN confidence < 0.35e0 THEN 1e0 ELSE 0e0 END) AS low FROM {items} GROUP BY page) i ON i.page = p.page
+  LEFT JOIN (SELECT page, avg(CASE WHEN off > 0.12e0 THEN 1e0 ELSE 0e0 END) AS outliers, max(scale) / min(scale) AS spread, count(CASE WHEN off <= 0.12e0 THEN 1 END) AS agree, max(CASE WHEN off <= 0.12e0 THEN scale END) / min(CASE WHEN off <= 0.12e0 THEN scale END) AS inner_spread
+    FROM (SELECT page, mm / (e - s) AS scale, abs(mm / (e - s) - 10) / 10 AS off FROM {dims}) m GROUP BY page) d ON d.page = p.page"""
+#: What each fault of a page takes off its score.
+_PENALTIES = {
+    "no plan region": "CASE WHEN texts = 0 AND walls = 0 THEN 0.08e0 ELSE 0e0 END",
+    "no walls": "CASE WHEN walls = 0 THEN 0.18e0 ELSE 0e0 END",
+    "no rooms": "CASE WHEN rooms = 0 AND walls >= 3 THEN 0.12e0 ELSE 0e0 END",
+    "no calibration": "CASE WHEN calibrated THEN 0e0 ELSE 0.06e0 END",
+    "outliers": "least(0.15e0, 0.2e0 * outliers)",
+    "scale spread": "CASE WHEN spread >= 1.5e0 THEN least(0.08e0, 0.025e0 + 0.012e0 * ln(spread)) ELSE 0e0 END",
+    "no scale group": "CASE WHEN unassigned > 0 THEN least(0.12e0, 0.04e0 + 0.006e0 * unassigned) ELSE 0e0 END",
+    "objects to review": "least(0.08e0, 0.12e0 * review)",
+    "low confidence": "least(0.06e0, 0.09e0 * low)",
+    "warnings": "least(0.12e0, 0.015e0 * warnings)",
+}
+_SCORE = f"SELECT *, greatest(0e0, 1 - ({' + '.join(_PENALTIES.values())})) AS score FROM ({_FACTS}) f"
+_GRADED = f"""SELECT page, walls, openings, rooms, calibrated, round(score, 6) AS score, round(confidence, 6) AS confidence, CASE WHEN confidence < 0.35e0 THEN 'Poor' WHEN confidence < 0.65e0 THEN 'ReviewRequired' WHEN confidence < 0.85e0 THEN 'Usable' ELSE 'Strong' END AS grade
+FROM (SELECT *, round(0.65e0 * score + 0.35e0 * conf, 9) AS confidence FROM ({_SCORE}) s) c"""
 both("quality_score", "Q1 A22", _GRADED)
 both("import_readiness", "Q3 A22", f"""
-SELECT page, round(readiness, 6) AS readiness, CASE WHEN walls = 0 THEN 'Blocked' WHEN rooms = 0 OR openings = 0 THEN 'ReviewRequired' WHEN readiness >= 0.9e0 THEN 'Strong' ELSE 'Usable' END AS grade
-FROM (SELECT *, 0.30e0 + 0.20e0 * CASE WHEN openings > 0 THEN 1 ELSE 0.5e0 END + 0.25e0 * confidence + 0.15e0 * CASE WHEN rooms > 0 THEN 1 ELSE 0 END + 0.10e0 AS readiness FROM ({_GRADED}) g) q""")
+SELECT page, round(readiness, 6) AS readiness, CASE WHEN walls = 0 THEN 'Blocked' WHEN rooms = 0 OR openings = 0 OR NOT calibrated THEN 'ReviewRequired' WHEN readiness >= 0.85e0 THEN 'Strong' ELSE 'Usable' END AS grade
+FROM (SELECT *, (0.30e0 + 0.20e0 * CASE WHEN calibrated THEN 1 ELSE 0.5e0 END + 0.25e0 * confidence + 0.15e0 * CASE WHEN rooms > 0 THEN 1 ELSE 0 END + 0.10e0 * CASE WHEN openings > 0 THEN 1 ELSE 0.5e0 END) * CASE WHEN walls = 0 THEN 0.5e0 WHEN rooms = 0 THEN 0.65e0 ELSE 1e0 END AS readiness FROM ({_GRADED}) g) q""")
 both("visual_snapshot", "SNK8 MP2", "SELECT page, count(*) AS n, round(sum(e - s) / 490000, 9) AS density, count(CASE WHEN layer = 'A-WALL' THEN 1 END) AS walls, count(CASE WHEN layer = 'A-DIMS' THEN 1 END) AS dimensions FROM {lines} GROUP BY page")
 
 # Benchmarks ------------------------------------------------------------------------------------
-MATCH = f"""SELECT p.page, p.id AS p_id, t.id AS t_id, round(0.30e0 * (1 - least(1e0, abs(p.y1 - t.y1) / 8)) + 0.25e0 * (1 - least(1e0, ({dist("p.x1", "p.y1", "t.x1", "t.y1")} + {dist("p.x2", "p.y2", "t.x2", "t.y2")}) / 40)) + 0.15e0
+#: Strokes of like height meet in bands of 8.
+MATCH = f"""SELECT p.page, p.id AS p_id, t.id AS t_id, round(0.30e0 * (1 - least(1e0, abs(p.y1 - t.y1) / 8)) + 0.25e0 * (1 - least(1e0, ({dist("p.x1", "p.y1", "t.x1", "t.y1")} + {dist("p.x2", "p.y2", "t.x2", "t.y2")}) / 40)) + 0.15e0 * (1 - least(1e0, abs(atan2(p.y2 - p.y1, p.x2 - p.x1) - atan2(t.y2 - t.y1, t.x2 - t.x1)) / radians(8e0)))
   + 0.25e0 * greatest(0e0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) / greatest(1e0, t.x2 - t.x1) + CASE WHEN p.wall_type = t.wall_type THEN 0.05e0 ELSE 0e0 END, 9) AS score
-FROM {{predicted}} p JOIN {{truth}} t ON p.page = t.page AND abs(p.y1 - t.y1) <= 8 AND least(p.x2, t.x2) - greatest(p.x1, t.x1) >= 0.5e0 * (t.x2 - t.x1)"""
+FROM (SELECT *, CAST(floor(y1 / 8) AS BIGINT) + step AS band FROM {{predicted}} CROSS JOIN (VALUES (-1), (0), (1)) AS v(step)) p JOIN (SELECT *, CAST(floor(y1 / 8) AS BIGINT) AS band FROM {{truth}}) t
+  ON p.page = t.page AND p.band = t.band AND abs(p.y1 - t.y1) <= 8 AND least(p.x2, t.x2) - greatest(p.x1, t.x1) >= 0.5e0 * (t.x2 - t.x1)"""
 both("target_match", "B2 GEO8", MATCH)
-both("detector_prf", "A13 A14", f"""
-SELECT t.page, t.n AS targets, coalesce(m.matched, 0) AS matched, p.n AS found, round(coalesce(m.matched, 0) / t.n, 9) AS recall, round(coalesce(m.hits, 0) / p.n, 9) AS precision_, round(coalesce(m.len, 0e0) / t.len, 9) AS length_recall, round(2e0 * coalesce(m.matched, 0) / (t.n + p.n), 9) AS f1
-FROM (SELECT page, count(*) AS n, sum({length()}) AS len FROM {{truth}} GROUP BY page) t JOIN (SELECT page, count(*) AS n FROM {{predicted}} GROUP BY page) p ON p.page = t.page
-LEFT JOIN (SELECT k.page, count(*) AS matched, sum(len) AS len, max(hits) AS hits FROM (SELECT DISTINCT m.page, m.t_id FROM ({MATCH}) m WHERE m.score >= 0.6e0) k JOIN (SELECT id, {length()} AS len FROM {{truth}}) l ON l.id = k.t_id JOIN (SELECT page, count(DISTINCT p_id) AS hits FROM ({MATCH}) m WHERE score >= 0.6e0 GROUP BY page) h ON h.page = k.page GROUP BY k.page) m ON m.page = t.page""")
-both("truth_by_importance", "A14 B7", f"""
-SELECT t.importance, t.wall_type, count(*) AS n, round(sum(CASE WHEN m.t_id IS NULL THEN 0e0 ELSE t.x2 - t.x1 END) / sum(t.x2 - t.x1), 9) AS recall FROM {{truth}} t LEFT JOIN (SELECT DISTINCT t_id FROM ({MATCH}) m WHERE score >= 0.6e0) m ON m.t_id = t.id GROUP BY t.importance, t.wall_type""")
 both("assertions", "B1 B8", """
 SELECT item, name, actual, op, expected, CASE op WHEN 'min' THEN actual >= expected WHEN 'max' THEN actual <= expected ELSE actual = expected END AS passed FROM (
   SELECT lower(item) AS item, name, CASE name WHEN 'walls' THEN CAST(max(walls) AS DOUBLE) WHEN 'rooms' THEN CAST(max(rooms) AS DOUBLE) WHEN 'quality' THEN max(quality) ELSE max(duration_ms) END AS actual, op, expected
@@ -69,4 +85,4 @@ both("compact_dictionary", "SNK2", "SELECT layer, code, n FROM (SELECT layer, de
 both("source_kind", "SRC6 SRC7", r"""
 SELECT page_id, CASE lower(regexp_extract(url, r'\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) WHEN 'pdf' THEN 'Pdf' WHEN 'dxf' THEN 'Dxf' WHEN 'dwg' THEN 'Dwg' WHEN 'png' THEN 'Raster' WHEN 'jpg' THEN 'Raster' WHEN 'html' THEN 'Document' ELSE 'Unknown' END AS kind FROM {pages}""")
 both("source_capabilities", "SRC8", """
-SELECT kind, CASE WHEN loader AND adapter THEN 'Ready' WHEN loader THEN 'ReviewRequired' WHEN adapter THEN 'NeedsConverter' ELSE 'Unsupported' END AS readiness, count(*) AS regions FROM {region} CROSS JOIN (VALUES ('Dxf', TRUE, TRUE), ('Json', TRUE, TRUE), ('Raster', TRUE, FALSE), ('Dwg', FALSE, TRUE), ('Pdf', FALSE, FALSE)) AS k(kind, loader, adapter) GROUP BY 1, 2""")
+SELECT kind, CASE WHEN loader AND adapter THEN 'Ready' WHEN loader THEN 'ReviewRequired' WHEN adapter THEN 'NeedsConverter' ELSE 'Unsupported' END AS readiness FROM (VALUES ('Dxf', TRUE, TRUE), ('Json', TRUE, TRUE), ('Raster', TRUE, FALSE), ('Dwg', FALSE, TRUE), ('Pdf', FALSE, FALSE)) AS k(kind, loader, adapter)""")

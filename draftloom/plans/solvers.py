@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import written
-from ..operators.joins import wall_pairs
+from ..functions.geometry import length
+from ..operators.joins import PAIR_SQL, wall_pairs
 from ..operators.registry import both, query
 from . import reports
 from .structure import RELATIONS
@@ -31,7 +32,21 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
     return pairs.limit(0) if taken is None else taken
 
 
-@query("wall_pairs_greedy", "WL12 WL11")
+def sequential(pairs: str, a: str, b: str, group: str, kind: str) -> str:
+    """Plain SQL of greedy matching, one pair a step within a group, for the oracles: taken(group, a, b, score)."""
+    return f"""WITH RECURSIVE k AS (SELECT {group}, {a}, {b}, score, row_number() OVER (PARTITION BY {group} ORDER BY score DESC, {a}, {b}) AS rn FROM ({pairs}) m),
+r AS (SELECT DISTINCT {group}, CAST(0 AS BIGINT) AS step, CAST([] AS {kind}[]) AS used_a, CAST([] AS {kind}[]) AS used_b, FALSE AS hit FROM k
+  UNION ALL SELECT {group}, step + 1, CASE WHEN hit THEN list_append(used_a, {a}) ELSE used_a END, CASE WHEN hit THEN list_append(used_b, {b}) ELSE used_b END, hit
+  FROM (SELECT {group}, r.step, r.used_a, r.used_b, k.{a}, k.{b}, NOT list_contains(r.used_a, k.{a}) AND NOT list_contains(r.used_b, k.{b}){{same}} AS hit FROM r JOIN k USING ({group}) WHERE k.rn = r.step + 1) q),
+taken AS (SELECT {group}, {a}, {b}, score FROM r JOIN k USING ({group}) WHERE r.hit AND k.rn = r.step)"""
+
+
+def one_set(text: str, a: str, b: str) -> str:
+    """Both ends are of one set: neither may be used on either side."""
+    return text.replace("{same}", f" AND NOT list_contains(r.used_a, k.{b}) AND NOT list_contains(r.used_b, k.{a})")
+
+
+@query("wall_pairs_greedy", "WL12 WL11", one_set(sequential(PAIR_SQL, "a_id", "b_id", "page, orient", "VARCHAR"), "a_id", "b_id") + " SELECT page, orient, a_id AS a, b_id AS b, score FROM taken")
 def wall_pairs_greedy(load):
     """Faces matched so that each stroke is in one pair; a stroke can be either end, so ends share names."""
     pairs = wall_pairs(load("walls"))
@@ -49,13 +64,32 @@ def wall_pairs_greedy(load):
     return both_.limit(0) if taken is None else taken
 
 
-@query("greedy_assignment", "J23 B7 B2")
+@query("greedy_assignment", "J23 B7 B2", sequential(f"SELECT * FROM ({reports.MATCH}) x WHERE score >= 0.5e0", "p_id", "t_id", "page", "BIGINT").replace("{same}", "") + " SELECT page, p_id, t_id, score FROM taken")
 def greedy_assignment(load):
     """Predictions matched with true strokes one to one, best score first."""
     found = over(load, reports.MATCH).where("score >= 0.5").select("page", F.col("p_id").alias("a"), F.col("t_id").alias("b"), "score")
     return greedy_matching(found).select("page", F.col("a").alias("p_id"), F.col("b").alias("t_id"), "score")
 
 
+_SCORED = f"""
+SELECT t.page, t.n AS targets, coalesce(m.matched, 0) AS matched, p.n AS found, round(coalesce(m.matched, 0) / t.n, 9) AS recall, round(coalesce(m.matched, 0) / p.n, 9) AS precision_, round(coalesce(m.len, 0e0) / t.len, 9) AS length_recall, round(2e0 * coalesce(m.matched, 0) / (t.n + p.n), 9) AS f1
+FROM (SELECT page, count(*) AS n, sum({length()}) AS len FROM {{truth}} GROUP BY page) t JOIN (SELECT page, count(*) AS n FROM {{predicted}} GROUP BY page) p ON p.page = t.page
+LEFT JOIN (SELECT k.page, count(*) AS matched, sum({length()}) AS len FROM {{taken}} k JOIN {{truth}} l ON l.id = k.t_id GROUP BY k.page) m ON m.page = t.page"""
+_BY_KIND = "SELECT t.importance, t.wall_type, count(*) AS n, round(sum(CASE WHEN m.t_id IS NULL THEN 0e0 ELSE t.x2 - t.x1 END) / sum(t.x2 - t.x1), 9) AS recall FROM {truth} t LEFT JOIN {taken} m ON m.t_id = t.id GROUP BY t.importance, t.wall_type"
+_TAKEN = sequential(f"SELECT * FROM ({reports.MATCH}) x WHERE score >= 0.6e0", "p_id", "t_id", "page", "BIGINT").replace("{same}", "")
+
+
+def scored(load, text: str):
+    """text over {taken}, the matches of predictions and true strokes, one to one, of 0.6 and more."""
+    found = over(load, reports.MATCH).where("score >= 0.6").select("page", F.col("p_id").alias("a"), F.col("t_id").alias("b"), "score")
+    taken = greedy_matching(found).select("page", F.col("a").alias("p_id"), F.col("b").alias("t_id"), "score")
+    return over(lambda name: taken if name == "taken" else load(name), text)
+
+
+query("detector_prf", "A13 A14", _TAKEN + _SCORED.replace("{taken}", "taken"))(lambda load: scored(load, _SCORED))
+query("truth_by_importance", "A14 B7", _TAKEN + _BY_KIND.replace("{taken}", "taken"))(lambda load: scored(load, _BY_KIND))
+
+
 @query("dimension_chains", "J17 W4")
 def dimension_chains(load):
     """Each long dimension covered by shorter ones end to end: drawn and written sums against its own.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.registry import both
+from .contacts import known
 
 UNARY = "SELECT candidate, page, round(greatest(-2e0, least(2e0, sum(weight) - 0.16e0)), 6) AS score FROM (SELECT DISTINCT candidate, page, kind, weight FROM {signals}) s GROUP BY candidate, page"
 both("structural_unary", "ST6 ST1", UNARY)
@@ -21,8 +22,7 @@ both("structural_relations", "ST7 J6 J9", RELATIONS)
 both("structural_dominance", "ST8", """
 SELECT candidate, by_ FROM (SELECT a.prim_id AS candidate, b.prim_id AS by_, row_number() OVER (PARTITION BY a.prim_id ORDER BY b.e - b.s DESC, b.prim_id) AS rn FROM {walls} a JOIN {walls} b ON a.page = b.page AND a.orient = b.orient AND abs(a.coord - b.coord) <= 2 AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s) d WHERE rn = 1""")
 AUTHORITY = "CASE WHEN faces >= 1 AND contacts >= 2 THEN 'Independent' WHEN faces >= 1 THEN 'Corroborated' WHEN contacts >= 1 THEN 'ContextSupported' ELSE 'ReviewOnly' END"
-_KNOWN = """SELECT w.prim_id, w.page, w.e - w.s AS len, count(DISTINCT p.prim_id) AS faces, count(DISTINCT x.prim_id) AS contacts FROM {walls} w LEFT JOIN {walls} p ON p.page = w.page AND p.orient = w.orient AND abs(p.coord - w.coord) BETWEEN 2 AND 24 AND p.s <= w.s AND p.e >= w.e
-  LEFT JOIN {walls} x ON x.page = w.page AND x.orient <> w.orient AND (abs(x.coord - w.s) <= 3 OR abs(x.coord - w.e) <= 3) AND w.coord BETWEEN x.s - 3 AND x.e + 3 GROUP BY w.prim_id, w.page, w.e - w.s"""
+_KNOWN = known("p.s <= w.s AND p.e >= w.e")
 both("placement_authority", "ST9 PL1", f"SELECT prim_id, {AUTHORITY} AS authority, round(CASE {AUTHORITY} WHEN 'Independent' THEN 1e0 WHEN 'Corroborated' THEN 0.7e0 WHEN 'ContextSupported' THEN 0.2e0 ELSE -2e0 END + least(0.5e0, len / 1000), 9) AS priority FROM ({_KNOWN}) k")
 both("placement_readiness", "PL1 PL3 ST16", f"""
 SELECT page, reason, count(*) AS n, sum(len) AS total FROM (SELECT page, len, CASE WHEN {AUTHORITY} = 'ReviewOnly' THEN 'no support' WHEN len < 36 THEN 'too short' WHEN contacts = 0 THEN 'not anchored' ELSE 'ready' END AS reason FROM ({_KNOWN}) k) r GROUP BY page, reason""")
@@ -38,8 +38,15 @@ both("global_wall_metrics", "GW3 A15", """
 SELECT page, round(major, 9) AS major, round(long_, 9) AS long_, round(dup, 9) AS dup, round(0.34e0 * major + 0.14e0 * long_ + 0.16e0 * ends + 0.12e0 * conf - 0.22e0 * dup - 0.18e0 * noise, 9) AS objective FROM (
   SELECT page, sum(CASE WHEN len >= 48 THEN len ELSE 0e0 END) / sum(len) AS major, sum(CASE WHEN len >= 120 THEN len ELSE 0e0 END) / sum(len) AS long_, avg(CASE WHEN contacts >= 2 THEN 1e0 ELSE 0e0 END) AS ends, avg(least(0.88e0, 0.45e0 + len / 192)) AS conf,
     sum(CASE WHEN faces >= 3 THEN len ELSE 0e0 END) / sum(len) AS dup, sum(CASE WHEN contacts = 0 AND faces = 0 THEN len ELSE 0e0 END) / sum(len) AS noise FROM (""" + _KNOWN + ") k GROUP BY page) m")
-both("hypothesis_select", "GW2 GW4", """
-SELECT page, profile, n FROM (SELECT page, profile, n, row_number() OVER (PARTITION BY page ORDER BY abs(n - mid), profile) AS rn FROM (SELECT page, profile, count(*) AS n, avg(count(*)) OVER (PARTITION BY page) AS mid FROM {walls} JOIN (VALUES ('balanced', 48), ('conservative', 60), ('recall-first', 36)) AS p(profile, least_) ON e - s >= least_ GROUP BY page, profile) c) r WHERE rn = 1""")
+#: Profiles: least score of a candidate. The objective is that of the metrics over what a profile selects, its coverage that of all.
+_SOLVED = f"""SELECT c.page, p.profile, count(*) AS n, 0.34e0 * sum(CASE WHEN len >= 48 THEN len ELSE 0e0 END) / max(all_major) + 0.14e0 * sum(CASE WHEN len >= 120 THEN len ELSE 0e0 END) / max(all_long) + 0.16e0 * avg(CASE WHEN contacts >= 2 THEN 1e0 ELSE 0e0 END) + 0.12e0 * avg(score)
+    - 0.22e0 * sum(CASE WHEN faces >= 3 THEN len ELSE 0e0 END) / sum(len) - 0.18e0 * sum(CASE WHEN contacts = 0 AND faces = 0 THEN len ELSE 0e0 END) / sum(len) AS objective, sum(CASE WHEN contacts = 0 AND faces = 0 THEN len ELSE 0e0 END) / sum(len) AS noise
+  FROM (SELECT *, least(0.88e0, 0.24e0 + len / 400 + 0.12e0 * least(2, faces) + 0.1e0 * least(2, contacts)) AS score FROM ({_KNOWN}) k) c
+  JOIN (SELECT page, greatest(1e0, sum(CASE WHEN len >= 48 THEN len ELSE 0e0 END)) AS all_major, greatest(1e0, sum(CASE WHEN len >= 120 THEN len ELSE 0e0 END)) AS all_long FROM ({_KNOWN}) k GROUP BY page) a ON a.page = c.page
+  JOIN (VALUES ('balanced', 0.48e0), ('conservative', 0.60e0), ('recall-first', 0.36e0)) AS p(profile, least_) ON c.score >= least_ GROUP BY c.page, p.profile"""
+#: The best objective wins; a profile whose noise is above 0.08 gives way to the best of those below, if there is one.
+both("hypothesis_select", "GW2 GW4", f"""
+SELECT page, profile, n, round(objective, 9) AS objective, noise > 0.08e0 AS noisy FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN noise > 0.08e0 THEN 1 ELSE 0 END, round(objective, 9) DESC, profile) AS rn FROM ({_SOLVED}) s) r WHERE rn = 1""")
 both("evidence_votes", "GW5 A8", """
 SELECT page, orient, bucket, round(sum(coord * (e - s)) / sum(e - s), 6) AS axis, min(s) AS s, max(e) AS e, count(*) AS votes FROM (SELECT *, CAST(bround(coord / 4, 0) AS BIGINT) AS bucket FROM {walls}) b GROUP BY page, orient, bucket""")
 both("inline_topology", "GW7 ST15", """

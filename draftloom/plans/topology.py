@@ -6,18 +6,28 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..operators.registry import both, query
+from ..operators.windows import POINTS, split_points
+from .view import over
 
 both("orthogonalized", "G1 A10", """
 SELECT prim_id, CASE WHEN abs(y2 - y1) <= 1.5e0 THEN (y1 + y2) / 2 ELSE y1 END AS y1, CASE WHEN abs(y2 - y1) <= 1.5e0 THEN (y1 + y2) / 2 ELSE y2 END AS y2, CASE WHEN abs(x2 - x1) <= 1.5e0 THEN (x1 + x2) / 2 ELSE x1 END AS x1, CASE WHEN abs(x2 - x1) <= 1.5e0 THEN (x1 + x2) / 2 ELSE x2 END AS x2
 FROM {segs} WHERE layer = 'A-WALL'""")
 
-_HALF = """SELECT page, CASE WHEN orient = 'H' THEN s ELSE coord END AS x, CASE WHEN orient = 'H' THEN coord ELSE s END AS y, CASE WHEN orient = 'H' THEN 'E' ELSE 'S' END AS dir FROM {walls}
-  UNION ALL SELECT page, CASE WHEN orient = 'H' THEN e ELSE coord END AS x, CASE WHEN orient = 'H' THEN coord ELSE e END AS y, CASE WHEN orient = 'H' THEN 'W' ELSE 'N' END AS dir FROM {walls}"""
-both("node_degree_kind", "G6 G5", f"""
-SELECT page, x, y, degree, CASE WHEN degree <= 1 THEN 'Endpoint' WHEN degree = 2 AND (n_ * s_ > 0 OR e_ * w_ > 0) THEN 'Inline' WHEN degree = 2 AND (n_ + s_ > 0 AND e_ + w_ > 0) THEN 'Corner' WHEN degree = 3 AND (n_ * s_ > 0 OR e_ * w_ > 0) AND n_ + s_ > 0 AND e_ + w_ > 0 THEN 'TJunction'
-  WHEN degree >= 4 AND n_ * s_ > 0 AND e_ * w_ > 0 THEN 'Crossing' ELSE 'Junction' END AS kind
-FROM (SELECT page, x, y, count(*) AS degree, max(CASE WHEN dir = 'N' THEN 1 ELSE 0 END) AS n_, max(CASE WHEN dir = 'S' THEN 1 ELSE 0 END) AS s_, max(CASE WHEN dir = 'E' THEN 1 ELSE 0 END) AS e_, max(CASE WHEN dir = 'W' THEN 1 ELSE 0 END) AS w_
-  FROM (SELECT page, bround(x / 2, 0) * 2 AS x, bround(y / 2, 0) * 2 AS y, dir FROM ({_HALF}) h) k GROUP BY page, x, y) d""")
+#: Each edge leaves its two nodes in opposite directions.
+_HALF = """SELECT page, CASE WHEN orient = 'H' THEN pos ELSE coord END AS x, CASE WHEN orient = 'H' THEN coord ELSE pos END AS y, CASE WHEN orient = 'H' THEN 'E' ELSE 'S' END AS dir FROM {points} p WHERE pos < e
+  UNION ALL SELECT page, CASE WHEN orient = 'H' THEN pos ELSE coord END AS x, CASE WHEN orient = 'H' THEN coord ELSE pos END AS y, CASE WHEN orient = 'H' THEN 'W' ELSE 'N' END AS dir FROM {points} p WHERE pos > s"""
+_NODES = f"""
+SELECT page, x, y, degree, CASE WHEN degree <= 1 THEN 'Endpoint' WHEN degree = 2 AND (n_ * s_ > 0 OR e_ * w_ > 0) THEN 'Inline' WHEN degree = 2 THEN 'Corner' WHEN degree = 3 THEN 'TJunction' ELSE 'Crossing' END AS kind, concat(CASE WHEN n_ > 0 THEN 'N' ELSE '' END, CASE WHEN e_ > 0 THEN 'E' ELSE '' END, CASE WHEN s_ > 0 THEN 'S' ELSE '' END, CASE WHEN w_ > 0 THEN 'W' ELSE '' END) AS directions
+FROM (SELECT page, x, y, n_ + s_ + e_ + w_ AS degree, n_, s_, e_, w_ FROM (SELECT page, x, y, max(CASE WHEN dir = 'N' THEN 1 ELSE 0 END) AS n_, max(CASE WHEN dir = 'S' THEN 1 ELSE 0 END) AS s_, max(CASE WHEN dir = 'E' THEN 1 ELSE 0 END) AS e_, max(CASE WHEN dir = 'W' THEN 1 ELSE 0 END) AS w_
+  FROM (SELECT page, bround(x / 2, 0) * 2 AS x, bround(y / 2, 0) * 2 AS y, dir FROM ({_HALF}) h) k GROUP BY page, x, y) g) d"""
+
+
+@query("node_degree_kind", "G6 G5", _NODES.replace("{points}", f"({POINTS})"))
+def node_degree_kind(load):
+    """Nodes of the wall graph, within 2, where strokes end or meet, by the directions that leave them."""
+    points = split_points(load("walls"))
+    return over(lambda name: points, _NODES)
+
 
 _CC = """WITH RECURSIVE e AS (SELECT a, b FROM {graph} UNION SELECT b, a FROM {graph}), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)"""
 

@@ -28,14 +28,16 @@ VIEWS = {
     "arcs": """SELECT o_orderkey AS id, o_custkey % 50 AS page, CAST((o_orderkey * 11) % 101 AS DOUBLE) * 4 AS cx, CAST((o_orderkey * 7) % 103 AS DOUBLE) * 4 AS cy,
         CAST(20 + o_orderkey % 40 AS DOUBLE) AS r, CAST(o_custkey % 8 AS DOUBLE) * 0.25e0 AS start_at, 0.5e0 + CAST(o_orderkey % 6 AS DOUBLE) * 0.25e0 AS sweep FROM {orders}""",
     # Short texts as drawings have them: dimensions, scales, tags, room names, grid labels.
-    "texts": """SELECT p_partkey AS id, p_partkey % 40 AS page, CAST((p_partkey * 3) % 89 AS DOUBLE) * 4 AS x, CAST((p_partkey * 5) % 97 AS DOUBLE) * 4 AS y,
+    "texts": """SELECT p_partkey AS id, p_partkey % 38 AS page, CAST((p_partkey * 3) % 89 AS DOUBLE) * 4 AS x, CAST((p_partkey * 5) % 97 AS DOUBLE) * 4 AS y,
         CASE p_partkey % 12 WHEN 0 THEN concat(p_size * 50, ' mm') WHEN 1 THEN concat(p_size, ',5 m') WHEN 2 THEN concat('1:', p_size * 10) WHEN 3 THEN concat(p_size, ' ', 500)
           WHEN 4 THEN concat('P', '-', p_size, p_size % 10) WHEN 5 THEN concat(p_size, '''-', p_size % 12, '"') WHEN 6 THEN concat('Bedroom ', p_size) WHEN 7 THEN concat('KITCHEN / ', p_type)
           WHEN 8 THEN concat(substr('ABCDEFGH', CAST(1 + p_size % 8 AS INT), 1), CASE WHEN p_size % 2 = 0 THEN '' ELSE concat(p_size) END) WHEN 9 THEN concat(p_size, '.5 m2')
-          WHEN 10 THEN concat('VAV-', p_size, ' ', 'FD-', p_size % 7) ELSE concat('Corridor ', p_size) END AS text, p_size AS size FROM {part}""",
+          WHEN 10 THEN concat('VAV-', p_size, ' ', 'FD-', p_size % 7, CASE WHEN p_size % 3 = 0 THEN ', P-10 AHU2' ELSE '' END) ELSE concat('Corridor ', p_size) END AS text, p_size AS size FROM {part}""",
     "items": """SELECT o_orderkey AS id, o_custkey % 50 AS page, CASE o_orderkey % 7 WHEN 0 THEN 'Door' WHEN 1 THEN 'Fixture' WHEN 2 THEN 'Furniture' WHEN 3 THEN 'Equipment' WHEN 4 THEN 'Stair' WHEN 5 THEN 'Vehicle' ELSE 'Column' END AS category,
         CAST((o_orderkey * 11) % 101 AS DOUBLE) * 5 AS x, CAST((o_orderkey * 7) % 103 AS DOUBLE) * 5 AS y, CAST(2 + o_orderkey % 9 AS DOUBLE) AS w, CAST(2 + o_custkey % 9 AS DOUBLE) AS h,
         CAST(o_orderkey % 20 AS DOUBLE) / 20 AS confidence, o_orderpriority AS label, o_orderstatus AS status FROM {orders}""",
+    # Crops of the items, on fewer and fuller sheets.
+    "crops": "SELECT id, page % 5 AS page, confidence, w, h FROM {items}",
     # Runs of two versions over the same items, for comparisons.
     "runs": """SELECT CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS run, concat(CASE WHEN event_id % 3 = 0 THEN 'Case-' ELSE 'case-' END, CAST(event_id % 211 AS VARCHAR(9)), '-', CAST(user_id % 9 AS VARCHAR(9))) AS item,
         min(event_type) AS status, CAST(sum(event_id % 97) % 100 AS DOUBLE) / 100 AS quality, CAST(sum(event_id % 1009) AS DOUBLE) AS duration_ms, CAST(sum(event_id % 13) AS BIGINT) AS walls, CAST(sum(user_id % 5) % 6 AS BIGINT) AS rooms FROM {events} GROUP BY 1, 2""",
@@ -46,16 +48,16 @@ VIEWS = {
     "rooms": """SELECT concat('r', page, '-', k) AS id, page, CAST(k % 6 AS DOUBLE) * 100 AS x, CAST(floor(k / 6) AS DOUBLE) * 80 AS y, CASE WHEN k % 11 = 3 THEN 200e0 ELSE 100e0 END AS w, 80e0 AS h,
         CASE k % 9 WHEN 0 THEN 'Corridor' WHEN 1 THEN 'OFFICE 101' WHEN 2 THEN 'WC' WHEN 3 THEN 'Storage' WHEN 4 THEN 'Open plan office' WHEN 5 THEN 'Stair' WHEN 6 THEN 'Kitchen / dining' WHEN 7 THEN NULL ELSE 'Terrasse' END AS label, confidence
         FROM (SELECT o_custkey AS page, o_orderkey % 36 AS k, max(CAST(o_orderkey % 20 AS DOUBLE) / 20) AS confidence FROM {orders} GROUP BY 1, 2) o""",
-    # Predicted and true strokes, for scoring: some match, some are off, some miss.
-    "truth": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 40 + event_id % 30 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 AS y2,
-        CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'normal' END AS importance, CASE WHEN event_id % 3 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type FROM {events} WHERE event_id % 4 <> 3""",
-    "predicted": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + event_id % 3 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 36 + event_id % 30 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y2,
-        CASE WHEN event_id % 6 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type, CAST(event_id % 20 AS DOUBLE) / 20 AS confidence FROM {events} WHERE event_id % 5 <> 2""",
+    # Predicted and true strokes, for scoring: some match, some are off, some lie where none of the other kind does.
+    "truth": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + floor((event_id % 4) / 3) * 2000 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 40 + event_id % 30 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + floor((event_id % 4) / 3) * 2000 AS y2,
+        CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'normal' END AS importance, CASE WHEN event_id % 3 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type FROM {events}""",
+    "predicted": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + event_id % 3 + floor(((event_id + 2) % 5) / 4) * 3000 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 36 + event_id % 30 + floor(((event_id + 2) % 5) / 4) * 3000 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y2,
+        CASE WHEN event_id % 6 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type, CAST(event_id % 20 AS DOUBLE) / 20 AS confidence FROM {events}""",
     # Measured dimensions: a value in mm over a drawn length.
     "dims": """SELECT p_partkey AS id, CAST(floor(p_partkey / 60) AS BIGINT) AS page, CAST((p_partkey * 7) % 6 AS DOUBLE) * 20 AS s, CAST((p_partkey * 7) % 6 AS DOUBLE) * 20 + 20 * (1 + p_size % 6) AS e, CAST(p_partkey % 4 AS DOUBLE) * 30 AS coord,
-        CAST(1 + p_size % 6 AS DOUBLE) * CASE p_partkey % 9 WHEN 0 THEN 260 WHEN 1 THEN 195 ELSE 200 END AS mm FROM {part}""",
-    # Undirected graph of a page's nodes.
-    "graph": """SELECT DISTINCT l_suppkey AS page, (l_partkey % 90) * 1000 + l_suppkey AS a, ((l_partkey * 31 + l_orderkey) % 90) * 1000 + l_suppkey AS b, l_quantity AS length FROM {lineitem} WHERE l_orderkey % 13 = 0""",
+        CAST(1 + p_size % 6 AS DOUBLE) * CASE WHEN floor(p_partkey / 60) % 7 = 3 AND p_partkey % 2 = 0 THEN 310 WHEN p_partkey % 9 = 0 THEN 260 WHEN p_partkey % 9 = 1 THEN 195 ELSE 200 END AS mm FROM {part}""",
+    # Undirected graph of a page's nodes: many small components and some large ones.
+    "graph": """SELECT DISTINCT l_suppkey AS page, (l_partkey % 1500) * 100000 + l_suppkey AS a, ((l_partkey * 31 + l_orderkey) % 1500) * 100000 + l_suppkey AS b, l_quantity AS length FROM {lineitem}""",
     # The structural candidates and their evidence.
     "signals": """SELECT o_orderkey AS candidate, o_custkey % 50 AS page, CASE o_custkey % 6 WHEN 0 THEN 'pair' WHEN 1 THEN 'layer' WHEN 2 THEN 'room' WHEN 3 THEN 'shell' WHEN 4 THEN 'oblique' ELSE 'accepted' END AS kind,
         CAST(o_orderkey % 80 AS DOUBLE) / 64 - CAST(o_custkey % 32 AS DOUBLE) / 64 AS weight FROM {orders}""",
@@ -63,7 +65,7 @@ VIEWS = {
 
 
 def needs(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
 def loader(tables: dict[str, DataFrame]):
@@ -95,7 +97,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 #: What DuckDB names otherwise.
-_DUCK = ((r"(?<![\w'])r'", "'"), (r"/\*g\*/", ", 'g'"), (r"\bpercentile\(", "quantile_cont("), (r"\bbround\(", "round_even("), (r"\bsha2\((.*?), 256\)", r"sha256(\1)"), (r"\bSTRING\b", "VARCHAR"))
+_DUCK = ((r"(?<![\w'])r'", "'"), (r"/\*g\*/", ", 'g'"), (r"\bpercentile\(", "quantile_cont("), (r"\bbround\(", "round_even("), (r"\bsha2\((.*?), 256\)", r"sha256(\1)"), (r"\bSTRING\b", "VARCHAR"), (r"\bexplode\(", "unnest("), (r"\bsequence\(", "generate_series("))
 
 
 def duck(text: str) -> str:
@@ -109,7 +111,7 @@ def duck(text: str) -> str:
                 order.append(n)
 
     visit(text)
-    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t).replace("{{", "{").replace("}}", "}")
+    plain = lambda t: re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", t).replace("{{", "{").replace("}}", "}")
     body, ctes = plain(text).lstrip(), ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
     head = re.match(r"(?i)WITH( RECURSIVE)?\b", body)
     if ctes:

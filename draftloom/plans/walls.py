@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import length
 from ..operators.graph import connected_components
 from ..operators.registry import both, query
+from .contacts import known
 from ..operators.spatial import grid_join
 
 #: Components of the boxes that touch; the oracle follows the pairs by recursion.
@@ -55,9 +56,7 @@ FROM {walls} w JOIN (SELECT page, orient, min(coord) AS low, max(coord) AS high
 JOIN (SELECT a.prim_id, count(o.prim_id) AS outer_ FROM {walls} a LEFT JOIN {walls} o ON o.page = a.page AND o.orient = a.orient AND o.coord > a.coord + 24 AND o.s <= (a.s + a.e) / 2 AND o.e >= (a.s + a.e) / 2 GROUP BY a.prim_id) x ON x.prim_id = w.prim_id""")
 
 #: What is known of each stroke before it is judged; flags instead of sentences.
-_FLAGS = """SELECT w.prim_id, w.page, w.e - w.s AS len, count(DISTINCT p.prim_id) AS faces, count(DISTINCT x.prim_id) AS contacts FROM {walls} w
-  LEFT JOIN {walls} p ON p.page = w.page AND p.orient = w.orient AND abs(p.coord - w.coord) BETWEEN 2 AND 24 AND least(p.e, w.e) - greatest(p.s, w.s) >= 0.55e0 * least(p.e - p.s, w.e - w.s)
-  LEFT JOIN {walls} x ON x.page = w.page AND x.orient <> w.orient AND (abs(x.coord - w.s) <= 3 OR abs(x.coord - w.e) <= 3) AND w.coord BETWEEN x.s - 3 AND x.e + 3 GROUP BY w.prim_id, w.page, w.e - w.s"""
+_FLAGS = known("least(p.e, w.e) - greatest(p.s, w.s) >= 0.55e0 * least(p.e - p.s, w.e - w.s)")
 _EVIDENCE = f"""SELECT *, round(greatest(0e0, least(1e0, CASE WHEN faces >= 3 THEN 0.35e0 WHEN faces >= 1 THEN 0.5e0 WHEN len >= 96 THEN 0.22e0 ELSE 0.08e0 END + 0.25e0 + least(0.2e0, 0.1e0 * contacts) - CASE WHEN faces = 0 AND len < 36 THEN 0.25e0 ELSE 0e0 END)), 9) AS score,
   CASE WHEN faces = 0 AND contacts = 0 AND len < 36 THEN 'FragmentNoise' WHEN faces >= 6 THEN 'SurfacePattern' WHEN faces >= 1 AND contacts >= 1 THEN 'PairedWall' WHEN faces >= 1 THEN 'UnanchoredPair' WHEN contacts >= 2 THEN 'SingleLineWall' ELSE 'Weak' END AS category FROM ({_FLAGS}) f"""
 both("wall_evidence_score", "WE1 WE2 WE4 WE5", _EVIDENCE)

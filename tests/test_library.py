@@ -8,8 +8,10 @@ import random
 import pytest
 
 from draftloom import catalog
+from draftloom.operators import aggregates
 from draftloom.operators.graph import connected_components
-from draftloom.plans import solvers, stages
+from draftloom.plans import solvers, stages, view
+from draftloom.plans.view import over
 from draftloom.sources import dxf, readers, sinks
 from draftloom.streaming import arrivals
 from tests.conftest import SMALL
@@ -19,7 +21,7 @@ WALL = "prim_id string, page long, orient string, coord double, s double, e doub
 SEG = "prim_id string, page long, layer string, x1 double, y1 double, x2 double, y2 double"
 
 
-@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
+@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
 def test_operators_equal_their_plain_sql(spark, name):
     same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name], SMALL)
 
@@ -37,9 +39,78 @@ def test_faces_of_a_double_line_room(spark):
     assert catalog.apply("wall_pairs_greedy", walls=frame).count() == 4
 
 
-def test_rectangle_has_four_corners(spark):
-    walls = [("t", 1, "H", 100.0, 100.0, 320.0), ("b", 1, "H", 260.0, 100.0, 320.0), ("l", 1, "V", 100.0, 100.0, 260.0), ("r", 1, "V", 320.0, 100.0, 260.0)]
-    assert [(r["kind"], r["degree"]) for r in catalog.apply("node_degree_kind", walls=spark.createDataFrame(walls, WALL)).collect()] == [("Corner", 2)] * 4
+RECTANGLE = [("t", 1, "H", 100.0, 100.0, 500.0), ("b", 1, "H", 350.0, 100.0, 500.0), ("l", 1, "V", 100.0, 100.0, 350.0), ("r", 1, "V", 500.0, 100.0, 350.0)]
+
+
+def test_nodes_of_a_rectangle_a_tee_and_a_crossing(spark):
+    def nodes(walls):
+        return {(r["x"], r["y"]): (r["kind"], r["degree"], r["directions"]) for r in catalog.apply("node_degree_kind", walls=spark.createDataFrame(walls, WALL)).collect()}
+
+    assert sorted(nodes(RECTANGLE).values()) == [("Corner", 2, "ES"), ("Corner", 2, "NE"), ("Corner", 2, "NW"), ("Corner", 2, "SW")]
+    tee = nodes([("a", 1, "H", 100.0, 100.0, 420.0), ("b", 1, "V", 250.0, 100.0, 280.0)])
+    assert tee[250, 100] == ("TJunction", 3, "ESW") and sorted(k for k, *_ in tee.values()) == ["Endpoint"] * 3 + ["TJunction"]
+    cross = nodes([("a", 1, "H", 100.0, 0.0, 200.0), ("b", 1, "V", 100.0, 0.0, 200.0), ("c", 1, "H", 100.0, 200.0, 300.0)])
+    assert cross[100, 100] == ("Crossing", 4, "NESW") and cross[200, 100][0] == "Inline"
+    edges = catalog.apply("wall_edges_split", walls=spark.createDataFrame([("w", 1, "H", 100.0, 100.0, 300.0), ("d", 1, "V", 200.0, 100.0, 240.0)], WALL)).collect()
+    assert {r["prim_id"]: (r["edges"], r["shortest"]) for r in edges} == {"w": (2, 100.0), "d": (1, 140.0)}
+
+
+def test_rooms_are_what_walls_close_off(spark):
+    rooms = lambda walls: sorted(r["cells"] for r in catalog.apply("room_components", walls=spark.createDataFrame(walls, WALL)).collect())
+    assert rooms(RECTANGLE) == [20 * 13]
+    assert rooms([*RECTANGLE, ("m", 1, "V", 300.0, 100.0, 350.0)]) == [10 * 13, 10 * 13]
+    assert rooms([*RECTANGLE, ("m", 1, "V", 300.0, 100.0, 250.0)]) == [20 * 13]  # a wall that leaves a way round
+    assert rooms(RECTANGLE[:3]) == []  # open to the outside
+
+
+STROKE = "id long, page long, x1 double, y1 double, x2 double, y2 double, importance string, wall_type string, confidence double"
+
+
+def test_truth_is_matched_one_to_one(spark):
+    walls = [(i, 1, 0.0, 50.0 * i, 100.0, 50.0 * i, "critical" if i == 2 else "normal", "interior", 0.9) for i in range(5)]
+    frame = lambda rows: spark.createDataFrame(rows, STROKE)
+    same_ = catalog.apply("detector_prf", predicted=frame(walls), truth=frame(walls)).first()
+    assert (same_["recall"], same_["precision_"], same_["f1"]) == (1, 1, 1)
+    doubled = catalog.apply("detector_prf", predicted=frame([*walls, *((10 + r[0], *r[1:3], r[3] + 1, r[4], r[5] + 1, *r[6:]) for r in walls)]), truth=frame(walls)).first()
+    assert (doubled["matched"], doubled["recall"], doubled["precision_"]) == (5, 1, 0.5)  # the second of each is extra
+    less = {(r["importance"]): r["recall"] for r in catalog.apply("truth_by_importance", predicted=frame([w for w in walls if w[0] != 2]), truth=frame(walls)).collect()}
+    assert less == {"critical": 0, "normal": 1}
+
+
+def test_tags_and_hints(spark):
+    said = ["VAV-3 FD-2 P-10", "Room P-1 and P-2", "P-1, P-2", "AHU_2", "AHU2", "none"]
+    texts = spark.createDataFrame([(i, 1, 0.0, 0.0, t, 1) for i, t in enumerate([*said, "hairline", "portable ramp", "Office chair", "sofa_bed"])], "id long, page long, x double, y double, text string, size int")
+    tags: dict = {}
+    for r in catalog.apply("tag_tokens", texts=texts).collect():
+        tags.setdefault([*said, *[""] * 4][r["id"]], []).append((r["token"], r["prefix"]))
+    assert {k: sorted(t for t, _ in v) for k, v in tags.items() if k} == {"VAV-3 FD-2 P-10": ["FD-2", "P-10", "VAV-3"], "Room P-1 and P-2": ["P-1", "P-2"], "P-1, P-2": ["P-1", "P-2"], "AHU_2": ["AHU-2"], "AHU2": ["AHU2"]}
+    assert tags["AHU2"][0][1] == "AHU"
+    hints = {r["text"]: r["category"] for r in catalog.apply("category_hints", texts=texts).collect()}
+    assert (hints["hairline"], hints["portable ramp"], hints["Office chair"], hints["sofa_bed"]) == ("Unknown", "Unknown", "Furniture", "Furniture")
+
+
+def test_uses_lines_and_fields(spark):
+    rooms = spark.createDataFrame([("a", 1, 0.0, 0.0, 100.0, 80.0, "OFFICE/101"), ("b", 1, 0.0, 0.0, 400.0, 80.0, None), ("c", 1, 0.0, 0.0, 100.0, 80.0, "xyz")], "id string, page long, x double, y double, w double, h double, label string")
+    assert {r["id"]: r["use"] for r in catalog.apply("room_use_classify", rooms=rooms).collect()} == {"a": "Office", "b": "Corridor", "c": "Unknown"}
+    texts = spark.createDataFrame([(1, 1, 0.0, 0.0, "zeta", 1), (2, 1, 10.0, 0.0, "alpha", 1)], "id long, page long, x double, y double, text string, size int")
+    assert [(r["words"], r["first_word"]) for r in catalog.apply("text_lines", texts=texts).collect()] == [(2, "zeta")]
+    notes = spark.createDataFrame([(0, 1, 0.0, 0.0, "doors", 1), (1, 1, 0.0, 0.0, "walls", 1), (2, 1, 0.0, 0.0, "roof", 1), (3, 1, 0.0, 0.0, "Bedroom 3", 1)], texts.schema)
+    assert {r["id"]: (r["marker"], r["body"]) for r in catalog.apply("annotation_items", texts=notes).collect()} == {0: ("12", "doors"), 1: ("A", "walls"), 2: ("7", "roof"), 3: ("", "")}
+    fields = {r["id"]: r for r in catalog.apply("title_block_fields", texts=spark.createDataFrame([(i, 1, 0.0, 0.0, "x", 4) for i in range(6)], texts.schema)).collect()}
+    assert (fields[0]["label"], fields[1]["label"], fields[1]["date"], fields[2]["revision"], fields[3]["sheet"], fields[5]["label"]) == ("project", "date", "2024-03-04", "C", "A-4", "")
+
+
+def test_caps_keep_the_best_of_each_page(spark):
+    lines = spark.createDataFrame([(f"p{i}", i % 2, "H", 0.0, 0.0, float(i), "A-WALL" if i % 3 else "X", 1) for i in range(20)], f"{WALL}, layer string, part long")
+    got = over(lambda name: lines, aggregates.seeds(3)).collect()
+    assert {(r["page"], r["rank"]): r["prim_id"] for r in got} == {(0, 1): "p16", (0, 2): "p14", (0, 3): "p10", (1, 1): "p19", (1, 2): "p17", (1, 3): "p13"}
+    kept = over(lambda name: view.frame(spark, SMALL, name), aggregates.capped(3, 4, 5, 2, 1)).groupBy("kind", "page").count().collect()
+    assert {r["kind"]: r["count"] for r in kept} == {"crop": 3, "linework": 4, "candidate": 5, "room": 2, "arc": 1} and max(r["count"] for r in kept) == 5
+
+
+def test_pages_lose_quality_for_faults(spark):
+    got = {r["grade"] for r in catalog.QUERIES["quality_score"](spark, SMALL).collect()}
+    assert catalog.QUERIES["quality_score"](spark, SMALL).where("not calibrated").count() > 0 and got - {"Strong"}
 
 
 def test_openings_and_the_frontier(spark):
