@@ -22,10 +22,10 @@ import hashlib
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import stored, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SIZE, REACH = 64, 24
@@ -326,9 +326,8 @@ def train(docs: DataFrame, windows: int = WINDOWS) -> dict | None:
             yield pa.record_batch(list(map(pa.array, ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]), [pa.string()] * 3)) + [pa.array([r[3] for r in rows], pa.bool_())], names=["h", "part", "spans", "some"])
 
     found = docs.select("text").mapInArrow(tidy(gather), "h string, part string, spans string, some boolean")
-    ranked = F.row_number().over(Window.partitionBy("some").orderBy("h", "part"))
-    found = found.distinct().withColumn("rank", ranked).where(F.col("rank") <= most[True]).where(F.col("some") | (F.col("rank") <= most[False]))
-    got = found.orderBy(F.col("some").desc(), "h", "part").collect()  # windows rows at most
+    found = stored(found.distinct(), "windows")
+    got = [r for some, n in most.items() for r in found.where(F.col("some") == some).orderBy("h", "part").limit(n).collect()]  # windows rows at most
     xs, ys = [], []
     for i, r in enumerate(got):
         own = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x]
