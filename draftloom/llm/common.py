@@ -14,6 +14,9 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Most buckets of a table that Spark allows.
+BUCKETS = 100_000
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -41,16 +44,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hashed(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of integers (Murmur3, 32 bits, seed 42), as buckets are found by it."""
+    with np.errstate(over="ignore"):
+        turn = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+        k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def dealt(parts: int, ways: int) -> np.ndarray:
+    """A different number for each of parts, such that the hash deals them to the buckets in turn."""
+    many = 4 * parts + 32 * ways
+    while True:
+        bucket = np.mod(hashed(np.arange(many, dtype=np.uint32)), ways)
+        order = np.argsort(bucket, kind="stable")
+        first = np.searchsorted(bucket[order], np.arange(ways))
+        size = np.diff(np.append(first, many))
+        p = np.arange(parts)
+        if (size[p % ways] > p // ways).all():
+            return order[first[p % ways] + p // ways].astype(np.int32)
+        many *= 2
+
+
 def bucketed(df: DataFrame, name: str) -> DataFrame:
     """df with its partitions' numbers as src, written to the shared folder in buckets of src and read back.
 
     Grouping by src then needs no exchange. Nothing is exchanged to write it either: a partition is a
-    file. The table is listed in the session's catalog until forget(), or the driver's end.
+    file, and as far as may be (BUCKETS) a bucket of its own: src is a number that Spark's hash sends
+    there. The table is listed in the session's catalog until forget(), or the driver's end.
     """
     spark = df.sparkSession
     table, path = f"{name}_{uuid.uuid4().hex}", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    ways = 2 * max(1, df.rdd.getNumPartitions())  # twice, so that few buckets get several partitions
-    df.withColumn("src", F.spark_partition_id()).write.bucketBy(min(ways, 100_000), "src").sortBy("src").option("path", path).saveAsTable(table)
+    parts = max(1, df.rdd.getNumPartitions())
+    ways = min(parts, BUCKETS)
+    src = F.coalesce(F.get(F.lit(dealt(parts, ways)), F.spark_partition_id()), -1 - F.spark_partition_id())
+    df.withColumn("src", src).write.bucketBy(ways, "src").sortBy("src").option("path", path).saveAsTable(table)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.table(table)

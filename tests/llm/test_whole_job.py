@@ -9,7 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from draftloom.llm import embedding_dedup, minhash_dedup, packing, sharding, toxicity
-from draftloom.llm.common import shingles, stored, word_hashes
+from draftloom.llm.common import bucketed, dealt, forget, hashed, shingles, stored, word_hashes
 from tests.conftest import SMALL
 
 from .conftest import prose
@@ -181,3 +181,15 @@ def test_labels_of_other_values_do_not_count(spark):
     assert model["words"]["vile"] > 0 and min(model["words"].values()) < -toxicity.DRIFT  # clean words have odds of their own
     rows = toxicity.score(docs, model).collect()
     assert all((r["score"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in rows)
+
+
+def test_partitions_get_buckets_of_their_own(spark):
+    x = np.arange(5000, dtype=np.uint32)
+    assert [r[0] for r in spark.range(5000).selectExpr("hash(cast(id as int))").collect()] == hashed(x).tolist()
+    for parts, ways in ((1, 1), (37, 37), (250, 100)):
+        src = dealt(parts, ways)
+        assert len(set(src.tolist())) == parts and np.bincount(np.mod(hashed(src), ways), minlength=ways).max() <= -(-parts // ways)
+    table = bucketed(spark.range(1000).repartition(9), "numbers")
+    grouped = table.groupBy("src").agg({"id": "count"})
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString() and grouped.count() == 9
+    forget(table)
