@@ -96,23 +96,28 @@ def forget(df: DataFrame) -> None:
     release(df)
 
 
+def hand_back() -> None:
+    """Gives the memory that a worker has freed back to the system: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tidy(run):
-    """run over a task's batches; when they end, the worker, which lives on, hands freed memory back."""
+    """run over a task's batches; when they end, the worker hands freed memory back."""
 
     def work(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            hand_back()
 
     return work
 

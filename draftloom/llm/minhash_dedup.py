@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, forget, mix, release, shingles, stored, tidy, utf8, word_hashes
+from .common import bucketed, components, forget, hand_back, mix, release, shingles, stored, tidy, utf8, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 #: Bytes of text to a range of hashes where document frequencies are counted, and the least number of ranges.
@@ -328,7 +328,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 if key not in found:  # as many as the part has rows, at most
                     u, w, _ = vector(text, h, c, n_docs, mask)
                     found[key] = bands(signature(u, w)) if len(u) else None
-        return pa.table({"key": pa.array(list(found), pa.binary()), "bands": pa.array(list(found.values()), pa.list_(pa.int64()))})
+        out = pa.table({"key": pa.array(list(found), pa.binary()), "bands": pa.array(list(found.values()), pa.list_(pa.int64()))})
+        del h, c, found
+        hand_back()
+        return out
 
     signed = texts.select("src", "key", "text").groupBy("src").cogroup(often.groupBy("src")).applyInArrow(sketch, "key binary, bands array<long>")
     signed = stored(stored(signed, "parts").groupBy("key").agg(F.first("bands").alias("bands")), "sketches")
@@ -358,7 +361,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     u, w, df = vector(text, h, c, n_docs, mask)
                     found[key] = packed(u, w), prefix(u, w, df)
         us, rare = zip(*found.values(), strict=True) if found else ((), ())
-        return pa.table({"key": pa.array(list(found), pa.binary()), "u": pa.array(us, pa.binary()), "rare": pa.array(rare, pa.binary())})
+        out = pa.table({"key": pa.array(list(found), pa.binary()), "u": pa.array(us, pa.binary()), "rare": pa.array(rare, pa.binary())})
+        del h, c, found, us, rare
+        hand_back()
+        return out
 
     found = texts.select("src", "key", "text").groupBy("src").cogroup(often.groupBy("src")).applyInArrow(weigh, "key binary, u binary, rare binary")
     vecs = stored(found.join(asked, "key", "left_semi").groupBy("key").agg(F.first("u").alias("u"), F.first("rare").alias("rare")), "vectors")
