@@ -4,8 +4,10 @@ Reputation is empirical Bayes: pages with a labelled outcome (1 bad, 0 good) are
 registered domain and suffix. Each level's rate is shrunk towards the level above it: from the whole
 to the suffix, the suffix to the domain, the domain to the host, with beta-binomial priors whose
 weights are fitted to each level by the method of moments. A page without a rule is blocked if the
-lower bound of its host's posterior rate (BOUND standard deviations of the beta) is above LIMIT; a
-host without labelled pages has its domain's posterior, or its suffix's.
+lower bound of its host's posterior rate (BOUND standard deviations of the beta) is above TIMES the
+rate of all pages, or above LIMIT; a host without labelled pages has its domain's posterior, or its
+suffix's. Where hosts differ by no more than chance, the fitted weights are large and none is blocked.
+Domain and suffix are those of the host without user and port.
 
 Rules are (host, path, verdict): a rule fits its host and all subdomains where the path starts with
 the rule's; the longest rule wins.
@@ -26,7 +28,7 @@ from .common import stored
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Suffixes of two labels; all others have one.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx")
-LIMIT, BOUND = 0.5, 2.0
+LIMIT, TIMES, BOUND = 0.5, 2.0, 2.0
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -46,6 +48,7 @@ def matched(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def domain_of(host: Column) -> Column:
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
     two = F.substring_index(host, ".", -2)
     return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
@@ -86,7 +89,7 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, fl
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages (with host and path) with rule and verdict; outcomes: (host, bad) of labelled pages."""
-    hosts, domains, suffixes, _ = reputation(outcomes)
+    hosts, domains, suffixes, rate = reputation(outcomes)
     rule, verdict = matched(rules)
     found = pages.withColumn("__domain", domain_of(F.col("host"))).withColumn("__suffix", suffix_of(F.col("__domain")))
     for name, table, key in (("host", hosts, "host"), ("domain", domains, "__domain"), ("suffix", suffixes, "__suffix")):
@@ -95,7 +98,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
         low = p - BOUND * F.sqrt(p * (1 - p) / (a + b + 1))
         found = found.join(table.select(F.col(name).alias(f"__k{name}"), low.alias(f"__{name}_low")), F.col(key) == F.col(f"__k{name}"), "left").drop(f"__k{name}")
     low = F.coalesce("__host_low", "__domain_low", "__suffix_low", F.lit(0.0))
-    own = F.when(low > LIMIT, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(low > min(LIMIT, TIMES * rate), F.lit("block")).otherwise(F.lit("allow"))
     return found.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own)).drop("__domain", "__suffix", "__host_low", "__domain_low", "__suffix_low")
 
 
@@ -131,8 +134,9 @@ _FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}
 ORACLE = rf"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
-d AS (SELECT *, CASE WHEN {_LAST.format("host", 2)} IN {_TWO} THEN {_LAST.format("host", 3)} ELSE {_LAST.format("host", 2)} END AS domain,
-  TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[a-z]+)?/?$', 1), '') AS BIGINT) AS number FROM h),
+g AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM h),
+d AS (SELECT *, CASE WHEN {_LAST.format("bare", 2)} IN {_TWO} THEN {_LAST.format("bare", 3)} ELSE {_LAST.format("bare", 2)} END AS domain,
+  TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[a-z]+)?/?$', 1), '') AS BIGINT) AS number FROM g),
 e AS (SELECT *, CASE WHEN {_LAST.format("domain", 2)} IN {_TWO} THEN {_LAST.format("domain", 2)} ELSE {_LAST.format("domain", 1)} END AS suffix FROM d),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 hosts AS (SELECT host, domain, suffix, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM e JOIN l ON number = doc_id GROUP BY ALL),
@@ -141,6 +145,6 @@ suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT
 {_level("s", "suffix", "", "suffixes", "")}, {_level("d", "domain", "suffix", "domains", "s_p")}, {_level("h", "host", "domain", "hosts", "d_p")}
 SELECT page_id, e.host, path, CASE {" ".join(f"WHEN {f.replace('host', 'e.host')} THEN '{r}'" for f, r, _ in _FITS)} END AS rule,
   CASE {" ".join(f"WHEN {f.replace('host', 'e.host')} THEN '{v}'" for f, _, v in _FITS)}
-    WHEN coalesce({_LOW.format("h_p")}, {_LOW.format("d_p")}, {_LOW.format("s_p")}, 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN coalesce({_LOW.format("h_p")}, {_LOW.format("d_p")}, {_LOW.format("s_p")}, 0) > least(0.5::DOUBLE, 2.0::DOUBLE * (SELECT rate FROM s_rate)) THEN 'block' ELSE 'allow' END AS verdict
 FROM e LEFT JOIN h_p ON e.host = h_p.host LEFT JOIN d_p ON e.domain = d_p.domain LEFT JOIN s_p ON e.suffix = s_p.suffix
 """

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from draftloom.llm import embedding_dedup, minhash_dedup, packing, sharding, toxicity
+from draftloom.llm import embedding_dedup, minhash_dedup, packing, sharding, toxicity, url_filter
 from draftloom.llm.common import bucketed, dealt, forget, hashed, shingles, stored, word_hashes
 from tests.conftest import SMALL
 
@@ -193,3 +193,13 @@ def test_partitions_get_buckets_of_their_own(spark):
     grouped = table.groupBy("src").agg({"id": "count"})
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString() and grouped.count() == 9
     forget(table)
+
+
+def test_hosts_well_above_the_rate_of_all_are_blocked(spark):
+    """A fifth of all pages is bad; a host at three times that goes, one at the rate stays; user and port don't part a domain."""
+    rows = [(f"h{k}.example.org", int(i % 5 == 0)) for k in range(30) for i in range(100)] + [("worse.com", int(i % 5 < 3)) for i in range(300)]
+    outcomes = spark.createDataFrame(rows, "host string, bad long")
+    hosts = ["worse.com", "www.worse.com:8080", "me@worse.com", "h3.example.org", "new.example.org"]
+    pages = spark.createDataFrame([(i, h, "/") for i, h in enumerate(hosts)], "page_id long, host string, path string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, outcomes, []).collect()}
+    assert [got[i] for i in range(5)] == ["block", "block", "block", "allow", "allow"]
