@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, tidy
+from .common import hand_back, held_out, tidy
 
 #: Rows learned from, in all.
 SAMPLE = 3000
@@ -70,11 +70,10 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def support_vector_machine(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 200) -> np.ndarray:
-    """Weights and bias (last) that minimise squared hinge loss, classes balanced; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights and bias (last; x has ones there) that minimise squared hinge loss, classes balanced; y is -1 or 1."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
-    rate = 1 / (2 * float((share * (x * x).sum(1)).sum()) + reg)
+    rate = 1 / (2 * float((share * np.einsum("ij,ij->i", x, x)).sum()) + reg)
     for t in range(rounds):  # accelerated gradient
         miss = np.maximum(0, 1 - y * (x @ v))
         new = v - rate * (reg * v - 2 * x.T @ (share * y * miss))
@@ -84,7 +83,12 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, roun
 
 
 def fit(x: np.ndarray, langs: list[str]) -> dict:
-    """The machines: one against the rest by family, one against one inside a family."""
+    """The machines learned from features x."""
+    return machines(np.hstack([x, np.ones((len(x), 1), np.float32)]), langs)
+
+
+def machines(x: np.ndarray, langs: list[str]) -> dict:
+    """The machines: one against the rest by family, one against one inside a family; the last column of x is ones."""
     names = sorted(set(langs))
     families = sorted({FAMILY_OF.get(n, f"only {n}") for n in names})
     of = np.array([families.index(FAMILY_OF.get(n, f"only {n}")) for n in langs])
@@ -145,7 +149,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     got = chosen.mapInArrow(tidy(vectors), "lang string, x binary").distinct().orderBy("lang", "x").collect()  # SAMPLE rows in expectation
     if not got:
         return None
-    return fit(np.stack([np.frombuffer(r["x"], "<f2").astype(np.float32) for r in got]), [r["lang"] for r in got])
+    # Filled in place: the driver holds the sample once, and a machine's share of it.
+    x, langs = np.ones((len(got), DIM + 1), np.float32), [r["lang"] for r in got]
+    for i, r in enumerate(got):
+        x[i, :-1] = np.frombuffer(r["x"], "<f2")
+    del got
+    model = machines(x, langs)
+    del x
+    hand_back()
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
