@@ -22,6 +22,13 @@ LAYER_HINTS = {
     "SurfacePattern": ["hatch", "hatches", "hatching", "pattern", "patterns", "tile", "tiles", "fill", "poche", "surface-pattern"],
 }
 
+# Phrases in a wall's evidence that take back trust, then those that give it.
+NOT_TRUSTED = ("not trusted", "without shell support", "alone is not")
+TRUSTED = (
+    "source-backed exterior shell", "exterior shell continuity", "trusted exterior shell", "trusted long exterior shell", "trusted long isolated exterior shell", "trusted long main exterior shell", "global exterior-shell repair matched a trusted shell",
+    "recovered wall body aligned to main floorplan perimeter shell", "wall-like layer exterior shell support", "wall or structural source layer", "filled wall-solid primitive", "filled closed vector wall body", "trusted benchmark",
+)
+
 # Uses of rooms by terms in their labels; the first that fits holds.
 ROOM_USE = {
     "Corridor": ["corridor", "corr", "hallway", "passage", "passasje", "korridor", "gang"],

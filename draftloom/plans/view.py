@@ -41,6 +41,9 @@ VIEWS = {
     # Runs of two versions over the same items, for comparisons.
     "runs": """SELECT CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS run, concat(CASE WHEN event_id % 3 = 0 THEN 'Case-' ELSE 'case-' END, CAST(event_id % 211 AS VARCHAR(9)), '-', CAST(user_id % 9 AS VARCHAR(9))) AS item,
         min(event_type) AS status, CAST(sum(event_id % 97) % 100 AS DOUBLE) / 100 AS quality, CAST(sum(event_id % 1009) AS DOUBLE) AS duration_ms, CAST(sum(event_id % 13) AS BIGINT) AS walls, CAST(sum(user_id % 5) % 6 AS BIGINT) AS rooms FROM {events} GROUP BY 1, 2""",
+    # What was said of each stroke, a sentence a row, with a figure in some.
+    "evidence": """SELECT prim_id, n, CASE WHEN n = 0 AND e - s >= 120 THEN 'Trusted long exterior shell' WHEN n = 0 AND coord < 60 THEN 'exterior shell continuity, but alone is not enough' WHEN n = 0 THEN 'Wall or structural source layer' WHEN coord > 300 THEN concat('paired faces with thickness ', CAST(CAST(e - s AS BIGINT) AS VARCHAR(9)), '.5 and coverage 0.', CAST(CAST(s / 10 AS BIGINT) + 10 AS VARCHAR(9))) ELSE 'single stroke' END AS said
+        FROM {walls} CROSS JOIN (VALUES (0), (1)) AS v(n) WHERE n = 1 OR coord < 200""",
     # Gaps between the strokes of a line, with the greatest end so far.
     "gaps": """SELECT page, orient, coord, s, e, prim_id, prev_e FROM (SELECT *, max(e) OVER (PARTITION BY page, orient, coord ORDER BY s, e DESC, prim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_e FROM {walls}) w WHERE prev_e IS NOT NULL""",
     "openings": "SELECT concat('o', prim_id) AS id, page, orient, coord, prev_e AS s, s AS e, s - prev_e AS width FROM {gaps} WHERE s - prev_e BETWEEN 8 AND 60",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import length
 from ..operators.graph import connected_components
 from ..operators.registry import both, query
+from ..functions.rules import NOT_TRUSTED, TRUSTED
 from .contacts import known
 from ..operators.spatial import grid_join
 
@@ -62,6 +63,11 @@ _EVIDENCE = f"""SELECT *, round(greatest(0e0, least(1e0, CASE WHEN faces >= 3 TH
 both("wall_evidence_score", "WE1 WE2 WE4 WE5", _EVIDENCE)
 _DECISION = f"SELECT *, CASE WHEN category IN ('FragmentNoise', 'SurfacePattern') THEN 'Reject' WHEN category IN ('PairedWall', 'SingleLineWall') AND score >= 0.5e0 THEN 'Accept' ELSE 'Review' END AS decision FROM ({_EVIDENCE}) v"
 both("wall_topology_partition", "WE2 FLT3", f"SELECT page, decision, count(*) AS n, sum(len) AS total FROM ({_DECISION}) d GROUP BY page, decision")
+_SAYS = lambda phrases: " OR ".join(f"contains(lower(said), '{p}')" for p in phrases)
+#: Sentences as flags and figures, once: what comes after reads columns. A sentence that takes trust back gives none.
+both("evidence_flags", "FLT4 FLT5", f"""
+SELECT prim_id, count(*) AS sentences, max(CASE WHEN ({_SAYS(TRUSTED)}) AND NOT ({_SAYS(NOT_TRUSTED)}) THEN 1 ELSE 0 END) = 1 AS trusted, max(TRY_CAST(nullif(regexp_extract(said, r'thickness ([0-9]+[.]?[0-9]*)', 1), '') AS DOUBLE)) AS thickness, max(TRY_CAST(nullif(regexp_extract(said, r'coverage ([0-9]+[.]?[0-9]*)', 1), '') AS DOUBLE)) AS coverage
+FROM {{evidence}} GROUP BY prim_id""")
 both("missing_band_recovery", "WE3", """
 SELECT page, prim_id, len FROM (SELECT l.page, l.prim_id, l.e - l.s AS len, row_number() OVER (PARTITION BY l.page ORDER BY l.e - l.s DESC, l.prim_id) AS rn FROM {lines} l
   ANTI JOIN {walls} w ON w.page = l.page AND w.orient = l.orient AND abs(w.coord - l.coord) <= 2 AND w.s <= l.s AND w.e >= l.e WHERE l.layer = '(unlayered)' AND l.e - l.s >= 24) r WHERE rn <= 60""")

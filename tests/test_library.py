@@ -108,6 +108,12 @@ def test_caps_keep_the_best_of_each_page(spark):
     assert {r["kind"]: r["count"] for r in kept} == {"crop": 3, "linework": 4, "candidate": 5, "room": 2, "arc": 1} and max(r["count"] for r in kept) == 5
 
 
+def test_sentences_become_flags_and_figures(spark):
+    said = [("a", "Trusted exterior shell, not trusted after review"), ("a", "single stroke"), ("b", "Filled wall-solid primitive"), ("b", "pair with thickness 12.5 and coverage 0.82"), ("c", "none")]
+    got = {r["prim_id"]: tuple(r)[1:] for r in catalog.apply("evidence_flags", evidence=spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(said)], "prim_id string, n int, said string")).collect()}
+    assert got == {"a": (2, False, None, None), "b": (2, True, 12.5, 0.82), "c": (1, False, None, None)}
+
+
 def test_pages_lose_quality_for_faults(spark):
     got = {r["grade"] for r in catalog.QUERIES["quality_score"](spark, SMALL).collect()}
     assert catalog.QUERIES["quality_score"](spark, SMALL).where("not calibrated").count() > 0 and got - {"Strong"}
