@@ -6,7 +6,7 @@ x, y, w, h (w or h of 0 is a box still). p and q are prefixes such as `a.`.
 
 from __future__ import annotations
 
-from ..operators.registry import both
+from ..operators.registry import both, near, side
 
 PI = "3.141592653589793e0"
 
@@ -99,12 +99,13 @@ _EDGES = """SELECT id, page, i, CASE i WHEN 0 THEN x WHEN 1 THEN x + w WHEN 2 TH
   FROM {rects} CROSS JOIN (VALUES (0), (1), (2), (3)) AS corners(i)"""
 both("rectangle_edges", "GEO14", _EDGES)
 both("polygon_area", "GEO11", f"SELECT id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum({length()}) AS perimeter FROM ({_EDGES}) e GROUP BY id")
-both("point_in_polygon", "GEO12 J13", f"""
-SELECT t.id AS text_id, e.id AS rect_id FROM {{texts}} t JOIN (SELECT e.*, r.x AS bx, r.w AS bw, r.y AS by_, r.h AS bh FROM ({_EDGES}) e JOIN {{rects}} r ON r.id = e.id) e
-  ON t.page = e.page AND t.x >= bx AND t.x <= bx + bw AND t.y >= by_ AND t.y <= by_ + bh
-GROUP BY t.id, e.id HAVING sum(CASE WHEN (y1 > t.y) <> (y2 > t.y) AND t.x < (x2 - x1) * (t.y - y1) / CASE WHEN y2 = y1 THEN 1e0 ELSE y2 - y1 END + x1 THEN 1 ELSE 0 END) % 2 = 1""")
+near("point_in_polygon", "GEO12 J13", f"""
+SELECT t.id AS text_id, e.id AS rect_id FROM [t] JOIN [e]
+  ON [t=e] AND t.x >= bx AND t.x <= bx + bw AND t.y >= by_ AND t.y <= by_ + bh
+GROUP BY t.id, e.id HAVING sum(CASE WHEN (y1 > t.y) <> (y2 > t.y) AND t.x < (x2 - x1) * (t.y - y1) / CASE WHEN y2 = y1 THEN 1e0 ELSE y2 - y1 END + x1 THEN 1 ELSE 0 END) % 2 = 1""",
+  t=side("{texts}", 24, x="x", y="y"), e=side(f"(SELECT e.*, r.x AS bx, r.w AS bw, r.y AS by_, r.h AS bh FROM ({_EDGES}) e JOIN {{rects}} r ON r.id = e.id)", 24, x=("bx", "bx + bw"), y=("by_", "by_ + bh")))
 
-both("line_match_metrics", "GEO9 GEO10", f"""
+near("line_match_metrics", "GEO9 GEO10", f"""
 SELECT p_id, t_id, round(degrees(acos(least(1e0, abs(dot)))), 6) AS angle, round(greatest(abs(d1), abs(d2)), 6) AS line_distance, round(ends, 6) AS endpoint_distance,
   round(greatest(0e0, least(greatest(a1, a2), tl) - greatest(least(a1, a2), 0e0)) / greatest(1e0, tl), 9) AS overlap
 FROM (SELECT p.id AS p_id, t.id AS t_id, {length("t.")} AS tl,
@@ -112,11 +113,8 @@ FROM (SELECT p.id AS p_id, t.id AS t_id, {length("t.")} AS tl,
     {cross("t.x2 - t.x1", "t.y2 - t.y1", "p.x1 - t.x1", "p.y1 - t.y1")} / {length("t.")} AS d1, {cross("t.x2 - t.x1", "t.y2 - t.y1", "p.x2 - t.x1", "p.y2 - t.y1")} / {length("t.")} AS d2,
     least({dist("p.x1", "p.y1", "t.x1", "t.y1")} + {dist("p.x2", "p.y2", "t.x2", "t.y2")}, {dist("p.x1", "p.y1", "t.x2", "t.y2")} + {dist("p.x2", "p.y2", "t.x1", "t.y1")}) / 2 AS ends,
     {parameter("p.x1", "p.y1", "t.")} * {length("t.")} AS a1, {parameter("p.x2", "p.y2", "t.")} * {length("t.")} AS a2
-  FROM {{predicted}} p JOIN {{truth}} t ON p.page = t.page AND abs(p.y1 - t.y1) <= 8 AND abs(p.x1 - t.x1) <= 12) m""")
-
-both("compass_direction", "GEO19", f"""
-SELECT a_id, b_id, direction, {opposite("direction")} AS back FROM (SELECT a.id AS a_id, b.id AS b_id, {compass("((b.x + b.w / 2) - (a.x + a.w / 2))", "((b.y + b.h / 2) - (a.y + a.h / 2))")} AS direction
-  FROM {{rooms}} a JOIN {{rooms}} b ON a.page = b.page AND a.id < b.id) d""")
+  FROM [p] JOIN [t] ON [p=t] AND abs(p.y1 - t.y1) <= 8 AND abs(p.x1 - t.x1) <= 12) m""",
+  p=side("{predicted}", 24, x="x1", y="y1"), t=side("{truth}", 24, x=("x1 - 12", "x1 + 12"), y=("y1 - 8", "y1 + 8")))
 
 both("arc_bounds", "GEO16 GEO18", f"""
 SELECT id, round(cx + r * cos(start_at), 6) AS sx, round(cy + r * sin(start_at), 6) AS sy, round(cx + r * cos(start_at + sweep), 6) AS ex, round(cy + r * sin(start_at + sweep), 6) AS ey,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import dist, length, to_segment
 from ..plans.view import over
-from .registry import both, query
+from .registry import both, near, query, side
 from .spatial import band_join, grid_join, nearest
 
 #: Two faces of a wall: same direction, 2 to 24 apart, overlapping by 24 and 0.55 of the shorter.
@@ -118,14 +118,15 @@ def dimension_nearest_line(load):
     return near.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("distance", "prim_id"))).where("rn = 1").drop("rn")
 
 
-both("witness_lines", "J16", """
+near("witness_lines", "J16", """
 SELECT id, side, prim_id, round(score, 6) AS score FROM (SELECT d.id, d.side, w.prim_id, abs(w.coord - d.at) + least(1e0, (w.e - w.s) / greatest(18e0, least(96e0, 0.45e0 * d.len))) AS score,
   row_number() OVER (PARTITION BY d.id, d.side ORDER BY abs(w.coord - d.at) + least(1e0, (w.e - w.s) / greatest(18e0, least(96e0, 0.45e0 * d.len))), w.prim_id) AS rn
-  FROM (SELECT id, page, 's' AS side, s AS at, coord, e - s AS len FROM {dims} UNION ALL SELECT id, page, 'e' AS side, e AS at, coord, e - s AS len FROM {dims}) d
-  JOIN {walls} w ON d.page = w.page AND w.orient = 'V' AND abs(w.coord - d.at) <= 5 AND d.coord BETWEEN w.s - 5 AND w.e + 5) r WHERE rn = 1""")
-both("containment_join", "J12", """
+  FROM [d] JOIN [w] ON [d=w] AND w.orient = 'V' AND abs(w.coord - d.at) <= 5 AND d.coord BETWEEN w.s - 5 AND w.e + 5) r WHERE rn = 1""",
+  d=side("(SELECT id, page, 's' AS side, s AS at, coord, e - s AS len FROM {dims} UNION ALL SELECT id, page, 'e' AS side, e AS at, coord, e - s AS len FROM {dims})", 40, x="at", y="coord"), w=side("{walls}", 40, x=("coord - 5", "coord + 5"), y=("s - 5", "e + 5")))
+near("containment_join", "J12", """
 SELECT text_id, rect_id, area FROM (SELECT t.id AS text_id, r.id AS rect_id, r.w * r.h AS area, row_number() OVER (PARTITION BY t.id ORDER BY r.w * r.h, r.id) AS rn
-  FROM {texts} t JOIN {rects} r ON t.page = r.page AND t.x BETWEEN r.x - 6 AND r.x + r.w + 6 AND t.y BETWEEN r.y - 6 AND r.y + r.h + 6) k WHERE rn = 1""")
+  FROM [t] JOIN [r] ON [t=r] AND t.x BETWEEN r.x - 6 AND r.x + r.w + 6 AND t.y BETWEEN r.y - 6 AND r.y + r.h + 6) k WHERE rn = 1""",
+  t=side("{texts}", 24, x="x", y="y"), r=side("{rects}", 24, x=("x - 6", "x + w + 6"), y=("y - 6", "y + h + 6")))
 both("interval_containment", "J17", """
 SELECT p.id AS parent, c.id AS child, round((c.e - c.s) / (p.e - p.s), 9) AS share FROM {dims} p JOIN {dims} c ON p.page = c.page AND p.coord = c.coord AND p.id <> c.id AND c.s >= p.s - 2 AND c.e <= p.e + 2 AND c.e - c.s < 0.94e0 * (p.e - p.s)""")
 both("scale_groups_similarity", "J18", """
@@ -155,14 +156,20 @@ def shared_wall_join(load):
       JOIN ({other}) b ON a.page = b.page AND a.k = b.k AND a.at = b.at AND a.of_ = b.of_ AND a.id < b.id GROUP BY 1, 2""")
 
 
-both("hatch_crossings", "J25 WL5", f"""
-SELECT a.page, count(*) AS crossings, round(sum(ix), 3) AS sum_x FROM (SELECT a.page, a.x1 + t * (a.x2 - a.x1) AS ix FROM (
+#: Strokes meet in the cell of their crossing.
+_HATCH = f"(SELECT * FROM {{segs}} WHERE layer = 'A-DIMS' AND {length()} >= 100)"
+_BOX = {"x": ("least(x1, x2) - 1", "greatest(x1, x2) + 1"), "y": ("least(y1, y2) - 1", "greatest(y1, y2) + 1")}
+near("hatch_crossings", "J25 WL5", f"""
+SELECT a.page, count(*) AS crossings, round(sum(ix), 3) AS sum_x FROM (SELECT a.*, a.x1 + t * (a.x2 - a.x1) AS ix, a.y1 + t * (a.y2 - a.y1) AS iy FROM (
   SELECT a.*, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0e0) AS t,
     ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0e0) AS u
-  FROM (SELECT * FROM {{segs}} WHERE layer = 'A-DIMS' AND {length()} >= 100 AND x2 > x1 AND y2 >= y1) a JOIN (SELECT * FROM {{segs}} WHERE layer = 'A-DIMS' AND {length()} >= 100) b ON a.page = b.page AND abs((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) > 0.0015e0
-  WHERE b.x1 <= a.x2 + 2 AND b.x2 >= a.x1 - 2 AND b.y1 <= greatest(a.y1, a.y2) + 2 AND b.y2 >= least(a.y1, a.y2) - 2) a WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1) a GROUP BY a.page""")
-both("arc_pairs", "J26 WL18", """
-SELECT a_id, b_id, thickness, overlap, round(0.62e0 * overlap + 0.22e0 * (1 - least(1e0, centre / 4)) + 0.16e0 * (1 - least(1e0, thickness / 24)), 9) AS score FROM (
-  SELECT a.id AS a_id, b.id AS b_id, b.r - a.r AS thickness, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS centre,
+  FROM [a] JOIN [b] ON [a=b] AND a.x2 > a.x1 AND a.y2 >= a.y1 AND abs((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) > 0.0015e0
+  WHERE b.x1 <= a.x2 + 2 AND b.x2 >= a.x1 - 2 AND b.y1 <= greatest(a.y1, a.y2) + 2 AND b.y2 >= least(a.y1, a.y2) - 2) a WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1) a [own] GROUP BY a.page""",
+  a=side(_HATCH, 120, **_BOX), b=side(_HATCH, 120, **_BOX), own=("", "WHERE floor(ix / 120) = in_x AND floor(iy / 120) = in_y"))
+ARC_PAIRS = ("""
+SELECT page, a_id, b_id, thickness, overlap, round(0.62e0 * overlap + 0.22e0 * (1 - least(1e0, centre / 4)) + 0.16e0 * (1 - least(1e0, thickness / 24)), 9) AS score FROM (
+  SELECT a.page, a.id AS a_id, b.id AS b_id, b.r - a.r AS thickness, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS centre,
     round((least(a.start_at + a.sweep, b.start_at + b.sweep) - greatest(a.start_at, b.start_at)) / least(a.sweep, b.sweep), 9) AS overlap
-  FROM {arcs} a JOIN {arcs} b ON a.page = b.page AND abs(a.cx - b.cx) <= 4 AND abs(a.cy - b.cy) <= 4 AND b.r - a.r BETWEEN 2 AND 24) p WHERE overlap >= 0.62e0""")
+  FROM [a] JOIN [b] ON [a=b] AND abs(a.cx - b.cx) <= 4 AND abs(a.cy - b.cy) <= 4 AND b.r - a.r BETWEEN 2 AND 24) p WHERE overlap >= 0.62e0""")
+ARC_SIDES = {"a": side("{arcs}", 8, x="cx", y="cy"), "b": side("{arcs}", 8, x=("cx - 4", "cx + 4"), y=("cy - 4", "cy + 4"))}
+near("arc_pairs", "J26", ARC_PAIRS, **ARC_SIDES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.registry import both, query
+from ..operators.registry import both, near, query, side
 
 _BUCKET = lambda x: f"greatest(1e0, bround({x} / 5, 0) * 5)"
 SIGNATURE = f"concat_ws('|', lower(category), lower(label), concat(CAST({_BUCKET('w')} AS BIGINT), 'x', CAST({_BUCKET('h')} AS BIGINT)))"
@@ -38,7 +38,7 @@ def object_aggregates(load):
 
 
 both("object_aggregate_composition", "A4 MP2", "SELECT page, category, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY page), 9) AS share FROM {items} GROUP BY page, category, label")
-both("object_room_join", "J13 OB1", "SELECT i.id, r.id AS room, r.label FROM {items} i LEFT JOIN {rooms} r ON r.page = i.page AND i.x + i.w / 2 >= r.x AND i.x + i.w / 2 < r.x + r.w AND i.y + i.h / 2 >= r.y AND i.y + i.h / 2 < r.y + r.h")
+near("object_room_join", "J13 OB1", "SELECT i.id, r.id AS room, r.label FROM [i] LEFT JOIN [r] ON [r=i] AND i.x + i.w / 2 >= r.x AND i.x + i.w / 2 < r.x + r.w AND i.y + i.h / 2 >= r.y AND i.y + i.h / 2 < r.y + r.h", i=side("{items}", 60, x="x + w / 2", y="y + h / 2"), r=side("{rooms}", 60, x=("x", "x + w"), y=("y", "y + h")))
 both("correction_dataset", "OB7 SRC9", """
 SELECT category, label, count(*) AS actions, count(CASE WHEN status = 'F' THEN 1 END) AS accepted, count(CASE WHEN status = 'O' THEN 1 END) AS rejected, count(DISTINCT page) AS pages, CASE WHEN count(CASE WHEN status = 'F' THEN 1 END) >= count(CASE WHEN status = 'O' THEN 1 END) THEN category ELSE 'Unknown' END AS corrected FROM {items} GROUP BY category, label""")
 both("crop_label_profile", "SRC10 A21", """
@@ -46,12 +46,12 @@ SELECT signature, category, n, n >= 2 AND share >= 0.6e0 AS rule FROM (SELECT si
   SELECT label AS signature, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS total FROM {items} GROUP BY label, category) c) r WHERE rn = 1""")
 
 # Routing ---------------------------------------------------------------------------------------
-both("routing_barriers", "RT1 J20", """
-SELECT w.prim_id, w.page, w.e - w.s AS len FROM {walls} w ANTI JOIN {openings} o ON o.page = w.page AND o.orient = w.orient AND o.coord = w.coord AND o.s < w.e AND w.s < o.e
+near("routing_barriers", "RT1 J20", """
+SELECT w.prim_id, w.page, w.e - w.s AS len FROM [w] ANTI JOIN {openings} o ON o.page = w.page AND o.orient = w.orient AND o.coord = w.coord AND o.s < w.e AND w.s < o.e
 ANTI JOIN (SELECT page, orient, coord FROM {lines} WHERE layer = 'A-DIMS') d ON d.page = w.page AND d.orient = w.orient AND d.coord = w.coord
-ANTI JOIN {rects} r ON r.page = w.page AND w.orient = 'H' AND r.x <= w.s AND r.x + r.w >= w.e AND w.coord BETWEEN r.y AND r.y + r.h WHERE w.e - w.s >= 30""")
-both("minor_detail_pattern", "RT3", """
-SELECT h.prim_id, count(DISTINCT v.prim_id) AS minor FROM {walls} h JOIN {walls} v ON v.page = h.page AND v.orient <> h.orient AND v.e - v.s <= 60 AND v.coord BETWEEN h.s AND h.e AND (abs(v.s - h.coord) <= 3 OR abs(v.e - h.coord) <= 3) GROUP BY h.prim_id HAVING count(DISTINCT v.prim_id) >= 2""")
+ANTI JOIN [r] ON [r=w] AND w.orient = 'H' AND r.x <= w.s AND r.x + r.w >= w.e AND w.coord BETWEEN r.y AND r.y + r.h WHERE w.e - w.s >= 30""", w=side("{walls}", 24, x="s", y="coord"), r=side("{rects}", 24, x=("x", "x + w"), y=("y", "y + h")))
+near("minor_detail_pattern", "RT3", """
+SELECT h.prim_id, count(DISTINCT v.prim_id) AS minor FROM [h] JOIN [v] ON [v=h] AND v.orient <> h.orient AND v.e - v.s <= 60 AND v.coord BETWEEN h.s AND h.e AND (abs(v.s - h.coord) <= 3 OR abs(v.e - h.coord) <= 3) GROUP BY h.prim_id HAVING count(DISTINCT v.prim_id) >= 2""", h=side("{walls}", 60, x=("s", "e"), y="coord"), v=side("{walls}", 60, x="coord", y=("s - 3", "e + 3")))
 both("routing_obstacles", "RT4 S1", """
 SELECT id, page, CASE WHEN category IN ('Stair', 'Column') THEN 'barrier' WHEN category = 'Door' THEN 'passage' WHEN category = 'Vehicle' THEN 'ignored' WHEN confidence < 0.2e0 THEN 'suppressed' WHEN category = 'Furniture' THEN 'hint' ELSE 'obstacle' END AS role,
   CASE WHEN confidence < 0.2e0 THEN 'low confidence' WHEN category = 'Vehicle' THEN 'room use evidence only' ELSE '' END AS reason FROM {items}

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from ..functions.geometry import dist
-from ..operators.registry import both
+from ..operators.registry import both, near, side
 
 # Measurements ----------------------------------------------------------------------------------
 both("measurement_checks", "A5 M5", """
 SELECT page, count(*) AS n, count(CASE WHEN off > 0.12e0 THEN 1 END) AS outliers, round(avg(CASE WHEN off > 0.12e0 THEN 1e0 ELSE 0e0 END), 9) AS ratio, round(max(scale) / min(scale), 6) AS spread, round(median(scale), 6) AS middle,
   count(CASE WHEN off > 0.12e0 THEN 1 END) > 0 AND NOT (count(CASE WHEN off <= 0.12e0 THEN 1 END) >= 6 AND avg(CASE WHEN off <= 0.12e0 THEN 1e0 ELSE 0e0 END) >= 0.7e0) AND (count(CASE WHEN off > 0.12e0 THEN 1 END) > 2 OR avg(CASE WHEN off > 0.12e0 THEN 1e0 ELSE 0e0 END) > 0.25e0 OR max(scale) / min(scale) >= 1.5e0) AS blocking
 FROM (SELECT page, mm / (e - s) AS scale, abs(mm / (e - s) - 10) / 10 AS off FROM {dims}) d GROUP BY page""")
-both("dominant_scale_cluster", "J18 A6", """
+near("dominant_scale_cluster", "J18 A6", """
 SELECT page, anchor, n, total, n >= 4 AND n >= 0.55e0 * total AND spread <= 1.05e0 AS dominant FROM (SELECT a.page, a.id AS anchor, count(*) AS n, max(t.total) AS total, round(max(b.scale) / min(b.scale), 9) AS spread, row_number() OVER (PARTITION BY a.page ORDER BY count(*) DESC, a.id) AS rn
-  FROM (SELECT id, page, mm / (e - s) AS scale FROM {dims}) a JOIN (SELECT id, page, mm / (e - s) AS scale FROM {dims}) b ON a.page = b.page AND abs(b.scale - a.scale) / a.scale <= 0.03e0 JOIN (SELECT page, count(*) AS total FROM {dims} GROUP BY page) t ON t.page = a.page GROUP BY a.page, a.id) r WHERE rn = 1""")
+  FROM [a] JOIN [b] ON [a=b] AND abs(b.scale - a.scale) / a.scale <= 0.03e0 JOIN (SELECT page, count(*) AS total FROM {dims} GROUP BY page) t ON t.page = a.page GROUP BY a.page, a.id) r WHERE rn = 1""",
+  a=side("(SELECT id, page, mm / (e - s) AS scale FROM {dims})", 0.06, x="ln(scale)"), b=side("(SELECT id, page, mm / (e - s) AS scale FROM {dims})", 0.06, x=("ln(scale) - 0.031", "ln(scale) + 0.031")))
 both("dimension_confidence", "STR6 W10", """
 SELECT id, round(least(0.92e0, 0.34e0 + CASE WHEN d.coord > 0 THEN 0.18e0 ELSE 0e0 END + CASE WHEN d.mm >= 1000 THEN 0.10e0 ELSE 0e0 END + CASE WHEN w.prim_id IS NULL THEN 0e0 ELSE 0.22e0 END), 9) AS confidence
 FROM {dims} d LEFT JOIN (SELECT page, coord, min(prim_id) AS prim_id FROM {walls} WHERE orient = 'H' GROUP BY page, coord) w ON w.page = d.page AND w.coord = d.coord""")

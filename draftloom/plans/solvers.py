@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import written
 from ..functions.geometry import length
-from ..operators.joins import PAIR_SQL, wall_pairs
-from ..operators.registry import both, query
+from ..operators.joins import ARC_PAIRS, ARC_SIDES, PAIR_SQL, wall_pairs
+from ..operators.registry import both, near_texts, query
 from . import reports
 from .structure import RELATIONS
 from .view import over
@@ -32,6 +32,20 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
     return pairs.limit(0) if taken is None else taken
 
 
+def greedy_set(pairs: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b, score, ...) that are taken in order of score, then a and b, when an end can be either a or b."""
+    left, taken = written(pairs, "pairs"), None
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("a", "b")).alias("end"), F.struct((-F.col("score")).alias("s"), "a", "b").alias("k"))
+        first = ends.groupBy("end").agg(F.min("k").alias("k"))
+        mutual = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("k.a", "k.b")
+        best = written(left.join(mutual, ["a", "b"]).select(left.columns), "best")
+        taken = best if taken is None else taken.unionByName(best)
+        used = best.select(F.explode(F.array("a", "b")).alias("used"))
+        left = written(left.join(used, left["a"] == used["used"], "left_anti").join(used, left["b"] == used["used"], "left_anti").select(left.columns), "pairs")
+    return pairs.limit(0) if taken is None else taken
+
+
 def sequential(pairs: str, a: str, b: str, group: str, kind: str) -> str:
     """Plain SQL of greedy matching, one pair a step within a group, for the oracles: taken(group, a, b, score)."""
     return f"""WITH RECURSIVE k AS (SELECT {group}, {a}, {b}, score, row_number() OVER (PARTITION BY {group} ORDER BY score DESC, {a}, {b}) AS rn FROM ({pairs}) m),
@@ -49,19 +63,17 @@ def one_set(text: str, a: str, b: str) -> str:
 @query("wall_pairs_greedy", "WL12 WL11", one_set(sequential(PAIR_SQL, "a_id", "b_id", "page, orient", "VARCHAR"), "a_id", "b_id") + " SELECT page, orient, a_id AS a, b_id AS b, score FROM taken")
 def wall_pairs_greedy(load):
     """Faces matched so that each stroke is in one pair; a stroke can be either end, so ends share names."""
-    pairs = wall_pairs(load("walls"))
-    # Odd and even coordinates as sides would lose pairs: the two ends of a pair are matched as one set.
-    both_ = pairs.select("page", "orient", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score")
-    left, taken = written(both_, "pairs"), None
-    while not left.isEmpty():
-        ends = left.select(F.explode(F.array("a", "b")).alias("end"), F.struct((-F.col("score")).alias("s"), "a", "b").alias("k"))
-        first = ends.groupBy("end").agg(F.min("k").alias("k"))
-        mutual = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("k.a", "k.b")
-        best = written(left.join(mutual, ["a", "b"]).select(left.columns), "best")
-        taken = best if taken is None else taken.unionByName(best)
-        used = best.select(F.explode(F.array("a", "b")).alias("used"))
-        left = written(left.join(used, left["a"] == used["used"], "left_anti").join(used, left["b"] == used["used"], "left_anti").select(left.columns), "pairs")
-    return both_.limit(0) if taken is None else taken
+    return greedy_set(wall_pairs(load("walls")).select("page", "orient", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score"))
+
+
+_ARCS, _ARCS_DEALT = near_texts(ARC_PAIRS, **ARC_SIDES)
+
+
+@query("curved_walls", "WL18", one_set(sequential(_ARCS, "a_id", "b_id", "page", "BIGINT"), "a_id", "b_id") + f" SELECT t.page, t.a_id AS inner_, t.b_id AS outer_, t.score, p.thickness FROM taken t JOIN ({_ARCS}) p ON p.a_id = t.a_id AND p.b_id = t.b_id")
+def curved_walls(load):
+    """Arcs about one centre as the two faces of a curved wall, best pairs first, each arc in one wall."""
+    found = over(load, _ARCS_DEALT).select("page", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score", "thickness")
+    return greedy_set(found).select("page", F.col("a").alias("inner_"), F.col("b").alias("outer_"), "score", "thickness")
 
 
 @query("greedy_assignment", "J23 B7 B2", sequential(f"SELECT * FROM ({reports.MATCH}) x WHERE score >= 0.5e0", "p_id", "t_id", "page", "BIGINT").replace("{same}", "") + " SELECT page, p_id, t_id, score FROM taken")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..operators.registry import both, query
+from ..operators.registry import both, near, query, side
 from ..operators.windows import POINTS, split_points
 from .view import over
 
@@ -52,24 +52,27 @@ def component_kind(load):
     return s.select("component", "page", "edges", "total", kind.alias("kind"))
 
 
-both("repair_candidates", "G9 G10", """
+_AHEAD = {"a": side("{walls}", 96, x="e"), "b": side("{walls}", 96, x=("s - 48", "s"))}
+near("repair_candidates", "G9 G10", """
 SELECT page, orient, coord, from_id, to_id, gap, CASE WHEN gap <= 8 THEN 'Minor' WHEN gap <= 24 THEN 'Moderate' ELSE 'Major' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY gap, to_id) AS rn FROM (
-  SELECT a.page, a.orient, a.coord, a.prim_id AS from_id, b.prim_id AS to_id, b.s - a.e AS gap FROM {walls} a JOIN {walls} b ON a.page = b.page AND a.orient = b.orient AND a.coord = b.coord AND b.s > a.e AND b.s - a.e <= 48) c) r WHERE rn = 1""")
-both("opening_repair_suppression", "G9 J20", """
-SELECT r.from_id, r.to_id FROM (SELECT a.page, a.orient, a.coord, a.prim_id AS from_id, b.prim_id AS to_id, a.e, b.s FROM {walls} a JOIN {walls} b ON a.page = b.page AND a.orient = b.orient AND a.coord = b.coord AND b.s > a.e AND b.s - a.e <= 48) r
-ANTI JOIN {openings} o ON o.page = r.page AND o.orient = r.orient AND abs(o.coord - r.coord) <= 6 AND o.s <= r.s AND o.e >= r.e""")
-both("clean_spans", "G12", """
-SELECT a.prim_id, a.page FROM {walls} a ANTI JOIN {walls} b ON b.page = a.page AND b.orient = a.orient AND abs(b.coord - a.coord) <= 2 AND b.prim_id <> a.prim_id AND b.s <= a.s AND b.e >= a.e AND (b.e - b.s > a.e - a.s OR b.prim_id < a.prim_id)""")
+  SELECT a.page, a.orient, a.coord, a.prim_id AS from_id, b.prim_id AS to_id, b.s - a.e AS gap FROM [a] JOIN [b] ON [a=b] AND a.orient = b.orient AND a.coord = b.coord AND b.s > a.e AND b.s - a.e <= 48) c) r WHERE rn = 1""", **_AHEAD)
+near("opening_repair_suppression", "G9 J20", """
+SELECT r.from_id, r.to_id FROM (SELECT a.page, a.orient, a.coord, a.prim_id AS from_id, b.prim_id AS to_id, a.e, b.s FROM [a] JOIN [b] ON [a=b] AND a.orient = b.orient AND a.coord = b.coord AND b.s > a.e AND b.s - a.e <= 48) r
+ANTI JOIN {openings} o ON o.page = r.page AND o.orient = r.orient AND abs(o.coord - r.coord) <= 6 AND o.s <= r.s AND o.e >= r.e""", **_AHEAD)
+near("clean_spans", "G12", """
+SELECT a.prim_id, a.page FROM [a] ANTI JOIN [b] ON [b=a] AND b.orient = a.orient AND abs(b.coord - a.coord) <= 2 AND b.prim_id <> a.prim_id AND b.s <= a.s AND b.e >= a.e AND (b.e - b.s > a.e - a.s OR b.prim_id < a.prim_id)""", a=side("{walls}", 60, x="coord", y="s"), b=side("{walls}", 60, x=("coord - 2", "coord + 2"), y=("s", "e")))
 both("wall_footprints", "G13", "SELECT prim_id, CASE WHEN orient = 'H' THEN s ELSE coord - 4 END AS x, CASE WHEN orient = 'H' THEN coord - 4 ELSE s END AS y, CASE WHEN orient = 'H' THEN e - s ELSE 8e0 END AS w, CASE WHEN orient = 'H' THEN 8e0 ELSE e - s END AS h FROM {walls}")
 
 _AT = "SELECT o.*, CASE WHEN o.orient = 'H' THEN (o.s + o.e) / 2 ELSE o.coord END AS mx, CASE WHEN o.orient = 'H' THEN o.coord ELSE (o.s + o.e) / 2 END AS my FROM {openings} o"
-both("opening_classify", "O2 O3", f"""
+near("opening_classify", "O2 O3", """
 SELECT o.id, o.page, o.width, count(a.id) AS arcs, CASE WHEN count(a.id) >= 2 THEN 'DoubleSwing' WHEN count(a.id) = 1 THEN 'Hinged' WHEN o.width >= 48 THEN 'Sliding' WHEN o.width >= 32 THEN 'Window' ELSE 'Opening' END AS kind,
   CASE WHEN count(a.id) >= 2 THEN 0.83e0 WHEN count(a.id) = 1 THEN 0.8e0 WHEN o.width >= 32 THEN 0.68e0 ELSE 0.5e0 END AS confidence
-FROM ({_AT}) o LEFT JOIN {{arcs}} a ON a.page = o.page AND abs(a.cx - o.mx) <= o.width / 2 + 6 AND abs(a.cy - o.my) <= o.width / 2 + 6 AND a.r BETWEEN 0.6e0 * o.width AND 1.6e0 * o.width GROUP BY o.id, o.page, o.width""")
+FROM [o] LEFT JOIN [a] ON [a=o] AND abs(a.cx - o.mx) <= o.width / 2 + 6 AND abs(a.cy - o.my) <= o.width / 2 + 6 AND a.r BETWEEN 0.6e0 * o.width AND 1.6e0 * o.width GROUP BY o.id, o.page, o.width""",
+  o=side(f"({_AT})", 40, x=("mx - width / 2 - 6", "mx + width / 2 + 6"), y=("my - width / 2 - 6", "my + width / 2 + 6")), a=side("{arcs}", 40, x="cx", y="cy"))
 both("opening_placement", "O4 GEO18", """
 SELECT o.id, w.prim_id AS host, o.s - w.s AS offset_start, o.e - w.s AS offset_end, (o.s + o.e) / 2 - w.s AS offset_middle, o.width, CASE WHEN o.orient = 'H' THEN o.s ELSE o.coord - 2 END AS fx, CASE WHEN o.orient = 'H' THEN o.coord - 2 ELSE o.s END AS fy
 FROM {openings} o JOIN (SELECT page, orient, coord, min(s) AS s, max(e) AS e, min(prim_id) AS prim_id FROM {walls} GROUP BY page, orient, coord) w ON w.page = o.page AND w.orient = o.orient AND w.coord = o.coord""")
-both("opening_room_links", "O5", f"""
+near("opening_room_links", "O5", """
 SELECT o.id AS opening, r.id AS room, CASE WHEN o.orient = 'H' THEN CASE WHEN r.y + r.h / 2 > o.my THEN 1 ELSE -1 END ELSE CASE WHEN r.x + r.w / 2 > o.mx THEN 1 ELSE -1 END END AS side
-FROM ({_AT}) o JOIN {{rooms}} r ON r.page = o.page AND o.mx BETWEEN r.x - 6 AND r.x + r.w + 6 AND o.my BETWEEN r.y - 6 AND r.y + r.h + 6""")
+FROM [o] JOIN [r] ON [r=o] AND o.mx BETWEEN r.x - 6 AND r.x + r.w + 6 AND o.my BETWEEN r.y - 6 AND r.y + r.h + 6""",
+  o=side(f"({_AT})", 60, x="mx", y="my"), r=side("{rooms}", 60, x=("x - 6", "x + w + 6"), y=("y - 6", "y + h + 6")))

@@ -21,7 +21,7 @@ WALL = "prim_id string, page long, orient string, coord double, s double, e doub
 SEG = "prim_id string, page long, layer string, x1 double, y1 double, x2 double, y2 double"
 
 
-@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
+@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "curved_walls", "room_adjacency", "compass_direction", "room_closures", "shell_gaps", "structural_relations", "structural_signals", "hatch_crossings", "rectangular_rooms", "opening_classify", "routing_barriers", "dominant_scale_cluster", "point_in_polygon", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
 def test_operators_equal_their_plain_sql(spark, name):
     same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name], SMALL)
 
@@ -63,6 +63,39 @@ def test_rooms_are_what_walls_close_off(spark):
     assert rooms(RECTANGLE[:3]) == []  # open to the outside
 
 
+ROOM = "id string, page long, x double, y double, w double, h double, label string, confidence double"
+
+
+def test_rooms_side_by_side(spark):
+    rooms = spark.createDataFrame([("a", 1, 0.0, 0.0, 100.0, 80.0, None, 0.9), ("b", 1, 100.0, 0.0, 100.0, 80.0, None, 0.9), ("c", 1, 300.0, 0.0, 50.0, 50.0, None, 0.9), ("d", 2, 0.0, 0.0, 100.0, 80.0, None, 0.9)], ROOM)
+    # A wall in two parts with an opening of 20 between.
+    walls = spark.createDataFrame([("w1", 1, "V", 100.0, 0.0, 30.0), ("w2", 1, "V", 100.0, 50.0, 80.0), ("far", 1, "V", 140.0, 0.0, 80.0)], WALL)
+    got = catalog.apply("room_adjacency", rooms=rooms, walls=walls).collect()
+    assert [(r["a"], r["b"], r["shared"], r["direction"], r["confidence"]) for r in got] == [("a", "b", 80.0, "East", round(0.48 + 0.16 + 0.18 + 0.12, 9))]
+    assert [tuple(r) for r in catalog.apply("compass_direction", rooms=rooms).collect()] == [("a", "b", "East", "West")]
+    closed = {r["id"]: r["closed"] for r in catalog.apply("room_closures", rooms=rooms, walls=walls).collect()}
+    assert closed == {"a": round(60 / 360, 9), "b": round(60 / 360, 9), "c": 0.0, "d": 0.0}  # no stroke closes nothing
+    gaps = catalog.apply("shell_gaps", rooms=rooms, walls=spark.createDataFrame([("t", 1, "H", 3.0, 20.0, 60.0)], WALL)).collect()
+    assert {(r["id"], r["side"]): r["covered"] for r in gaps if r["covered"]} == {("a", "top"): 40.0}
+
+
+def test_arcs_are_in_one_curved_wall_each(spark):
+    arcs = spark.createDataFrame([(i, 1, 0.0, 0.0, r, 0.0, 1.5) for i, r in enumerate((50.0, 54.0, 60.0))] + [(9, 1, 30.0, 0.0, 54.0, 0.0, 1.5)], "id long, page long, cx double, cy double, r double, start_at double, sweep double")
+    assert catalog.apply("arc_pairs", arcs=arcs).count() == 3
+    assert [(r["inner_"], r["outer_"], r["thickness"]) for r in catalog.apply("curved_walls", arcs=arcs).collect()] == [(0, 1, 4.0)]
+
+
+def test_near_joins_meet_each_pair_once(spark):
+    """Boxes far wider than a cell, places on cell borders and below zero."""
+    rng = random.Random(4)
+    rects = [(i, 1, rng.randrange(-50, 50) * 12.0, rng.randrange(-50, 50) * 12.0, rng.randrange(1, 200) * 1.0, rng.randrange(1, 90) * 1.0, "k") for i in range(60)]
+    texts = [(i, 1, rng.randrange(-50, 50) * 12.0, rng.randrange(-50, 50) * 12.0, "t", 1) for i in range(80)]
+    inside = lambda t, r: r[2] - 6 <= t[2] <= r[2] + r[4] + 6 and r[3] - 6 <= t[3] <= r[3] + r[5] + 6
+    want = {t[0]: min((r[4] * r[5], r[0]) for r in rects if inside(t, r))[1] for t in texts if any(inside(t, r) for r in rects)}
+    got = catalog.apply("containment_join", texts=spark.createDataFrame(texts, "id long, page long, x double, y double, text string, size int"), rects=spark.createDataFrame(rects, "id long, page long, x double, y double, w double, h double, kind string")).collect()
+    assert want and {r["text_id"]: r["rect_id"] for r in got} == want and len(got) == len(want)
+
+
 STROKE = "id long, page long, x1 double, y1 double, x2 double, y2 double, importance string, wall_type string, confidence double"
 
 
