@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import written
 from ..functions.geometry import length
 from ..operators.joins import ARC_PAIRS, ARC_SIDES, PAIR_SQL, wall_pairs
-from ..operators.registry import both, near_texts, query
+from ..operators.registry import both, near_texts, query, side
 from . import reports
 from .structure import RELATIONS
 from .view import over
@@ -155,19 +155,63 @@ def wall_runs_exact(load):
     return load("walls").groupBy("page", "orient").applyInPandas(merge, "page bigint, orient string, s double, e double, axis double, parts int")
 
 
-def local_search(ids: list, unary: dict, relations: list[tuple], passes: int = 8) -> set:
-    """Selection that no single addition or removal betters: unary sums, relations of selected pairs, hard conflicts 1.5."""
-    near: dict = {i: [] for i in ids}
-    for a, b, w, hard in relations:
-        if a in near and b in near:
-            near[a].append((b, -1.5 if hard else w))
-            near[b].append((a, -1.5 if hard else w))
-    chosen = {i for i in ids if unary[i] >= 0.08}
+#: A change must better the objective by more than this.
+LEAST_GAIN = 1e-4
+
+
+class Objective:
+    """What a selection of strokes is worth: their scores, relations of selected pairs (hard conflicts -1.5), and rooms by how far they close.
+
+    loops: (weight, [(length, strokes that can stand for the edge), ...]) for each room.
+    """
+
+    def __init__(self, unary: dict, relations: list[tuple], loops: list[tuple] = ()):
+        self.unary, self.loops, self.near, self.hard, self.loops_of = unary, loops, {i: [] for i in unary}, {i: set() for i in unary}, {i: [] for i in unary}
+        for a, b, w, hard in relations:
+            if a in unary and b in unary:
+                for i, j in ((a, b), (b, a)):
+                    self.near[i].append((j, -1.5 if hard else w))
+                    if hard:
+                        self.hard[i].add(j)
+        for k, (_, edges) in enumerate(loops):
+            for i in {i for _, able in edges for i in able if i in unary}:
+                self.loops_of[i].append(k)
+
+    def closed(self, k: int, chosen, but=None, with_=None) -> float:
+        """The share of a room's boundary that selected strokes stand for; but: one that doesn't count, with_: one that does."""
+        edges = self.loops[k][1]
+        return sum(size for size, able in edges if any((i in chosen and i != but) or i == with_ for i in able)) / sum(size for size, _ in edges)
+
+    def room(self, k: int, share: float) -> float:
+        return self.loops[k][0] * (0.55 * share * share + (0.85 if share >= 0.9 else 0.0))
+
+    def gain(self, i, chosen: set) -> float:
+        """What i adds to the objective of chosen without it."""
+        rooms = sum(self.room(k, self.closed(k, chosen, with_=i)) - self.room(k, self.closed(k, chosen, but=i)) for k in self.loops_of[i])
+        return self.unary[i] + sum(w for j, w in self.near[i] if j in chosen and j != i) + rooms
+
+    def added(self, new: list, chosen: set) -> float:
+        """What strokes outside chosen add together."""
+        total = 0.0
+        for i in new:
+            total += self.gain(i, chosen)
+            chosen.add(i)
+        chosen.difference_update(new)
+        return total
+
+    def free(self, i, chosen) -> bool:
+        return self.hard[i].isdisjoint(chosen)
+
+
+def local_search(objective: Objective, passes: int = 8) -> set:
+    """Selection that no single addition or removal betters."""
+    order = sorted(objective.unary, key=lambda k: (-objective.unary[k], k))
+    chosen = {i for i in order if objective.unary[i] >= 0.08}
     for _ in range(passes):
         moved = False
-        for i in sorted(ids, key=lambda k: (-unary[k], k)):
-            gain = unary[i] + sum(w for j, w in near[i] if j in chosen and j != i)
-            if (gain > 1e-4) != (i in chosen) and abs(gain) > 1e-4:
+        for i in order:
+            gain = objective.gain(i, chosen)
+            if (gain > LEAST_GAIN) != (i in chosen) and abs(gain) > LEAST_GAIN:
                 chosen ^= {i}
                 moved = True
         if not moved:
@@ -175,21 +219,116 @@ def local_search(ids: list, unary: dict, relations: list[tuple], passes: int = 8
     return chosen
 
 
-@query("structural_solution", "ST11 ST13")
-def structural_solution(load):
-    """Selected strokes of each page by local search over their scores and relations."""
-    signals = load("walls").select("prim_id", "page", F.round(F.least(F.lit(0.3), (F.col("e") - F.col("s")) / 400) - 0.1, 6).alias("score"))
+def closing(objective: Objective, able: set, chosen: set, most: int) -> list[tuple]:
+    """For each room not yet closed the strokes that would close it together, one for each open edge: (priority, kind, strokes)."""
+    found = []
+    for k, (weight, edges) in enumerate(objective.loops):
+        open_ = sorted(((len(of), -size, n) for n, (size, of) in enumerate(edges) if not any(i in chosen for i in of)))
+        if weight <= 0 or objective.closed(k, chosen) >= 0.9 or not 2 <= len(open_) <= most:
+            continue
+        with_ = set(chosen)
+        for *_, n in open_:
+            fits = [i for i in edges[n][1] if i in able and objective.free(i, with_)]
+            if not fits:
+                break
+            with_.add(min(fits, key=lambda i: (-objective.gain(i, with_), i)))
+        else:
+            if objective.closed(k, with_) >= 0.9:
+                found.append((10 * weight - sum(size for _, size, _ in open_), 0, tuple(sorted(with_ - chosen))))
+    return found
+
+
+def continuing(able: set, objective: Objective, lengths: dict, onward: dict, chosen: set, most: int) -> list[tuple]:
+    """Strokes that go on from a selected one, with those that go on from them, nearest first: (priority, kind, strokes)."""
+    found = []
+    for seed in sorted(i for i in onward if i in able and i not in chosen and any(j in chosen for _, j in onward[i])):
+        new, queue = [], [seed]
+        while queue and len(new) < most:
+            i = queue.pop(0)
+            if i in new or i in chosen or i not in able or not objective.free(i, chosen) or not objective.free(i, new):
+                continue
+            new.append(i)
+            queue += [j for _, j in onward[i] if j not in chosen]
+        found.append((sum(lengths[i] for i in new), 1, tuple(sorted(new))))
+    return found
+
+
+def bundled(objective: Objective, chosen: set, able: set, lengths: dict, continuations: list[tuple], most: int = 8, passes: int = 6) -> set:
+    """chosen with bundles of 2 to most strokes that better the objective only together: those that close a room or carry on a run.
+
+    able: strokes that may be recovered; continuations: (a, b, weight). Greater priority first, then rooms, then names.
+    """
+    chosen, onward = set(chosen), {}
+    for a, b, w in continuations:
+        if w > 0 and a in objective.unary and b in objective.unary:
+            onward.setdefault(a, []).append((-w, b))
+            onward.setdefault(b, []).append((-w, a))
+    onward = {i: sorted(of) for i, of in onward.items()}
+    for _ in range(passes):
+        moved = False
+        for _, _, strokes in sorted({(-p, kind, s) for p, kind, s in closing(objective, able, chosen, most) + continuing(able, objective, lengths, onward, chosen, most)}):
+            new = [i for i in strokes if i not in chosen]
+            apart = all(objective.free(i, chosen) and objective.free(i, new) for i in new)
+            if 2 <= len(new) <= most and apart and objective.added(new, chosen) > LEAST_GAIN:
+                chosen.update(new)
+                moved = True
+        if not moved:
+            break
+    return chosen
+
+
+#: Sides of rooms and the strokes that can stand for them, four at most: the nearest, then the longest overlap.
+LOOPS = near_texts("""SELECT page, room, line, len, confidence, prim_id FROM (
+  SELECT r.page, r.id AS room, r.line, r.high - r.low AS len, r.confidence, w.prim_id, row_number() OVER (PARTITION BY r.page, r.id, r.line ORDER BY abs(w.coord - r.at), greatest(w.s, r.low) - least(w.e, r.high), w.prim_id) AS rn
+  FROM [r] LEFT JOIN [w] ON [r=w] AND w.orient = r.orient AND abs(w.coord - r.at) <= 6 AND least(w.e, r.high) - greatest(w.s, r.low) >= 0.5e0 * (r.high - r.low)) k WHERE rn <= 4""",
+  r=side("(" + " UNION ALL ".join(f"SELECT id, page, confidence, '{line}' AS line, '{o}' AS orient, {at} AS at, {low} AS low, {high} AS high FROM {{rooms}}" for line, o, at, low, high in (("top", "H", "y", "x", "x + w"), ("bottom", "H", "y + h", "x", "x + w"), ("left", "V", "x", "y", "y + h"), ("right", "V", "x + w", "y", "y + h"))) + ")", 12, x="at"),
+  w=side("{walls}", 12, x=("coord - 6", "coord + 6")))
+
+
+def solved(load, with_bundles: bool) -> DataFrame:
+    """(page, prim_id, bundled) of the selected strokes of each page."""
+    signals = load("walls").select("prim_id", "page", F.round(F.least(F.lit(0.3), (F.col("e") - F.col("s")) / 400) - 0.1, 6).alias("score"), (F.col("e") - F.col("s")).alias("len"))
     place = signals.select(F.col("prim_id").alias("at"), F.col("page").alias("on"))
-    relations = over(load, RELATIONS).join(place, F.col("a_id") == F.col("at")).select("on", "a_id", "b_id", "weight", "hard")
+    relations = over(load, RELATIONS).join(place, F.col("a_id") == F.col("at")).select("on", F.col("kind").alias("k"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), "weight", "hard", F.lit(0.0).alias("len"))
+    rooms = over(load, LOOPS[1]).select(F.col("page").alias("on"), F.lit("edge").alias("k"), F.concat_ws("/", "room", "line").alias("a"), F.col("prim_id").alias("b"), F.col("confidence").alias("weight"), F.lit(False).alias("hard"), "len")
 
     def solve(key, left, right):
         import pandas as pd
 
-        unary = dict(zip(left["prim_id"], left["score"], strict=True))
-        chosen = local_search(sorted(unary), unary, list(right[["a_id", "b_id", "weight", "hard"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"page": [key[0]] * len(chosen), "prim_id": sorted(chosen)})
+        unary, lengths = dict(zip(left["prim_id"], left["score"], strict=True)), dict(zip(left["prim_id"], left["len"], strict=True))
+        edges, rest = right[right["k"] == "edge"], right[right["k"] != "edge"]
+        loops: dict = {}
+        for a, b, weight, size in edges[["a", "b", "weight", "len"]].itertuples(index=False, name=None):
+            room, line = a.rsplit("/", 1)
+            of = loops.setdefault(room, (weight, {}))[1].setdefault(line, (size, []))[1]
+            if isinstance(b, str):
+                of.append(b)
+        rooms = [(w, [(size, sorted(of)) for _, (size, of) in sorted(lines.items())]) for _, (w, lines) in sorted(loops.items())]
+        objective = Objective(unary, list(rest[["a", "b", "weight", "hard"]].itertuples(index=False, name=None)), rooms)
+        chosen = grown = local_search(objective)
+        if with_bundles:
+            continuations = sorted(rest[rest["k"] == "continuation"][["a", "b", "weight"]].itertuples(index=False, name=None))
+            grown = bundled(objective, chosen, {i for i, s in unary.items() if s >= BUNDLE_SCORE}, lengths, continuations)
+        names = sorted(grown)
+        return pd.DataFrame({"page": pd.Series([key[0]] * len(names), dtype="int64"), "prim_id": pd.Series(names, dtype=object), "bundled": pd.Series([i not in chosen for i in names], dtype=bool)})
+
+    return signals.groupBy("page").cogroup(relations.unionByName(rooms).groupBy("on")).applyInPandas(solve, "page bigint, prim_id string, bundled boolean")
+
+
+#: The least score of a stroke that a bundle may bring back.
+BUNDLE_SCORE = -0.04
+
+
+@query("structural_solution", "ST11 ST13")
+def structural_solution(load):
+    """Selected strokes of each page by local search over their scores, relations and rooms."""
+    return solved(load, False).select("page", "prim_id")
+
 
-    return signals.groupBy("page").cogroup(relations.groupBy("on")).applyInPandas(solve, "page bigint, prim_id string")
+@query("structural_bundles", "ST12 ST10")
+def structural_bundles(load):
+    """The same selection with bundles that close rooms or carry on runs; bundled: brought by one."""
+    return solved(load, True)
 
 
 _STEP = "SELECT page, x0, y0, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM (SELECT p.*, CASE WHEN sqrt((p.x - m.mx) * (p.x - m.mx) + (p.y - m.my) * (p.y - m.my)) <= 1 THEN 1e0 ELSE 1 / sqrt((p.x - m.mx) * (p.x - m.mx) + (p.y - m.my) * (p.y - m.my)) END AS w FROM p JOIN {prev} m ON p.page = m.page AND p.x0 = m.x0 AND p.y0 = m.y0) w GROUP BY page, x0, y0"

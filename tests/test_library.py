@@ -211,8 +211,35 @@ def test_local_search_ends_where_no_change_helps():
         unary = {i: rng.uniform(-1, 1) for i in ids}
         relations = [(a, b, rng.uniform(-0.5, 0.5), rng.random() < 0.1) for a in ids for b in ids if a < b and rng.random() < 0.4]
         value = lambda c: sum(unary[i] for i in c) + sum(-1.5 if h else w for a, b, w, h in relations if a in c and b in c)  # noqa: B023, E731
-        chosen = solvers.local_search(ids, unary, relations, passes=100)
-        assert all(value(chosen ^ {i}) <= value(chosen) + 1e-3 for i in ids)
+        loops = [(rng.random(), [(rng.randrange(1, 9), rng.sample(ids, 2)) for _ in range(4)]) for _ in range(2)]
+        objective = solvers.Objective(unary, relations, loops)
+
+        def worth(c):
+            share = [sum(n for n, of in edges if c & set(of)) / sum(n for n, _ in edges) for _, edges in loops]  # noqa: B023
+            return value(c) + sum(w * (0.55 * s * s + 0.85 * (s >= 0.9)) for (w, _), s in zip(loops, share, strict=True))  # noqa: B023
+
+        chosen = solvers.local_search(objective, passes=100)
+        assert all(worth(chosen ^ {i}) <= worth(chosen) + 1e-3 for i in ids)
+        grown = solvers.bundled(objective, chosen, set(ids), dict.fromkeys(ids, 1.0), [(a, b, w) for a, b, w, _ in relations])
+        assert grown >= chosen and worth(grown) >= worth(chosen) - 1e-9
+        assert math.isclose(objective.added(sorted(grown - chosen), chosen), worth(grown) - worth(chosen), abs_tol=1e-9)
+
+
+def test_bundles_close_rooms_and_carry_on_runs():
+    # Each of two missing sides costs .1 alone; together they close the room.
+    unary = {"a": 0.3, "b": 0.3, "c": -0.35, "d": -0.35, "x": -0.3}
+    loop = (1.0, [(10, ["a"]), (10, ["b"]), (10, ["c", "x"]), (10, ["d"])])
+    objective = solvers.Objective(unary, [("c", "x", 0.0, True)], [loop])
+    chosen = solvers.local_search(objective)
+    sizes = dict.fromkeys(unary, 10.0)
+    assert chosen == {"a", "b"} and solvers.bundled(objective, chosen, set(unary), sizes, []) == {"a", "b", "d", "x"}
+    assert solvers.bundled(objective, chosen, {"c", "x"}, sizes, []) == {"a", "b"}  # no stroke for one side
+    # A run whose next part costs more than its link, but not with the one after it.
+    unary = {"a": 0.3, "b": -0.25, "c": -0.05}
+    links = [("a", "b", 0.2, False), ("b", "c", 0.2, False)]
+    objective = solvers.Objective(unary, links)
+    chosen = solvers.local_search(objective)
+    assert chosen == {"a"} and solvers.bundled(objective, chosen, set(unary), sizes, [r[:3] for r in links]) == {"a", "b", "c"}
 
 
 def test_exact_runs_straddle_buckets():
@@ -254,6 +281,31 @@ def test_drawing_files(spark, tmp_path):
         readers.read(spark, "x.dwg")
 
 
+def drawn(entities: str, block: str = "", base: str = "10\n0\n20\n0") -> str:
+    blocks = f"0\nSECTION\n2\nBLOCKS\n0\nBLOCK\n2\nB\n{base}\n{block}\n0\nENDBLK\n0\nENDSEC\n" if block else ""
+    return f"{blocks}0\nSECTION\n2\nENTITIES\n{entities}\n0\nENDSEC\n0\nEOF\n"
+
+
+def test_inserted_blocks_turn_mirror_stretch_and_repeat():
+    arc = "0\nARC\n8\n0\n10\n1\n20\n0\n40\n2\n50\n0\n51\n90"
+    insert = lambda more: f"0\nINSERT\n8\nDOORS\n2\nB\n10\n10\n20\n20\n{more}"
+    kinds = lambda text, kind: [r for r in dxf.primitives(text) if r["kind"] == kind]
+    turned = kinds(drawn(insert("50\n90"), arc), "Arc")[0]
+    assert [round(turned[k], 6) for k in ("x1", "y1", "radius", "start_angle", "sweep")] == [10, 21, 2, round(math.pi / 2, 6), round(math.pi / 2, 6)] and turned["layer"] == "DOORS"
+    mirrored = kinds(drawn(insert("41\n-1\n42\n1"), arc), "Arc")[0]
+    ends = lambda r: {tuple(round(c + r["radius"] * f(a), 6) for c, f in ((r["x1"], math.cos), (r["y1"], math.sin))) for a in (r["start_angle"], r["start_angle"] + r["sweep"])}
+    assert ends(mirrored) == {(7, 20), (9, 22)} and mirrored["sweep"] > 0
+    stretched = kinds(drawn(insert("41\n3\n42\n1"), arc), "Polyline")[0]
+    assert all(math.isclose(((p["x"] - 13) / 6) ** 2 + ((p["y"] - 20) / 2) ** 2, 1) for p in stretched["points"]) and not stretched["closed"]
+    line = "0\nLINE\n8\nA\n10\n5\n20\n5\n11\n6\n21\n5"
+    grid = kinds(drawn(insert("70\n3\n71\n2\n44\n10\n45\n100"), line, "10\n5\n20\n5"), "Line")
+    assert [(r["x1"], r["y1"]) for r in grid] == [(10, 20), (20, 20), (30, 20), (10, 120), (20, 120), (30, 120)] and grid[0]["layer"] == "A"
+    said = "".join(f"\n0\nATTRIB\n8\nT\n10\n1\n20\n2\n1\n{text}\n2\n{tag}\n70\n{hidden}" for text, tag, hidden in (("D-01", "NUMBER", 0), ("secret", "NOTE", 1), (" ", "EMPTY", 0)))
+    assert [(r["text"], r["tag"], r["block"], r["x1"]) for r in dxf.primitives(drawn(insert("66\n1") + said + "\n0\nSEQEND", line)) if r["kind"] == "Text"] == [("D-01", "NUMBER", "B", 1.0)]
+    low, high = dxf.primitives(drawn(line + "\n0\nARC\n8\nA\n10\n0\n20\n0\n40\n1\n50\n0\n51\n90"), flip=True)
+    assert (low["y1"], high["y1"], high["start_angle"]) == (0, 5, -math.pi / 2)
+
+
 def test_json_documents_and_reports(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"overrides": [{"pattern": "A-*", "category": "Wall"}, {"pattern": "D", "category": "Door", "sourceFormat": "dxf"}]}')
     rows = readers.read_json(spark, f"file://{tmp_path}/p.json", "layer-profile").collect()
