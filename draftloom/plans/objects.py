@@ -14,13 +14,17 @@ FROM (SELECT *, {SIGNATURE} AS signature FROM {{items}}) s GROUP BY page, signat
 #: Objects of one room (a raster of 100 by 80) and within reach of one another form an aggregate.
 _NEAR = """SELECT a.id AS a, b.id AS b FROM {items} a JOIN {items} b ON a.page = b.page AND a.id <> b.id AND floor(a.x / 100) = floor(b.x / 100) AND floor(a.y / 80) = floor(b.y / 80)
   AND a.x - 16 <= b.x + b.w AND b.x <= a.x + a.w + 16 AND a.y - 16 <= b.y + b.h AND b.y <= a.y + a.h + 16"""
-_INFLUENCE = """CASE WHEN count(CASE WHEN category = 'Vehicle' THEN 1 END) > 0 THEN 'RoomUseEvidenceOnly' WHEN count(CASE WHEN category IN ('Stair', 'Column') THEN 1 END) > 0 THEN 'StructuralBarrier'
-  WHEN count(CASE WHEN category IN ('Fixture', 'Equipment') THEN 1 END) > 0 THEN 'HardObstacle' ELSE 'SoftObstacle' END"""
+#: What a category means for routes; a category not listed: Unknown. Fixed values.
+INFLUENCE = {"Vehicle": "RoomUseEvidenceOnly", "Furniture": "SoftObstacle", **dict.fromkeys("Fixture PlumbingFixture ElectricalDevice Lighting HVACEquipment FireSafety Equipment".split(), "HardObstacle"), **dict.fromkeys("Stair Elevator Column Shaft Structural".split(), "StructuralBarrier")}
+#: An aggregate is of the category of most of its members (ties: by name) if those are two and half of all; a vehicle makes it one.
+_KIND = "CASE WHEN vehicles > 0 THEN 'Vehicle' WHEN most >= greatest(2, CAST(floor(n / 2) AS BIGINT)) THEN first_ ELSE 'GenericSymbol' END"
+_ROUTES = f"CASE {_KIND} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in INFLUENCE.items())} ELSE 'Unknown' END"
 
 
 @query("object_aggregates", "OB6 OB2 A4", f"""
 WITH RECURSIVE e AS ({_NEAR}), r(a, b) AS (SELECT id, id FROM {{items}} UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS aggregate_id FROM r GROUP BY a)
-SELECT aggregate_id, count(*) AS n, count(DISTINCT category) AS categories, min(x) AS x, min(y) AS y, {_INFLUENCE} AS influence FROM c JOIN {{items}} USING (id) GROUP BY aggregate_id HAVING count(*) >= 2""")
+SELECT aggregate_id, n, categories, x, y, {_KIND} AS category, {_ROUTES} AS influence FROM (SELECT aggregate_id, CAST(sum(k) AS BIGINT) AS n, count(*) AS categories, min(x) AS x, min(y) AS y, CAST(sum(CASE WHEN category = 'Vehicle' THEN k ELSE 0 END) AS BIGINT) AS vehicles, max(k) AS most, (array_agg(category ORDER BY k DESC, category))[1] AS first_
+  FROM (SELECT aggregate_id, category, count(*) AS k, min(x) AS x, min(y) AS y FROM c JOIN {{items}} USING (id) GROUP BY aggregate_id, category) p GROUP BY aggregate_id HAVING sum(k) >= 2) q""")
 def object_aggregates(load):
     """Objects close together in one room, what they consist of and how they bear on routing."""
     from ..operators.graph import connected_components
@@ -31,10 +35,11 @@ def object_aggregates(load):
     (ax, ay), (bx, by) = cell("a_"), cell("b_")
     pairs = grid_join(items, items, 64.0, 16.0).where((F.col("a_id") < F.col("b_id")) & (ax == bx) & (ay == by)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     found = connected_components(pairs)
-    has = lambda *names: F.count(F.when(F.col("category").isin(*names), 1)) > 0
-    influence = F.when(has("Vehicle"), "RoomUseEvidenceOnly").when(has("Stair", "Column"), "StructuralBarrier").when(has("Fixture", "Equipment"), "HardObstacle").otherwise("SoftObstacle")
-    rows = items.join(found, items["id"] == found["node"]).groupBy(F.col("component").alias("aggregate_id"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("categories"), F.min("x").alias("x"), F.min("y").alias("y"), influence.alias("influence")).where("n >= 2")
+    parts = items.join(found, items["id"] == found["node"]).groupBy(F.col("component").alias("aggregate_id"), "category").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x"), F.min("y").alias("y"))
+    best = F.min(F.struct((-F.col("k")).alias("k"), "category"))
+    rows = parts.groupBy("aggregate_id").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("categories"), F.min("x").alias("x"), F.min("y").alias("y"), F.sum(F.when(F.col("category") == "Vehicle", F.col("k")).otherwise(0)).alias("vehicles"), best.alias("b"))
+    rows = rows.where("n >= 2").withColumns({"most": -F.col("b.k"), "first_": F.col("b.category")})
+    return rows.select("aggregate_id", "n", "categories", "x", "y", F.expr(_KIND).alias("category"), F.expr(_ROUTES).alias("influence"))
 
 
 both("object_aggregate_composition", "A4 MP2", "SELECT page, category, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY page), 9) AS share FROM {items} GROUP BY page, category, label")

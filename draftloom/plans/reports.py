@@ -54,9 +54,10 @@ _SCORE = f"SELECT *, greatest(0e0, 1 - ({' + '.join(_PENALTIES.values())})) AS s
 _GRADED = f"""SELECT page, walls, openings, rooms, calibrated, round(score, 6) AS score, round(confidence, 6) AS confidence, CASE WHEN confidence < 0.35e0 THEN 'Poor' WHEN confidence < 0.65e0 THEN 'ReviewRequired' WHEN confidence < 0.85e0 THEN 'Usable' ELSE 'Strong' END AS grade
 FROM (SELECT *, round(0.65e0 * score + 0.35e0 * conf, 9) AS confidence FROM ({_SCORE}) s) c"""
 both("quality_score", "Q1 A22", _GRADED)
-both("import_readiness", "Q3 A22", f"""
+_IMPORT = f"""
 SELECT page, round(readiness, 6) AS readiness, CASE WHEN walls = 0 THEN 'Blocked' WHEN rooms = 0 OR openings = 0 OR NOT calibrated THEN 'ReviewRequired' WHEN readiness >= 0.85e0 THEN 'Strong' ELSE 'Usable' END AS grade
-FROM (SELECT *, (0.30e0 + 0.20e0 * CASE WHEN calibrated THEN 1 ELSE 0.5e0 END + 0.25e0 * confidence + 0.15e0 * CASE WHEN rooms > 0 THEN 1 ELSE 0 END + 0.10e0 * CASE WHEN openings > 0 THEN 1 ELSE 0.5e0 END) * CASE WHEN walls = 0 THEN 0.5e0 WHEN rooms = 0 THEN 0.65e0 ELSE 1e0 END AS readiness FROM ({_GRADED}) g) q""")
+FROM (SELECT *, (0.30e0 + 0.20e0 * CASE WHEN calibrated THEN 1 ELSE 0.5e0 END + 0.25e0 * confidence + 0.15e0 * CASE WHEN rooms > 0 THEN 1 ELSE 0 END + 0.10e0 * CASE WHEN openings > 0 THEN 1 ELSE 0.5e0 END) * CASE WHEN walls = 0 THEN 0.5e0 WHEN rooms = 0 THEN 0.65e0 ELSE 1e0 END AS readiness FROM ({_GRADED}) g) q"""
+both("import_readiness", "Q3 A22", _IMPORT)
 both("visual_snapshot", "SNK8 MP2", "SELECT page, count(*) AS n, round(sum(e - s) / 490000, 9) AS density, count(CASE WHEN layer = 'A-WALL' THEN 1 END) AS walls, count(CASE WHEN layer = 'A-DIMS' THEN 1 END) AS dimensions FROM {lines} GROUP BY page")
 
 # Benchmarks ------------------------------------------------------------------------------------
@@ -73,6 +74,29 @@ SELECT item, name, actual, op, expected, CASE op WHEN 'min' THEN actual >= expec
 both("scoreboard_grade", "B3 A13", """
 SELECT item, round(score, 9) AS score, CASE WHEN score >= 0.95e0 THEN 'Excellent' WHEN score >= 0.85e0 THEN 'Strong' WHEN score >= 0.70e0 THEN 'Usable' WHEN score >= 0.50e0 THEN 'Weak' ELSE 'Failing' END AS grade FROM (
   SELECT lower(item) AS item, (0.22e0 * least(1e0, max(walls) / 40e0) + 0.18e0 * least(1e0, max(rooms) / 5e0) + 0.18e0 * max(quality) + 0.10e0 * (1 - least(1e0, min(duration_ms) / 20000))) / 0.68e0 AS score FROM {runs} WHERE run = 'candidate' GROUP BY lower(item)) s""")
+#: How much each detector counts; another counts OTHER.
+DETECTORS = {
+    "regions": 0.08, "dimensions": 0.10, "grid_axes": 0.06, "walls": 0.22, "rooms": 0.18, "openings": 0.18, "object_aggregates": 0.08,
+    "routing_barriers": 0.04, "routing_passages": 0.03, "routing_obstacles": 0.03, "routing_room_use_hints": 0.03, "routing_suppressed_objects": 0.04,
+}
+OTHER = 0.04
+_WEIGHT = f"CASE detector {' '.join(f"WHEN '{k}' THEN {v}e0" for k, v in DETECTORS.items())} ELSE {OTHER}e0 END"
+_DETECTED = f"SELECT page, count(*) AS detectors, sum(f1 * weight) / sum(weight) AS score FROM (SELECT page, {_WEIGHT} AS weight, CASE WHEN matched + missed + extra = 0 THEN 1e0 ELSE 2e0 * matched / (2 * matched + missed + extra) END AS f1 FROM {{detections}}) f GROUP BY page"
+both("detector_scores", "B3 A13", f"SELECT page, detectors, round(score, 9) AS score FROM ({_DETECTED}) d")
+#: What an issue of a stage takes off, and the most that its kind can.
+ISSUES = {"error": (0.08, 0.20), "warning": (0.03, 0.08), "missing required": (0.03, 0.10), "missing optional": (0.01, 0.05), "empty required": (0.025, 0.16), "empty optional": (0.01, 0.06), "empty output": (0.008, 0.10)}
+_HEALTH = f"""SELECT page, greatest(0e0, 1 - (CASE WHEN ready THEN 0e0 ELSE 0.35e0 END + CASE WHEN declared THEN 0e0 ELSE 0.30e0 END + loss)) AS health FROM (
+  SELECT page, min(ready) AS ready, min(declared) AS declared, sum(CASE issue {' '.join(f"WHEN '{k}' THEN least({most}e0, {each}e0 * n)" for k, (each, most) in ISSUES.items())} ELSE 0e0 END) AS loss FROM (SELECT page, issue, sum(n) AS n, min(ready) AS ready, min(declared) AS declared FROM {{health}} GROUP BY page, issue) i GROUP BY page) h"""
+both("pipeline_health", "B3 PP3", f"SELECT page, round(health, 9) AS health FROM ({_HEALTH}) h")
+#: Whether the scale is known, what share of dimensions disagrees with it, and how far scales spread.
+_MEASURED = """SELECT page, (CASE WHEN agree >= 4 AND inner_spread <= 1.05e0 THEN 1e0 ELSE 0.62e0 END) * greatest(0.25e0, 1 - outliers) / least(2e0, greatest(1e0, spread)) AS measured
+  FROM (SELECT page, avg(CASE WHEN off > 0.12e0 THEN 1e0 ELSE 0e0 END) AS outliers, max(scale) / min(scale) AS spread, count(CASE WHEN off <= 0.12e0 THEN 1 END) AS agree, max(CASE WHEN off <= 0.12e0 THEN scale END) / min(CASE WHEN off <= 0.12e0 THEN scale END) AS inner_spread
+    FROM (SELECT page, mm / (e - s) AS scale, abs(mm / (e - s) - 10) / 10 AS off FROM {dims}) m GROUP BY page) d"""
+_READY = f"""SELECT q.page, q.quality, d.score AS detected, coalesce(m.measured, 0.465e0) AS measured, coalesce(h.health, 1e0) AS health, i.readiness FROM (SELECT page, (0.7e0 * confidence + 0.3e0 * CASE grade WHEN 'Strong' THEN 1e0 WHEN 'Usable' THEN 0.86e0 WHEN 'ReviewRequired' THEN 0.62e0 ELSE 0.35e0 END) * CASE WHEN grade = 'ReviewRequired' THEN 0.9e0 ELSE 1e0 END AS quality FROM ({_GRADED}) g) q
+  LEFT JOIN ({_DETECTED}) d ON d.page = q.page LEFT JOIN ({_MEASURED}) m ON m.page = q.page LEFT JOIN ({_HEALTH}) h ON h.page = q.page JOIN ({_IMPORT}) i ON i.page = q.page"""
+both("consumer_readiness", "B3", f"""
+SELECT page, round(quality, 10) AS quality, round(measured, 10) AS measured, round(health, 10) AS health, ready, CASE WHEN ready >= 0.95e0 THEN 'Excellent' WHEN ready >= 0.85e0 THEN 'Strong' WHEN ready >= 0.70e0 THEN 'Usable' WHEN ready >= 0.50e0 THEN 'Weak' ELSE 'Failing' END AS grade
+FROM (SELECT *, round(0.35e0 * quality + 0.22e0 * coalesce(detected, quality) + 0.14e0 * measured + 0.19e0 * readiness + 0.10e0 * health, 10) AS ready FROM ({_READY}) r) s""")
 both("failure_buckets", "B4", """
 SELECT bucket, count(*) AS n, min(item) AS example FROM (SELECT item, 'no rooms' AS bucket FROM {runs} WHERE rooms = 0 UNION ALL SELECT item, 'slow' AS bucket FROM {runs} WHERE duration_ms >= 2500 UNION ALL SELECT item, 'low quality' AS bucket FROM {runs} WHERE quality < 0.5e0) f GROUP BY bucket""")
 both("batch_signals", "B5 B6", """

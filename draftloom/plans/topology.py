@@ -69,7 +69,15 @@ SELECT o.id, o.page, o.width, count(a.id) AS arcs, CASE WHEN count(a.id) >= 2 TH
   CASE WHEN count(a.id) >= 2 THEN 0.83e0 WHEN count(a.id) = 1 THEN 0.8e0 WHEN o.width >= 32 THEN 0.68e0 ELSE 0.5e0 END AS confidence
 FROM [o] LEFT JOIN [a] ON [a=o] AND abs(a.cx - o.mx) <= o.width / 2 + 6 AND abs(a.cy - o.my) <= o.width / 2 + 6 AND a.r BETWEEN 0.6e0 * o.width AND 1.6e0 * o.width GROUP BY o.id, o.page, o.width""",
   o=side(f"({_AT})", 40, x=("mx - width / 2 - 6", "mx + width / 2 + 6"), y=("my - width / 2 - 6", "my + width / 2 + 6")), a=side("{arcs}", 40, x="cx", y="cy"))
-both("opening_placement", "O4 GEO18", """
+#: The arc whose centre is nearest to a jamb is the leaf's swing; its middle tells the side.
+near("opening_swing", "O4 GEO18", """
+SELECT id, arc, CASE WHEN to_start <= to_end THEN 'StartJamb' ELSE 'EndJamb' END AS hinge, CASE WHEN (orient = 'H' AND cy + r * sin(start_at + sweep / 2) >= coord) OR (orient = 'V' AND cx + r * cos(start_at + sweep / 2) >= coord) THEN 'PositiveCoordinateSide' ELSE 'NegativeCoordinateSide' END AS swing_side,
+  CASE WHEN sweep < 0 THEN 'Clockwise' ELSE 'CounterClockwise' END AS swing, CASE WHEN orient = 'V' THEN coord WHEN to_start <= to_end THEN s ELSE e END AS hinge_x, CASE WHEN orient = 'H' THEN coord WHEN to_start <= to_end THEN s ELSE e END AS hinge_y
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY least(to_start, to_end), arc) AS rn FROM (
+  SELECT o.id, o.orient, o.coord, o.s, o.e, a.id AS arc, a.cx, a.cy, a.r, a.start_at, a.sweep, abs(CASE WHEN o.orient = 'H' THEN a.cx ELSE a.cy END - o.s) AS to_start, abs(CASE WHEN o.orient = 'H' THEN a.cx ELSE a.cy END - o.e) AS to_end
+  FROM [o] JOIN [a] ON [a=o] AND abs(a.cx - o.mx) <= o.width / 2 + 6 AND abs(a.cy - o.my) <= o.width / 2 + 6 AND a.r BETWEEN 0.6e0 * o.width AND 1.6e0 * o.width) d) k WHERE rn = 1""",
+  o=side(f"({_AT})", 40, x=("mx - width / 2 - 6", "mx + width / 2 + 6"), y=("my - width / 2 - 6", "my + width / 2 + 6")), a=side("{arcs}", 40, x="cx", y="cy"))
+both("opening_placement", "O4", """
 SELECT o.id, w.prim_id AS host, o.s - w.s AS offset_start, o.e - w.s AS offset_end, (o.s + o.e) / 2 - w.s AS offset_middle, o.width, CASE WHEN o.orient = 'H' THEN o.s ELSE o.coord - 2 END AS fx, CASE WHEN o.orient = 'H' THEN o.coord - 2 ELSE o.s END AS fy
 FROM {openings} o JOIN (SELECT page, orient, coord, min(s) AS s, max(e) AS e, min(prim_id) AS prim_id FROM {walls} GROUP BY page, orient, coord) w ON w.page = o.page AND w.orient = o.orient AND w.coord = o.coord""")
 near("opening_room_links", "O5", """

@@ -56,6 +56,10 @@ VIEWS = {
         CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'normal' END AS importance, CASE WHEN event_id % 3 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type FROM {events}""",
     "predicted": """SELECT CAST(event_id AS BIGINT) AS id, user_id % 40 AS page, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + event_id % 3 + floor(((event_id + 2) % 5) / 4) * 3000 AS x1, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y1, CAST((event_id * 17) % 61 AS DOUBLE) * 10 + 36 + event_id % 30 + floor(((event_id + 2) % 5) / 4) * 3000 AS x2, CAST((event_id * 5) % 71 AS DOUBLE) * 10 + event_id % 4 AS y2,
         CASE WHEN event_id % 6 = 0 THEN 'exterior' ELSE 'interior' END AS wall_type, CAST(event_id % 20 AS DOUBLE) / 20 AS confidence FROM {events}""",
+    # What each detector matched, missed and found too much on a page, and what went wrong in the page's stages.
+    "detections": f"""SELECT page, detector, CAST(sum(m) AS BIGINT) AS matched, CAST(sum(x) AS BIGINT) AS missed, CAST(sum(z) AS BIGINT) AS extra FROM (SELECT user_id % 40 AS page, CASE event_id % 13 {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate('regions dimensions grid_axes walls rooms openings object_aggregates routing_barriers routing_passages routing_obstacles routing_room_use_hints routing_suppressed_objects'.split()))} ELSE 'titles' END AS detector,
+        (event_id * 7) % 11 AS m, event_id % 4 AS x, (event_id + user_id) % 3 AS z FROM {{events}}) d GROUP BY page, detector""",
+    "health": """SELECT user_id % 40 AS page, CASE event_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'missing required' WHEN 3 THEN 'missing optional' WHEN 4 THEN 'empty required' WHEN 5 THEN 'empty optional' ELSE 'empty output' END AS issue, (user_id % 5) * (event_id % 2) AS n, user_id % 6 <> 1 AS ready, user_id % 8 <> 3 AS declared FROM {events} WHERE event_type <> 'click'""",
     # Measured dimensions: a value in mm over a drawn length.
     "dims": """SELECT p_partkey AS id, CAST(floor(p_partkey / 60) AS BIGINT) AS page, CAST((p_partkey * 7) % 6 AS DOUBLE) * 20 AS s, CAST((p_partkey * 7) % 6 AS DOUBLE) * 20 + 20 * (1 + p_size % 6) AS e, CAST(p_partkey % 4 AS DOUBLE) * 30 AS coord,
         CAST(1 + p_size % 6 AS DOUBLE) * CASE WHEN floor(p_partkey / 60) % 7 = 3 AND p_partkey % 2 = 0 THEN 310 WHEN p_partkey % 9 = 0 THEN 260 WHEN p_partkey % 9 = 1 THEN 195 ELSE 200 END AS mm FROM {part}""",

@@ -21,7 +21,7 @@ WALL = "prim_id string, page long, orient string, coord double, s double, e doub
 SEG = "prim_id string, page long, layer string, x1 double, y1 double, x2 double, y2 double"
 
 
-@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "curved_walls", "room_adjacency", "compass_direction", "room_closures", "shell_gaps", "structural_relations", "structural_signals", "hatch_crossings", "rectangular_rooms", "opening_classify", "routing_barriers", "dominant_scale_cluster", "point_in_polygon", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
+@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "curved_walls", "opening_swing", "detector_scores", "pipeline_health", "consumer_readiness", "room_adjacency", "compass_direction", "room_closures", "shell_gaps", "structural_relations", "structural_signals", "hatch_crossings", "rectangular_rooms", "opening_classify", "routing_barriers", "dominant_scale_cluster", "point_in_polygon", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
 def test_operators_equal_their_plain_sql(spark, name):
     same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name], SMALL)
 
@@ -85,6 +85,33 @@ def test_arcs_are_in_one_curved_wall_each(spark):
     assert [(r["inner_"], r["outer_"], r["thickness"]) for r in catalog.apply("curved_walls", arcs=arcs).collect()] == [(0, 1, 4.0)]
 
 
+def test_leaves_hang_on_the_jamb_their_arc_is_about(spark):
+    walls = spark.createDataFrame([("a", 1, "H", 100.0, 0.0, 100.0), ("b", 1, "H", 100.0, 130.0, 230.0), ("c", 1, "V", 300.0, 0.0, 100.0), ("d", 1, "V", 300.0, 140.0, 200.0)], WALL)
+    arcs = spark.createDataFrame([(1, 1, 130.0, 100.0, 30.0, math.pi, math.pi / 2), (2, 1, 300.0, 101.0, 40.0, 0.0, -math.pi / 2), (3, 1, 700.0, 100.0, 30.0, 0.0, 1.5)], "id long, page long, cx double, cy double, r double, start_at double, sweep double")
+    got = {r["arc"]: (r["hinge"], r["swing_side"], r["swing"], r["hinge_x"], r["hinge_y"]) for r in catalog.apply("opening_swing", walls=walls, arcs=arcs).collect()}
+    assert got == {1: ("EndJamb", "NegativeCoordinateSide", "CounterClockwise", 130.0, 100.0), 2: ("StartJamb", "PositiveCoordinateSide", "Clockwise", 300.0, 100.0)}
+
+
+def test_aggregates_are_of_their_members_category(spark):
+    def one(*categories):
+        rows = [(i, 1, c, 10.0 * i, 0.0, 5.0, 5.0, 0.9, "x", "F") for i, c in enumerate(categories)]
+        r = catalog.apply("object_aggregates", items=spark.createDataFrame(rows, "id long, page long, category string, x double, y double, w double, h double, confidence double, label string, status string")).first()
+        return r["n"], r["category"], r["influence"]
+
+    assert one("Door", "Door", "Fixture") == (3, "Door", "Unknown")
+    assert one("Furniture", "Furniture", "Stair") == (3, "Furniture", "SoftObstacle")
+    assert one("Stair", "Stair", "Furniture", "Furniture") == (4, "Furniture", "SoftObstacle")  # a tie goes by name
+    assert one("Column", "Equipment") == (2, "GenericSymbol", "Unknown")
+    assert one("Column", "Column", "Vehicle") == (3, "Vehicle", "RoomUseEvidenceOnly")
+
+
+def test_scores_of_detectors_and_stages(spark):
+    detections = spark.createDataFrame([(1, "walls", 8, 2, 2), (1, "rooms", 0, 1, 0), (1, "titles", 0, 0, 0)], "page long, detector string, matched long, missed long, extra long")
+    assert catalog.apply("detector_scores", detections=detections).first()["score"] == round((0.22 * 0.8 + 0.04) / 0.44, 9)
+    health = spark.createDataFrame([(1, "error", 2, True, True), (1, "error", 4, True, True), (1, "warning", 1, True, True), (2, "error", 0, False, False), (3, "other", 9, True, True)], "page long, issue string, n long, ready boolean, declared boolean")
+    assert {r["page"]: r["health"] for r in catalog.apply("pipeline_health", health=health).collect()} == {1: round(1 - 0.2 - 0.03, 9), 2: round(1 - 0.65, 9), 3: 1.0}
+
+
 def test_near_joins_meet_each_pair_once(spark):
     """Boxes far wider than a cell, places on cell borders and below zero."""
     rng = random.Random(4)
