@@ -55,7 +55,7 @@ _GRADED = f"""SELECT page, walls, openings, rooms, calibrated, round(score, 6) A
 FROM (SELECT *, round(0.65e0 * score + 0.35e0 * conf, 9) AS confidence FROM ({_SCORE}) s) c"""
 both("quality_score", "Q1 A22", _GRADED)
 _IMPORT = f"""
-SELECT page, round(readiness, 6) AS readiness, CASE WHEN walls = 0 THEN 'Blocked' WHEN rooms = 0 OR openings = 0 OR NOT calibrated THEN 'ReviewRequired' WHEN readiness >= 0.85e0 THEN 'Strong' ELSE 'Usable' END AS grade
+SELECT page, round(readiness, 9) AS readiness, CASE WHEN walls = 0 THEN 'Blocked' WHEN rooms = 0 OR openings = 0 OR NOT calibrated THEN 'ReviewRequired' WHEN readiness >= 0.85e0 THEN 'Strong' ELSE 'Usable' END AS grade
 FROM (SELECT *, (0.30e0 + 0.20e0 * CASE WHEN calibrated THEN 1 ELSE 0.5e0 END + 0.25e0 * confidence + 0.15e0 * CASE WHEN rooms > 0 THEN 1 ELSE 0 END + 0.10e0 * CASE WHEN openings > 0 THEN 1 ELSE 0.5e0 END) * CASE WHEN walls = 0 THEN 0.5e0 WHEN rooms = 0 THEN 0.65e0 ELSE 1e0 END AS readiness FROM ({_GRADED}) g) q"""
 both("import_readiness", "Q3 A22", _IMPORT)
 both("visual_snapshot", "SNK8 MP2", "SELECT page, count(*) AS n, round(sum(e - s) / 490000, 9) AS density, count(CASE WHEN layer = 'A-WALL' THEN 1 END) AS walls, count(CASE WHEN layer = 'A-DIMS' THEN 1 END) AS dimensions FROM {lines} GROUP BY page")
