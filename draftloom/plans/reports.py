@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.geometry import dist
 from ..operators.registry import both, near, side
+from .contacts import known
 
 # Measurements ----------------------------------------------------------------------------------
 both("measurement_checks", "A5 M5", """
@@ -30,10 +31,11 @@ both("image_only_pages", "A12 J20", "SELECT DISTINCT r.page FROM {rects} r ANTI
 # Quality ---------------------------------------------------------------------------------------
 #: What is known of each page; calibrated: its measured scales agree within a twentieth once outliers are left out.
 _FACTS = """SELECT p.page, p.n AS strokes, coalesce(w.n, 0) AS walls, coalesce(o.n, 0) AS openings, coalesce(r.n, 0) AS rooms, coalesce(w.conf, 0e0) AS conf, coalesce(t.n, 0) AS texts, coalesce(d.outliers, 0e0) AS outliers, coalesce(d.spread, 1e0) AS spread, coalesce(d.agree, 0) >= 4 AND d.inner_spread <= 1.05e0 AS calibrated,
-    CASE WHEN d.page IS NULL THEN coalesce(i.n, 0) ELSE 0 END AS unassigned, coalesce(i.review, 0e0) AS review, coalesce(i.low, 0e0) AS low, coalesce(x.warnings, 0) AS warnings
+    CASE WHEN d.page IS NULL THEN coalesce(i.n, 0) ELSE 0 END AS unassigned, coalesce(i.review, 0e0) AS review, coalesce(i.low, 0e0) AS low, coalesce(x.warnings, 0) AS warnings, coalesce(k.met, 0) AS met, coalesce(h.errors, 0) AS errors
   FROM (SELECT page, count(*) AS n FROM {lines} GROUP BY page) p
   LEFT JOIN (SELECT page, count(*) AS n, avg(least(0.88e0, 0.45e0 + (e - s) / 192)) AS conf FROM {walls} GROUP BY page) w ON w.page = p.page LEFT JOIN (SELECT page, count(*) AS n FROM {openings} GROUP BY page) o ON o.page = p.page LEFT JOIN (SELECT page, count(*) AS n FROM {rooms} GROUP BY page) r ON r.page = p.page
   LEFT JOIN (SELECT page, count(*) AS n FROM {texts} GROUP BY page) t ON t.page = p.page LEFT JOIN (SELECT page, count(*) AS warnings FROM {rects} WHERE w > 19 AND h > 6 GROUP BY page) x ON x.page = p.page
+  LEFT JOIN (SELECT page, sum(contacts) AS met FROM (""" + known("TRUE") + """) c GROUP BY page) k ON k.page = p.page LEFT JOIN (SELECT page, sum(n) AS errors FROM {health} WHERE issue = 'error' GROUP BY page) h ON h.page = p.page
   LEFT JOIN (SELECT page, count(*) AS n, avg(CASE WHEN confidence < 0.5e0 THEN 1e0 ELSE 0e0 END) AS review, avg(CASE WHEN confidence < 0.35e0 THEN 1e0 ELSE 0e0 END) AS low FROM {items} GROUP BY page) i ON i.page = p.page
   LEFT JOIN (SELECT page, avg(CASE WHEN off > 0.12e0 THEN 1e0 ELSE 0e0 END) AS outliers, max(scale) / min(scale) AS spread, count(CASE WHEN off <= 0.12e0 THEN 1 END) AS agree, max(CASE WHEN off <= 0.12e0 THEN scale END) / min(CASE WHEN off <= 0.12e0 THEN scale END) AS inner_spread
     FROM (SELECT page, mm / (e - s) AS scale, abs(mm / (e - s) - 10) / 10 AS off FROM {dims}) m GROUP BY page) d ON d.page = p.page"""
@@ -41,6 +43,7 @@ _FACTS = """SELECT p.page, p.n AS strokes, coalesce(w.n, 0) AS walls, coalesce(o
 _PENALTIES = {
     "no plan region": "CASE WHEN texts = 0 AND walls = 0 THEN 0.08e0 ELSE 0e0 END",
     "no walls": "CASE WHEN walls = 0 THEN 0.18e0 ELSE 0e0 END",
+    "no topology": "CASE WHEN walls > 0 AND met = 0 THEN 0.1e0 ELSE 0e0 END",
     "no rooms": "CASE WHEN rooms = 0 AND walls >= 3 THEN 0.12e0 ELSE 0e0 END",
     "no calibration": "CASE WHEN calibrated THEN 0e0 ELSE 0.06e0 END",
     "outliers": "least(0.15e0, 0.2e0 * outliers)",
@@ -48,6 +51,8 @@ _PENALTIES = {
     "no scale group": "CASE WHEN unassigned > 0 THEN least(0.12e0, 0.04e0 + 0.006e0 * unassigned) ELSE 0e0 END",
     "objects to review": "least(0.08e0, 0.12e0 * review)",
     "low confidence": "least(0.06e0, 0.09e0 * low)",
+    "errors": "least(0.35e0, 0.08e0 * errors)",
+    "low detector confidence": "CASE WHEN walls > 0 AND conf < 0.55e0 THEN 0.1e0 ELSE 0e0 END",
     "warnings": "least(0.12e0, 0.015e0 * warnings)",
 }
 _SCORE = f"SELECT *, greatest(0e0, 1 - ({' + '.join(_PENALTIES.values())})) AS score FROM ({_FACTS}) f"

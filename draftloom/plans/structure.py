@@ -36,6 +36,7 @@ near("structural_dominance", "ST8", """
 SELECT candidate, by_ FROM (SELECT a.prim_id AS candidate, b.prim_id AS by_, row_number() OVER (PARTITION BY a.prim_id ORDER BY b.e - b.s DESC, b.prim_id) AS rn FROM [a] JOIN [b] ON [a=b] AND a.orient = b.orient AND abs(a.coord - b.coord) <= 2 AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s) d WHERE rn = 1""", a=_STARTS, b=side("{walls}", 60, x=("coord - 2", "coord + 2"), y=("s", "e")))
 AUTHORITY = "CASE WHEN faces >= 1 AND contacts >= 2 THEN 'Independent' WHEN faces >= 1 THEN 'Corroborated' WHEN contacts >= 1 THEN 'ContextSupported' ELSE 'ReviewOnly' END"
 _KNOWN = known("p.s <= w.s AND p.e >= w.e")
+_AUTHORITY = f"(SELECT prim_id, {AUTHORITY} AS authority FROM ({_KNOWN}) k)"
 both("placement_authority", "ST9 PL1", f"SELECT prim_id, {AUTHORITY} AS authority, round(CASE {AUTHORITY} WHEN 'Independent' THEN 1e0 WHEN 'Corroborated' THEN 0.7e0 WHEN 'ContextSupported' THEN 0.2e0 ELSE -2e0 END + least(0.5e0, len / 1000), 9) AS priority FROM ({_KNOWN}) k")
 both("placement_readiness", "PL1 PL3 ST16", f"""
 SELECT page, reason, count(*) AS n, sum(len) AS total FROM (SELECT page, len, CASE WHEN {AUTHORITY} = 'ReviewOnly' THEN 'no support' WHEN len < 36 THEN 'too short' WHEN contacts = 0 THEN 'not anchored' ELSE 'ready' END AS reason FROM ({_KNOWN}) k) r GROUP BY page, reason""")
@@ -47,11 +48,12 @@ SELECT w.page, count(*) AS relations, round(sum(CASE WHEN r.hard THEN -1.5e0 ELS
 _CLOSURE = "SELECT id, round(least(1e0, covered / perimeter), 9) AS closed, covered / perimeter >= 0.9e0 AS closure FROM ({}) c"
 #: A stroke near two sides of a narrow room counts for the first.
 _SIDES = "(" + " UNION ALL ".join(f"SELECT id, page, 2 * (w + h) AS perimeter, '{o}' AS orient, {at} AS at, {other} AS other, {low} AS low, {high} AS high, {second} AS second_ FROM {{rooms}}" for o, at, other, low, high, second in (("H", "y", "y + h", "x", "x + w", "FALSE"), ("H", "y + h", "y", "x", "x + w", "TRUE"), ("V", "x", "x + w", "y", "y + h", "FALSE"), ("V", "x + w", "x", "y", "y + h", "TRUE"))) + ")"
-near("room_closures", "ST17 A16", "[all]", all=(_CLOSURE.format("""
+_CLOSURES = (_CLOSURE.format("""
 SELECT r.id, 2 * (r.w + r.h) AS perimeter, sum(CASE WHEN w.s IS NULL THEN 0e0 ELSE greatest(0e0, least(w.e, CASE WHEN w.orient = 'H' THEN r.x + r.w ELSE r.y + r.h END) - greatest(w.s, CASE WHEN w.orient = 'H' THEN r.x ELSE r.y END)) END) AS covered
   FROM {rooms} r LEFT JOIN {walls} w ON w.page = r.page AND ((w.orient = 'H' AND (abs(w.coord - r.y) <= 3 OR abs(w.coord - (r.y + r.h)) <= 3)) OR (w.orient = 'V' AND (abs(w.coord - r.x) <= 3 OR abs(w.coord - (r.x + r.w)) <= 3))) GROUP BY r.id, r.w, r.h"""), _CLOSURE.format(near_texts("""
 SELECT r.id, r.perimeter, sum(CASE WHEN w.s IS NULL THEN 0e0 ELSE greatest(0e0, least(w.e, r.high) - greatest(w.s, r.low)) END) AS covered FROM [r] LEFT JOIN [w] ON [r=w] AND w.orient = r.orient AND abs(w.coord - r.at) <= 3 AND NOT (r.second_ AND abs(w.coord - r.other) <= 3) GROUP BY r.id, r.perimeter""",
-  r=side(_SIDES, 12, x="at"), w=side("{walls}", 12, x=("coord - 3", "coord + 3")))[1])))
+  r=side(_SIDES, 12, x="at"), w=side("{walls}", 12, x=("coord - 3", "coord + 3")))[1]))
+near("room_closures", "ST17 A16", "[all]", all=_CLOSURES)
 both("global_wall_metrics", "GW3 A15", """
 SELECT page, round(major, 9) AS major, round(long_, 9) AS long_, round(dup, 9) AS dup, round(0.34e0 * major + 0.14e0 * long_ + 0.16e0 * ends + 0.12e0 * conf - 0.22e0 * dup - 0.18e0 * noise, 9) AS objective FROM (
   SELECT page, sum(CASE WHEN len >= 48 THEN len ELSE 0e0 END) / sum(len) AS major, sum(CASE WHEN len >= 120 THEN len ELSE 0e0 END) / sum(len) AS long_, avg(CASE WHEN contacts >= 2 THEN 1e0 ELSE 0e0 END) AS ends, avg(least(0.88e0, 0.45e0 + len / 192)) AS conf,
@@ -65,6 +67,21 @@ _SOLVED = f"""SELECT c.page, p.profile, count(*) AS n, 0.34e0 * sum(CASE WHEN le
 #: The best objective wins; a profile whose noise is above 0.08 gives way to the best of those below, if there is one.
 both("hypothesis_select", "GW2 GW4", f"""
 SELECT page, profile, n, round(objective, 9) AS objective, noise > 0.08e0 AS noisy FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN noise > 0.08e0 THEN 1 ELSE 0 END, round(objective, 9) DESC, profile) AS rn FROM ({_SOLVED}) s) r WHERE rn = 1""")
+#: What is placed on a page, a row each: its box and whether it may be used without review.
+near("placement_export", "SNK3 PL1", """
+SELECT kind, page, id, x, y, w, h, ready FROM (
+  SELECT 'wall' AS kind, v.page, v.prim_id AS id, CASE WHEN orient = 'H' THEN s ELSE coord END AS x, CASE WHEN orient = 'H' THEN coord ELSE s END AS y, CASE WHEN orient = 'H' THEN e - s ELSE 0e0 END AS w, CASE WHEN orient = 'H' THEN 0e0 ELSE e - s END AS h, k.authority <> 'ReviewOnly' AS ready FROM {walls} v JOIN [authority] k ON k.prim_id = v.prim_id
+  UNION ALL SELECT 'opening' AS kind, page, id, CASE WHEN orient = 'H' THEN s ELSE coord END AS x, CASE WHEN orient = 'H' THEN coord ELSE s END AS y, CASE WHEN orient = 'H' THEN width ELSE 0e0 END AS w, CASE WHEN orient = 'H' THEN 0e0 ELSE width END AS h, width BETWEEN 8 AND 60 AS ready FROM {openings}
+  UNION ALL SELECT 'room' AS kind, page, id, x, y, w, h, confidence >= 0.65e0 AND label IS NOT NULL AS ready FROM {rooms}
+  UNION ALL SELECT 'object' AS kind, page, CAST(id AS VARCHAR(20)) AS id, x, y, w, h, confidence >= 0.65e0 AS ready FROM {items}) p""",
+  authority=(_AUTHORITY, _AUTHORITY))
+#: The canonical structure of each page and how far it can be relied on.
+near("structure_quality", "SNK4 PL3", """
+SELECT w.page, w.walls, w.total, round(w.supported / w.total, 9) AS supported, coalesce(r.rooms, 0) AS rooms, round(coalesce(r.closed, 0e0), 9) AS closed,
+  CASE WHEN w.supported / w.total >= 0.8e0 AND coalesce(r.closed, 0e0) >= 0.6e0 THEN 'Reliable' WHEN w.supported / w.total >= 0.5e0 THEN 'Partial' ELSE 'Review' END AS grade
+FROM (SELECT page, count(*) AS walls, sum(e - s) AS total, sum(CASE WHEN k.authority <> 'ReviewOnly' THEN e - s ELSE 0e0 END) AS supported FROM {walls} v JOIN [authority] k ON k.prim_id = v.prim_id GROUP BY page) w
+LEFT JOIN (SELECT m.page, count(*) AS rooms, avg(c.closed) AS closed FROM {rooms} m JOIN ([closures]) c ON c.id = m.id GROUP BY m.page) r ON r.page = w.page""",
+  authority=(_AUTHORITY, _AUTHORITY), closures=_CLOSURES)
 both("evidence_votes", "GW5 A8", """
 SELECT page, orient, bucket, round(sum(coord * (e - s)) / sum(e - s), 6) AS axis, min(s) AS s, max(e) AS e, count(*) AS votes FROM (SELECT *, CAST(bround(coord / 4, 0) AS BIGINT) AS bucket FROM {walls}) b GROUP BY page, orient, bucket""")
 near("inline_topology", "GW7 ST15", """

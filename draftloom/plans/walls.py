@@ -51,10 +51,10 @@ both("filled_bodies", "WL15 G13", """
 SELECT id, page, greatest(w, h) AS long_side, least(w, h) AS thickness, CASE WHEN w >= h THEN 'H' ELSE 'V' END AS orient, CASE WHEN w >= h THEN y + h / 2 ELSE x + w / 2 END AS axis FROM {rects} WHERE least(w, h) BETWEEN 2 AND 24 AND greatest(w, h) >= 3 * least(w, h)""")
 near("unsupported_bodies", "WL16 WE5", """
 SELECT w.prim_id, count(o.prim_id) AS contacts FROM [w] LEFT JOIN [o] ON [o=w] AND o.orient <> w.orient AND o.coord BETWEEN w.s - 2 AND w.e + 2 AND w.coord BETWEEN o.s - 2 AND o.e + 2 GROUP BY w.prim_id HAVING count(o.prim_id) < 2""", w=side("{walls}", 60, x=("s - 2", "e + 2"), y="coord"), o=side("{walls}", 60, x="coord", y=("s - 2", "e + 2")))
-both("wall_type_envelope", "WL17", """
+near("wall_type_envelope", "WL17", """
 SELECT w.prim_id, CASE WHEN w.coord <= b.low + 20 OR w.coord >= b.high - 20 THEN 'Exterior' WHEN outer_ = 0 THEN 'Exterior' WHEN w.e - w.s >= 48 THEN 'Interior' ELSE 'Unknown' END AS type
 FROM {walls} w JOIN (SELECT page, orient, min(coord) AS low, max(coord) AS high FROM {walls} GROUP BY page, orient) b ON b.page = w.page AND b.orient = w.orient
-JOIN (SELECT a.prim_id, count(o.prim_id) AS outer_ FROM {walls} a LEFT JOIN {walls} o ON o.page = a.page AND o.orient = a.orient AND o.coord > a.coord + 24 AND o.s <= (a.s + a.e) / 2 AND o.e >= (a.s + a.e) / 2 GROUP BY a.prim_id) x ON x.prim_id = w.prim_id""")
+JOIN (SELECT a.prim_id, count(o.prim_id) AS outer_ FROM [a] LEFT JOIN [o] ON [o=a] AND o.orient = a.orient AND o.coord > a.coord + 24 AND o.s <= (a.s + a.e) / 2 AND o.e >= (a.s + a.e) / 2 GROUP BY a.prim_id) x ON x.prim_id = w.prim_id""", a=side("{walls}", 60, along="(s + e) / 2"), o=side("{walls}", 60, along=("s", "e")))
 
 #: What is known of each stroke before it is judged; flags instead of sentences.
 _FLAGS = known("least(p.e, w.e) - greatest(p.s, w.s) >= 0.55e0 * least(p.e - p.s, w.e - w.s)")

@@ -56,6 +56,36 @@ def dxf_roundtrip(load):
     return dxf.parse(dxf.write_lines(load("segs"))).select("doc", "layer", "x1", "y1", "x2", "y2")
 
 
+#: Codes are dealt by hash, so that no task need number all strings.
+BUCKETS = 64
+
+
+def compact(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(dictionary of code and value, table with codes for the strings of columns); a null stays null."""
+    from pyspark.sql import Window
+
+    of = F.pmod(F.xxhash64("value"), F.lit(BUCKETS))
+    values = table.select(F.explode(F.array(*(F.col(c) for c in columns))).alias("value")).where("value is not null").distinct().withColumn("bucket", of)
+    book = values.select((F.row_number().over(Window.partitionBy("bucket").orderBy("value")) * BUCKETS + F.col("bucket")).alias("code"), "value")
+    coded = table
+    for c in columns:
+        coded = coded.join(book.select(F.col("code").alias("__code"), F.col("value").alias("__value")), F.col(c) == F.col("__value"), "left").withColumn(c, F.col("__code")).drop("__code", "__value")
+    return book, coded
+
+
+def expand(book: DataFrame, coded: DataFrame, columns: list[str]) -> DataFrame:
+    """What compact was given."""
+    for c in columns:
+        coded = coded.join(book.select(F.col("code").alias("__code"), F.col("value").alias("__value")), F.col(c) == F.col("__code"), "left").withColumn(c, F.col("__value")).drop("__code", "__value")
+    return coded
+
+
+@query("compact_roundtrip", "SNK2", "SELECT prim_id, orient, layer, s, e FROM {lines}")
+def compact_roundtrip(load):
+    """Strokes with codes for their strings, expanded again."""
+    return expand(*compact(load("lines").select("prim_id", "orient", "layer", "s", "e"), ["orient", "layer"]), ["orient", "layer"])
+
+
 def write_placement(tables: dict[str, DataFrame], path: str) -> None:
     """Tables of a placement or structure export, a Parquet folder each."""
     for name, table in tables.items():

@@ -21,7 +21,7 @@ WALL = "prim_id string, page long, orient string, coord double, s double, e doub
 SEG = "prim_id string, page long, layer string, x1 double, y1 double, x2 double, y2 double"
 
 
-@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "curved_walls", "opening_swing", "detector_scores", "pipeline_health", "consumer_readiness", "room_adjacency", "compass_direction", "room_closures", "shell_gaps", "structural_relations", "structural_signals", "hatch_crossings", "rectangular_rooms", "opening_classify", "routing_barriers", "dominant_scale_cluster", "point_in_polygon", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
+@pytest.mark.parametrize("name", ["openings_gap", "wall_pairs", "hv_junctions", "wall_runs", "t_junctions", "endpoint_snap", "object_nearby_text", "room_clusters", "wall_components", "object_aggregates", "compact_linework", "canonical_runs", "curved_walls", "placement_export", "structure_quality", "compact_roundtrip", "wall_type_envelope", "opening_swing", "detector_scores", "pipeline_health", "consumer_readiness", "room_adjacency", "compass_direction", "room_closures", "shell_gaps", "structural_relations", "structural_signals", "hatch_crossings", "rectangular_rooms", "opening_classify", "routing_barriers", "dominant_scale_cluster", "point_in_polygon", "layer_summary", "image_fingerprint", "dimension_nearest_line", "box_touch_join", "node_degree_kind", "room_components", "detector_prf", "wall_pairs_greedy", "loop_simplify", "shared_wall_join", "hypothesis_select", "pipeline_levels", "rerun_closure", "event_sessions", "geojson_features"])
 def test_operators_equal_their_plain_sql(spark, name):
     same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name], SMALL)
 
@@ -179,6 +179,16 @@ def test_pages_lose_quality_for_faults(spark):
     assert catalog.QUERIES["quality_score"](spark, SMALL).where("not calibrated").count() > 0 and got - {"Strong"}
 
 
+def test_what_is_placed_and_what_waits_for_review(spark):
+    walls = spark.createDataFrame([("t1", 1, "H", 100.0, 100.0, 500.0), ("t2", 1, "H", 110.0, 100.0, 500.0), ("r", 1, "V", 500.0, 100.0, 400.0), ("alone", 1, "H", 900.0, 700.0, 800.0)], WALL)
+    rooms = spark.createDataFrame([("a", 1, 100.0, 100.0, 400.0, 300.0, "Office", 0.9), ("b", 1, 900.0, 0.0, 10.0, 10.0, None, 0.9)], ROOM)
+    items = spark.createDataFrame([(7, 1, "Door", 0.0, 0.0, 5.0, 5.0, 0.5, "x", "F")], "id long, page long, category string, x double, y double, w double, h double, confidence double, label string, status string")
+    got = {(r["kind"], r["id"]): r["ready"] for r in catalog.apply("placement_export", walls=walls, rooms=rooms, items=items).collect()}
+    assert got == {("wall", "t1"): True, ("wall", "t2"): True, ("wall", "r"): True, ("wall", "alone"): False, ("room", "a"): True, ("room", "b"): False, ("object", "7"): False}
+    quality = catalog.apply("structure_quality", walls=walls, rooms=rooms).first()
+    assert (quality["walls"], quality["total"], quality["supported"], quality["rooms"], quality["closed"], quality["grade"]) == (4, 1200.0, round(1100 / 1200, 9), 2, round((700 / 1400 + 0) / 2, 9), "Partial")
+
+
 def test_openings_and_the_frontier(spark):
     walls = [("a", 1, "H", 0.0, 0.0, 100.0), ("b", 1, "H", 0.0, 10.0, 40.0), ("c", 1, "H", 0.0, 130.0, 200.0), ("d", 1, "H", 0.0, 300.0, 400.0)]
     got = catalog.apply("openings_gap", walls=spark.createDataFrame(walls, WALL)).collect()
@@ -337,6 +347,10 @@ def test_json_documents_and_reports(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"overrides": [{"pattern": "A-*", "category": "Wall"}, {"pattern": "D", "category": "Door", "sourceFormat": "dxf"}]}')
     rows = readers.read_json(spark, f"file://{tmp_path}/p.json", "layer-profile").collect()
     assert [(r["pattern"], r["category"], r["bad"]) for r in rows] == [("A-*", "Wall", None), ("D", "Door", None)]
+    strings = spark.createDataFrame([(1, "a", "b"), (2, "b", None), (3, "c", "a"), (3, "c", "a")], "id int, p string, q string")
+    book, coded = sinks.compact(strings, ["p", "q"])
+    assert sorted(r["value"] for r in book.collect()) == ["a", "b", "c"] and book.select("code").distinct().count() == 3 and dict(coded.dtypes)["p"] == "bigint"
+    assert sorted(map(tuple, sinks.expand(book, coded, ["p", "q"]).collect()), key=str) == sorted(map(tuple, strings.collect()), key=str)
     assert sinks.markdown(spark.range(2), "Report") == "# Report\n\n| id |\n| --- |\n| 0 |\n| 1 |\n"
 
 
