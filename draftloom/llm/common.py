@@ -16,6 +16,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 #: Most buckets of a table that Spark allows.
 BUCKETS = 100_000
+#: Edges of a graph that the driver takes at most.
+FEW = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -189,20 +191,55 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(h + np.uint64(k))
 
 
+def solved(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b), FEW of them at most: root is the least node of its component."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = edges.select("a", "b").toArrow()
+    both = pa.concat_arrays([x for c in ("a", "b") for x in [pa.array([], table.schema.field(c).type), *table.column(c).chunks]]).dictionary_encode()
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = place[both.indices.to_numpy()]
+    root = list(range(len(order)))
+    for x, y in zip(ends[: len(table)].tolist(), ends[len(table) :].tolist(), strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    for i, x in enumerate(root):
+        root[i] = root[x]  # the lesser ones are settled
+    nodes = both.dictionary.take(pa.array(order))
+    found = edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": nodes.take(pa.array(root, pa.int64()))}))
+    return stored(found, "solved")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is one node of its component.
 
     Each round every node follows its neighbour of least hash twice, and edges are carried over to
-    where their ends went; hashed order keeps paths short, so rounds are few. Nothing is collected
-    but whether edges are left. Joins have both sides read from files: Spark may split hot keys.
+    where their ends went; hashed order keeps paths short, so rounds are few. Once at most FEW edges
+    are left, the driver solves them: the many small tables of rounds cost more than they hold.
+    Joins have both sides read from files: Spark may split hot keys. edges are read twice.
     """
 
     def order(x: str) -> Column:
         return F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("n"))
 
-    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    label = None
-    while not left.isEmpty():
+    def onward(label: DataFrame, to: DataFrame) -> DataFrame:
+        """label (node, root), with roots that are nodes of to replaced by those in to."""
+        out = stored(label.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "label")
+        release(label)
+        release(to)
+        return out
+
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    if edges.count() <= FEW:
+        return solved(edges)
+    left, label = stored(edges.distinct(), "edges"), None
+    while (n := left.count()) > FEW:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stored(both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", order("a"))["n"].alias("up")), "up")
         far = up.select(F.col("node").alias("up"), F.col("up").alias("root"))
@@ -211,15 +248,11 @@ def components(edges: DataFrame) -> DataFrame:
         ends = stored(ends, "ends")
         moved = ends.join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         after = stored(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        if label is None:
-            label = to
-        else:
-            old, label = label, stored(label.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "label")
-            release(old)
-            release(to)
+        label = to if label is None else onward(label, to)
         for x in (left, up, ends):
             release(x)
         left = after
-    if label is None:
-        label = left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if n:
+        label = solved(left) if label is None else onward(label, solved(left))
+    release(left)
     return label
