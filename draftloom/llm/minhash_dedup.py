@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return out
 
     signed = texts.select("src", "key", "text").groupBy("src").cogroup(often.groupBy("src")).applyInArrow(sketch, "key binary, bands array<long>")
-    signed = stored(stored(signed, "parts").groupBy("key").agg(F.first("bands").alias("bands")), "sketches")
+    signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands")), "sketches")
     members = signed.select("key", F.explode("bands").alias("bucket"))
     full = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full")
     inside = stored(members.join(full, "bucket"), "members")
@@ -369,6 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = texts.select("src", "key", "text").groupBy("src").cogroup(often.groupBy("src")).applyInArrow(weigh, "key binary, u binary, rare binary")
     vecs = stored(found.join(asked, "key", "left_semi").groupBy("key").agg(F.first("u").alias("u"), F.first("rare").alias("rare")), "vectors")
     release(often)
+    forget(texts)
 
     links = verified(pairs, vecs)
     group = components(links)
@@ -386,9 +387,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     group = components(links.unionByName(compared(rest, vecs)))
     release(vecs)
 
-    keys = texts.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    keys = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     placed = stored(keys.join(group.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", "n_copies", F.coalesce("root", "key").alias("root")), "placed")
-    forget(texts)
     least = stored(placed.groupBy("root").agg(F.min("least").alias("group_id")), "least")
     placed = stored(placed.join(least, "root").select("key", "n_copies", "group_id"), "groups")
     return rows.select("doc_id", "key").join(placed, "key").select("doc_id", F.lower(F.hex("key")).alias("text_key"), "group_id", "n_copies")

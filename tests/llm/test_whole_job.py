@@ -238,3 +238,16 @@ def test_components_of_few_edges_take_one_table(spark, monkeypatch):
     none = common.components(edges.limit(0))
     assert none.columns == ["node", "root"] and none.count() == 0
     edges.unpersist()
+
+
+def test_texts_leave_the_disk_before_pairs_are_compared(spark, monkeypatch):
+    """The copy of all texts and the vectors of the pairs are not on disk together; no table is written only to be grouped."""
+    docs = spark.createDataFrame([(i, prose(80, i // 2)) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    steps, write, drop, verify = [], minhash_dedup.stored, minhash_dedup.forget, minhash_dedup.verified
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, name: steps.append(name) or write(df, name))
+    monkeypatch.setattr(minhash_dedup, "forget", lambda df: steps.append("forget") or drop(df))
+    monkeypatch.setattr(minhash_dedup, "verified", lambda *x: steps.append("verified") or verify(*x))
+    got = {r["doc_id"]: (r["group_id"], r["n_copies"]) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (i // 2 * 2, 2) for i in range(20)} | {20: (20, 1)}
+    assert steps.index("forget") < steps.index("verified")
+    assert "parts" not in steps
