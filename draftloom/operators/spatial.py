@@ -6,9 +6,11 @@ each comparison, and the equal part of the condition lets Spark deal, spill and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected_components, written
+
 
 def cells(low: Column, high: Column, size: float) -> Column:
     """Numbers of the cells that an interval touches."""
@@ -49,14 +51,52 @@ def grid_join(a: DataFrame, b: DataFrame, size: float, reach: float = 0.0, prefi
     return left.join(right, on).where(touch & own).drop("gx", "gy", "hx", "hy")
 
 
+def touching(boxes: DataFrame, reach: float, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """boxes (id, x, y, w, h, keys) with component: the least id among boxes of equal keys that touch within reach, alone or by way of others.
+
+    No pair is listed, so crowded places cost no more than others. Boxes in one cell of size reach touch, so a
+    cell goes by its least id; what remains is whether cells side by side, or at a corner, have boxes that touch.
+    """
+    keys, at = list(keys), [*keys, "gx", "gy"]
+    ends = boxes.select("id", *keys, "x", "y", (F.col("x") + F.col("w")).alias("xe"), (F.col("y") + F.col("h")).alias("ye"))
+    dealt = ends.withColumn("gx", F.explode(cells(F.col("x"), F.col("xe"), reach))).withColumn("gy", F.explode(cells(F.col("y"), F.col("ye"), reach)))
+    # What lies beyond a cell's own sides makes no difference there.
+    parts = dealt.groupBy(*at, F.greatest("x", F.col("gx") * reach).alias("x"), F.least("xe", (F.col("gx") + 1) * reach).alias("xe")).agg(F.min("y").alias("y"), F.max("ye").alias("ye"), F.min("id").alias("name"))
+    parts = written(parts, "parts")
+    each = written(parts.groupBy(*at).agg(F.min("name").alias("name"), F.min("x").alias("x"), F.max("xe").alias("xe"), F.min("y").alias("y"), F.max("ye").alias("ye")), "cells")
+
+    def beside(dx: int, dy: int, low: str, high: str) -> DataFrame:
+        other = each.select(*keys, (F.col("gx") - dx).alias("gx"), (F.col("gy") - dy).alias("gy"), F.col("name").alias("b"), F.col(low).alias("low"))
+        return each.join(other, at).where(F.col("low") - reach <= F.col(high)).select(F.col("name").alias("a"), "b")
+
+    # Cells that meet in a corner: u and v are how far the left one's boxes come towards it, and how far they must come.
+    def corner(left: bool, down: bool, rising: bool) -> Column:
+        along, up = (F.col("xe") if left else F.col("x") - reach), (F.col("ye") if down else F.col("y") - reach)
+        return F.struct((F.col("gx") + int(left)).alias("cx"), (F.col("gy") + int(down)).alias("cy"), F.lit(rising).alias("rising"), F.lit(left).alias("is_left"), along.alias("u"), (up if rising else -up).alias("v"))
+
+    named = parts.drop("name").join(each.select(*at, "name"), at)
+    four = named.select(*keys, "name", F.explode(F.array(corner(True, True, True), corner(False, False, True), corner(True, False, False), corner(False, True, False))).alias("c")).select(*keys, "name", "c.*")
+    where = [*keys, "cx", "cy", "rising"]
+    best = four.groupBy(*where, "is_left", "u").agg(F.when(F.col("is_left"), F.max("v")).otherwise(F.min("v")).alias("v"), F.min("name").alias("name"))
+    upto = Window.partitionBy(*where).orderBy(F.desc("u"), F.desc("is_left")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = best.withColumn("most", F.max(F.when(F.col("is_left"), F.col("v"))).over(upto))
+    met = met.groupBy(*where).agg(F.min(F.when(F.col("is_left"), F.col("name"))).alias("a"), F.min(F.when(~F.col("is_left"), F.col("name"))).alias("b"), F.max(~F.col("is_left") & (F.col("v") <= F.col("most"))).alias("met"))
+    links = beside(1, 0, "x", "xe").unionByName(beside(0, 1, "y", "ye")).unionByName(met.where("met").select("a", "b"))
+    found = connected_components(links)
+    of = each.join(found, each["name"] == found["node"], "left").select(*(F.col(k).alias("__" + k) for k in at), F.coalesce("component", "name").alias("component"))
+    here = F.floor(F.col("x") / reach), F.floor(F.col("y") / reach)
+    on = (here[0] == F.col("__gx")) & (here[1] == F.col("__gy"))
+    for k in keys:
+        on = on & (F.col(k) == F.col("__" + k))
+    return boxes.join(of, on, "left").select(*boxes.columns, F.coalesce("component", "id").alias("component"))
+
+
 def nearest(a: DataFrame, b: DataFrame, radius: float, k: int, distance: Column, key: str = "id", prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
     """For each row of a the k nearest boxes of b within radius, ranked; ties by b's key.
 
     distance: of prefixed columns. Ranking needs the rows of one a only, and Spark cuts them to k
     before the exchange.
     """
-    from pyspark.sql import Window
-
     near = grid_join(a, b, max(radius, 1.0), radius, prefix).withColumn("distance", F.round(distance, 6)).where(F.col("distance") <= radius)
     order = Window.partitionBy(prefix[0] + key).orderBy("distance", prefix[1] + key)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

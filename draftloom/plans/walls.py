@@ -5,31 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import length
-from ..operators.graph import connected_components
 from ..operators.registry import both, near, query, side
 from ..functions.rules import NOT_TRUSTED, TRUSTED
 from .contacts import known
-from ..operators.spatial import grid_join
+from ..operators.spatial import touching
 
 #: Components of the boxes that touch; the oracle follows the pairs by recursion.
 _TOUCH = "SELECT a.id AS a, b.id AS b FROM {rects} a JOIN {rects} b ON a.page = b.page AND a.id <> b.id AND a.x - 8 <= b.x + b.w AND b.x <= a.x + a.w + 8 AND a.y - 8 <= b.y + b.h AND b.y <= a.y + a.h + 8"
 _REACH = "reach(a, b) AS (SELECT id AS a, id AS b FROM {rects} UNION SELECT reach.a, t.b FROM reach JOIN touch t ON reach.b = t.a), comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"
 
 
-def touching(rects, reach: float = 8.0):
-    """(id, component) of boxes that touch within reach, alone or by way of others."""
-    pairs = grid_join(rects, rects, 32.0, reach).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    found = connected_components(pairs)
-    return rects.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
 @query("compact_linework", "WL1 OB2", f"""
 WITH RECURSIVE touch AS ({_TOUCH}), {_REACH}
 SELECT component, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, sum(w + h) >= 1.08::DOUBLE * (max(x + w) - min(x) + max(y + h) - min(y)) OR count(*) >= 8 AS dense
 FROM comp JOIN {{rects}} USING (id) GROUP BY component HAVING count(*) >= 2 AND (max(x + w) - min(x)) * (max(y + h) - min(y)) <= 0.06::DOUBLE * 160000""")
 def compact_linework(load):
     """Small clusters of touching boxes: what they cover, and whether they are as dense as objects are."""
-    c = touching(load("rects")).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.expr("x + w")) - F.min("x")).alias("w"), (F.max(F.expr("y + h")) - F.min("y")).alias("h"), F.sum(F.expr("w + h")).alias("ink"))
+    c = touching(load("rects"), 8.0).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.expr("x + w")) - F.min("x")).alias("w"), (F.max(F.expr("y + h")) - F.min("y")).alias("h"), F.sum(F.expr("w + h")).alias("ink"))
     return c.where((F.col("n") >= 2) & (F.col("w") * F.col("h") <= 0.06 * 160000)).withColumn("dense", (F.col("ink") >= 1.08 * (F.col("w") + F.col("h"))) | (F.col("n") >= 8)).drop("ink")
 
 

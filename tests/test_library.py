@@ -8,7 +8,7 @@ import random
 import pytest
 
 from draftloom import catalog
-from draftloom.operators import aggregates
+from draftloom.operators import aggregates, graph, spatial
 from draftloom.operators.graph import connected_components
 from draftloom.plans import solvers, stages, view
 from draftloom.plans.view import over
@@ -123,6 +123,32 @@ def test_near_joins_meet_each_pair_once(spark):
     assert want and {r["text_id"]: r["rect_id"] for r in got} == want and len(got) == len(want)
 
 
+BOX = "id long, page long, x double, y double, w double, h double"
+
+
+def test_touching_boxes_need_no_pairs(spark, monkeypatch):
+    """Boxes of equal components as by brute force, with few edges where all lie in one place."""
+    rng = random.Random(7)
+    for reach, whole in ((8.0, True), (5.0, False)):
+        at = lambda high: float(rng.randrange(-50, high)) if whole else rng.uniform(-50, high)  # noqa: B023, E731
+        boxes = [(i, i % 2, at(150), at(150), abs(at(12)) % 12, abs(at(5)) % 5) for i in range(200)] + [(900, 0, -900.0, 0.0, 300.0, 200.0), (901, None, 0.0, 0.0, 1.0, 1.0)]
+        want = {b[0]: b[0] for b in boxes}
+        for _ in boxes:
+            before = dict(want)
+            for a in boxes:
+                for b in boxes:
+                    if a[1] is not None and a[1] == b[1] and a[2] - reach <= b[2] + b[4] and b[2] <= a[2] + a[4] + reach and a[3] - reach <= b[3] + b[5] and b[3] <= a[3] + a[5] + reach:
+                        want[a[0]] = want[b[0]] = min(want[a[0]], want[b[0]])
+            if want == before:
+                break
+        assert {r["id"]: r["component"] for r in spatial.touching(spark.createDataFrame(boxes, BOX), reach).collect()} == want
+    written, edges = graph.written, []
+    monkeypatch.setattr(graph, "written", lambda df, name: edges.append(df.count() if name == "edges" else 0) or written(df, name))
+    crowd = [(i, 1, float(i % 20), float(i % 15), 2.0, 2.0) for i in range(400)]
+    got = catalog.apply("compact_linework", rects=spark.createDataFrame(crowd, BOX)).first()
+    assert (got["component"], got["n"]) == (0, 400) and max(edges) <= 400
+
+
 STROKE = "id long, page long, x1 double, y1 double, x2 double, y2 double, importance string, wall_type string, confidence double"
 
 
