@@ -27,15 +27,10 @@ SELECT aggregate_id, n, categories, x, y, {_KIND} AS category, {_ROUTES} AS infl
   FROM (SELECT aggregate_id, category, count(*) AS k, min(x) AS x, min(y) AS y FROM c JOIN {{items}} USING (id) GROUP BY aggregate_id, category) p GROUP BY aggregate_id HAVING sum(k) >= 2) q""")
 def object_aggregates(load):
     """Objects close together in one room, what they consist of and how they bear on routing."""
-    from ..operators.graph import connected_components
-    from ..operators.spatial import grid_join
-
-    items = load("items")
-    cell = lambda p: (F.floor(F.col(p + "x") / 100), F.floor(F.col(p + "y") / 80))
-    (ax, ay), (bx, by) = cell("a_"), cell("b_")
-    pairs = grid_join(items, items, 64.0, 16.0).where((F.col("a_id") < F.col("b_id")) & (ax == bx) & (ay == by)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    found = connected_components(pairs)
-    parts = items.join(found, items["id"] == found["node"]).groupBy(F.col("component").alias("aggregate_id"), "category").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x"), F.min("y").alias("y"))
+    from ..operators.spatial import touching
+
+    items = load("items").select("id", "page", "category", "x", "y", "w", "h").withColumns({"rx": F.floor(F.col("x") / 100), "ry": F.floor(F.col("y") / 80)})
+    parts = touching(items, 16.0, ("page", "rx", "ry")).groupBy(F.col("component").alias("aggregate_id"), "category").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x"), F.min("y").alias("y"))
     best = F.min(F.struct((-F.col("k")).alias("k"), "category"))
     rows = parts.groupBy("aggregate_id").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("categories"), F.min("x").alias("x"), F.min("y").alias("y"), F.sum(F.when(F.col("category") == "Vehicle", F.col("k")).otherwise(0)).alias("vehicles"), best.alias("b"))
     rows = rows.where("n >= 2").withColumns({"most": -F.col("b.k"), "first_": F.col("b.category")})
