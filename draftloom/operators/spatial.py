@@ -6,6 +6,8 @@ each comparison, and the equal part of the condition lets Spark deal, spill and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +96,26 @@ def touching(boxes: DataFrame, reach: float, keys: tuple[str, ...] = ("page",))
 def nearest(a: DataFrame, b: DataFrame, radius: float, k: int, distance: Column, key: str = "id", prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
     """For each row of a the k nearest boxes of b within radius, ranked; ties by b's key.
 
-    distance: of prefixed columns. Ranking needs the rows of one a only, and Spark cuts them to k
-    before the exchange.
+    distance: of the prefixed boxes, none where they overlap. Boxes in one place go as one, with the k of least key. The
+    radius starts where b's density has some k boxes and doubles: who has k within it is done, since all others are further.
     """
-    near = grid_join(a, b, max(radius, 1.0), radius, prefix).withColumn("distance", F.round(distance, 6)).where(F.col("distance") <= radius)
-    order = Window.partitionBy(prefix[0] + key).orderBy("distance", prefix[1] + key)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    p, q = prefix
+    box, rest = ["page", "x", "y", "w", "h"], [c for c in b.columns if c not in ("page", "x", "y", "w", "h", key)]
+    least = b.withColumn("__n", F.row_number().over(Window.partitionBy(*box).orderBy(key))).where(F.col("__n") <= k)
+    places = written(least.groupBy(*box).agg(F.sort_array(F.collect_list(F.struct(key, *rest))).alias("all")).withColumn("first", F.col("all")[0][key]), "places")
+    of_page = places.groupBy("page").agg(F.sum(F.size("all")).alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
+    room = of_page.agg(F.sum("n").alias("n"), F.sum("area").alias("area")).first()
+    start = math.sqrt(4 * k * (room["area"] or 0) / (math.pi * room["n"])) if room["n"] else radius
+    reach = radius / 2 ** max(0, min(6, math.floor(math.log2(radius / start)) if start else 6))
+    mine, left, done = Window.partitionBy(p + key), a, None
+    while True:
+        near = grid_join(left, places, max(reach, 8.0), reach, prefix).withColumn("distance", F.round(distance, 6)).where(F.col("distance") <= reach)
+        near = near.withColumn("rank", F.row_number().over(mine.orderBy("distance", q + "first"))).where(F.col("rank") <= k)
+        near = near.withColumn("__b", F.explode(q + "all")).drop(q + "all", q + "first", "rank").withColumns({q + c: F.col("__b")[c] for c in (key, *rest)}).drop("__b")
+        near = near.withColumn("rank", F.row_number().over(mine.orderBy("distance", q + key))).where(F.col("rank") <= k)
+        if reach >= radius:
+            return near if done is None else done.unionByName(near)
+        full = written(near.withColumn("__n", F.count(F.lit(1)).over(mine)).where(F.col("__n") == k).drop("__n"), "nearest")
+        left = left.join(full.where("rank = 1").select(F.col(p + key).alias("__done")), F.col(key).eqNullSafe(F.col("__done")), "left_anti")
+        done = full if done is None else done.unionByName(full)
+        reach = min(radius, 2 * reach)

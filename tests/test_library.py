@@ -149,6 +149,29 @@ def test_touching_boxes_need_no_pairs(spark, monkeypatch):
     assert (got["component"], got["n"]) == (0, 400) and max(edges) <= 400
 
 
+def test_nearest_of_crowds_and_of_the_far(spark, monkeypatch):
+    """As by brute force, where many texts lie in one place, some are alone and ties go by name; without all pairs of a crowd."""
+    rng = random.Random(8)
+    texts = [(i, 1, 4.0 * rng.randrange(8), 4.0 * rng.randrange(8)) for i in range(500)] + [(500 + i, 1, 300.0 + 40 * i, 0.0) for i in range(6)] + [(600, 2, 0.0, 0.0)]
+    items = [(i, 1, 5.0 * rng.randrange(-12, 80), 5.0 * rng.randrange(-4, 12), 4.0, 3.0) for i in range(200)] + [(200, 3, 0.0, 0.0, 1.0, 1.0)]
+    away = lambda i, t: round(math.hypot(max(0.0, t[2] - i[2] - i[4], i[2] - t[2]), max(0.0, t[3] - i[3] - i[5], i[3] - t[3])), 6)
+    want = {i[0]: sorted((away(i, t), t[0]) for t in texts if t[1] == i[1] and away(i, t) <= 90)[:5] for i in items}
+    made, join = [], spatial.grid_join
+
+    def counted(*args, **kw):
+        made.append(join(*args, **kw).count())
+        return join(*args, **kw)
+
+    monkeypatch.setattr(spatial, "grid_join", counted)
+    frame = spark.createDataFrame([(*i, "Fixture") for i in items], BOX + ", category string")
+    rows = catalog.apply("object_nearby_text", items=frame, texts=spark.createDataFrame([(*t, f"t{t[0]}") for t in texts], "id long, page long, x double, y double, text string")).collect()
+    got = {i[0]: [] for i in items}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        assert r["text"] == f"t{r['text_id']}" and r["rank"] == len(got[r["id"]]) + 1
+        got[r["id"]].append((r["distance"], r["text_id"]))
+    assert got == want and sum(made) < sum(1 for i in items for t in texts if t[1] == i[1] and away(i, t) <= 90) / 3
+
+
 STROKE = "id long, page long, x1 double, y1 double, x2 double, y2 double, importance string, wall_type string, confidence double"
 
 
