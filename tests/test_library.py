@@ -290,6 +290,21 @@ def test_matching_equals_the_sequential_order(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_crowds_are_matched_by_tiers(spark, monkeypatch):
+    """As the sequential SQL does, with few pairs of a crowd made: ends that a better pair took meet no others."""
+    few = solvers.FEW
+    for n in ("greedy_assignment", "truth_by_importance", "curved_walls"):
+        monkeypatch.setattr(solvers, "FEW", 50)
+        monkeypatch.setattr(solvers, "crowded", lambda *_: True)
+        same(catalog.QUERIES[n](spark, SMALL), catalog.ORACLES[n], SMALL)
+    monkeypatch.setattr(solvers, "FEW", few)
+    made, wrote = [], solvers.written
+    monkeypatch.setattr(solvers, "written", lambda df, name: made.append(df.count() if name in ("met", "pairs") else 0) or wrote(df, name))
+    rows = [(i, 1, 10.0 * (i % 30), 0.0, 10.0 * (i % 30) + 50, 0.0, "normal", "interior", 0.9) for i in range(300)]
+    frame = spark.createDataFrame(rows, STROKE)
+    assert catalog.apply("greedy_assignment", predicted=frame, truth=frame).count() == 300 and sum(made) <= 300 * 10
+
+
 def test_local_search_ends_where_no_change_helps():
     rng = random.Random(2)
     for _ in range(30):
